@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxspark.llm import op10_chat
+from voxspark.llm.op02_html import op2_html
 from voxspark.llm.op03_sharding import op3_sharding
+from voxspark.llm.op07_audio import op7_audio
+from voxspark.llm.op08_warc import op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query over the tables in a folder."""
     return {
+        "op2_html": op2_html,
         "op3_sharding": op3_sharding,
+        "op7_audio": op7_audio,
+        "op8_warc": op8_warc,
+        "op10_chat": op10_chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {}
+    return {
+        "op10_chat": op10_chat.ORACLE_SQL,
+    }
