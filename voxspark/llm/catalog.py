@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.llm import op10_chat
+from voxspark.llm import op06_decontaminate, op10_chat
 from voxspark.llm.op02_html import op2_html
 from voxspark.llm.op03_sharding import op3_sharding
 from voxspark.llm.op07_audio import op7_audio
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html": op2_html,
         "op3_sharding": op3_sharding,
+        "op6_decontaminate": op06_decontaminate.op6_decontaminate,
         "op7_audio": op7_audio,
         "op8_warc": op8_warc,
         "op10_chat": op10_chat.op10_chat,
@@ -27,5 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
+        "op6_decontaminate": op06_decontaminate.ORACLE_SQL,
         "op10_chat": op10_chat.ORACLE_SQL,
     }
