@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from voxspark.llm import op06_decontaminate, op10_chat
 from voxspark.llm.op02_html import op2_html
 from voxspark.llm.op03_sharding import op3_sharding
+from voxspark.llm.op05_bpe import op5_bpe
 from voxspark.llm.op07_audio import op7_audio
 from voxspark.llm.op08_warc import op8_warc
+from voxspark.llm.op09_language import op9_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html": op2_html,
         "op3_sharding": op3_sharding,
+        "op5_bpe": op5_bpe,
         "op6_decontaminate": op06_decontaminate.op6_decontaminate,
         "op7_audio": op7_audio,
         "op8_warc": op8_warc,
+        "op9_language": op9_language,
         "op10_chat": op10_chat.op10_chat,
     }
 
@@ -28,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
+        "op5_bpe": op5_bpe,
         "op6_decontaminate": op06_decontaminate.ORACLE_SQL,
         "op10_chat": op10_chat.ORACLE_SQL,
     }
