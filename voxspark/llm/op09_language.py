@@ -34,7 +34,7 @@ STEPS = 3
 SMOOTHING = 0.05  # counts added to every piece
 UNKNOWN = 1e-8  # a letter outside the vocabulary, in any language
 STRETCH = 24  # longer words are scored in stretches
-LONGEST = 12  # letters of the longest piece that is used
+LONGEST = 8  # letters of the longest piece that is used
 CACHE_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -123,7 +123,8 @@ class Scorer:
         split = [t.lower().split() for t in texts]
         out: list[tuple[int, float] | None] = []
         for tokens in split:
-            new = set(tokens) - self.cache.keys()
+            cache = self.cache
+            new = {t for t in set(tokens) if t not in cache}
             if new:
                 if len(self.cache) + len(new) > CACHE_WORDS:
                     new = set(tokens)
