@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxspark.llm import op06_decontaminate, op10_chat
+from voxspark.llm.op01_pii import op1_pii
 from voxspark.llm.op02_html import op2_html
 from voxspark.llm.op03_sharding import op3_sharding
 from voxspark.llm.op05_bpe import op5_bpe
@@ -18,6 +19,7 @@ from voxspark.llm.op09_language import op9_language
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query over the tables in a folder."""
     return {
+        "op1_pii": op1_pii,
         "op2_html": op2_html,
         "op3_sharding": op3_sharding,
         "op5_bpe": op5_bpe,
