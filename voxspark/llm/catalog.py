@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.llm import op06_decontaminate, op10_chat
+from voxspark.llm import op04_join, op06_decontaminate, op10_chat
 from voxspark.llm.op01_pii import op1_pii
 from voxspark.llm.op02_html import op2_html
 from voxspark.llm.op03_sharding import op3_sharding
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_html": op2_html,
         "op3_sharding": op3_sharding,
+        "op4_jaccard": op04_join.op4_jaccard,
         "op5_bpe": op5_bpe,
         "op6_decontaminate": op06_decontaminate.op6_decontaminate,
         "op7_audio": op7_audio,
@@ -34,7 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
+        "op4_jaccard": op04_join.op4_jaccard,
         "op5_bpe": op5_bpe,
+        "op4_jaccard": op04_join.ORACLE_SQL,
         "op6_decontaminate": op06_decontaminate.ORACLE_SQL,
         "op10_chat": op10_chat.ORACLE_SQL,
     }
