@@ -204,8 +204,8 @@ def pseudonym(match: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """Replace ``text`` and add ``pii_kinds``, the kinds found in order."""
+def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, into: str = "pii_kinds") -> DataFrame:
+    """Replace ``text`` and add (or replace) ``into``, the kinds found in order."""
     body = F.col(text)
     found = F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
@@ -213,7 +213,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     gaps = F.split(body, ANY)
     parts = F.when(F.size("__found") > 0, F.transform(F.array(gaps), lambda g: F.concat(g[0], F.array_join(F.transform("__new", lambda r, i: F.concat(r["text"], F.get(g, i + 1))), "")))[0])
     kinds = F.filter(F.transform("__new", lambda r: r["kind"]), lambda k: k.isNotNull())
-    return marked.withColumn(text, F.coalesce(parts, body)).withColumn("pii_kinds", kinds).drop("__found", "__new")
+    return marked.withColumn(text, F.coalesce(parts, body)).withColumn(into, kinds).drop("__found", "__new")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,22 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return found.select("key", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "key").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component stays: that with the smallest key; rows with a null key stay.
+
+    The keys to drop are a stored table, broadcast only while they are few.
+    """
+    found = stored(similarity_components(docs, key, text).select("key", "component_id"), "components")
+    gone = stored(found.where("key > component_id").select(F.col("key").alias("__gone")).distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, docs[key] == F.col("__gone"), "left_anti")
+    again = stored(found.where("key = component_id").groupBy("key").count().where("count > 1").select(F.col("key").alias("__again")), "again")
+    if again.isEmpty():
+        return out
+    # rows of one key: only these are shuffled
+    small = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    return out.join(small, out[key] == F.col("__again"), "left_anti").unionByName(out.join(small, out[key] == F.col("__again"), "left_semi").dropDuplicates([key]))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined by 5-word shingles at a similarity of 0.8 or more."""
     return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("key", "doc_id")

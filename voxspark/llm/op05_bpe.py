@@ -207,7 +207,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str | None
     ship(spark)
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    kept = [f for f in docs.schema.fields if f.name != text]
+    kept = [f for f in docs.schema.fields if f.name not in (text, "n_tokens", "ids_sha256", "decoded_sha256", ids)]
     added = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ([f"`{ids}` array<int>"] if ids else [])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + added)
     names = [f.name for f in kept] + ["n_tokens", "ids_sha256", "decoded_sha256"] + ([ids] if ids else [])
