@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.plans import grids
+from voxspark.plans import curation, grids
 
-MODULES = [grids]
+MODULES = [grids, curation]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
