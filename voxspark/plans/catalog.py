@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.plans import curation, grids
+from voxspark.plans import curation, grids, runs
 
-MODULES = [grids, curation]
+MODULES = [grids, curation, runs]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
