@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.plans import curation, grids, runs
+from voxspark.plans import curation, grids, learning, runs
 
-MODULES = [grids, curation, runs]
+MODULES = [grids, curation, runs, learning]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
