@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.plans import curation, grids, learning, runs
+from voxspark.plans import curation, grids, learning, runs, vectors
 
-MODULES = [grids, curation, runs, learning]
+MODULES = [grids, curation, runs, learning, vectors]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
