@@ -35,7 +35,7 @@ SMOOTHING = 0.05  # counts added to every piece
 UNKNOWN = 1e-8  # a letter outside the vocabulary, in any language
 STRETCH = 24  # longer words are scored in stretches
 LONGEST = 8  # letters of the longest piece that is used
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 
@@ -45,11 +45,52 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
+class Pieces:
+    """A vocabulary as hash tables that are looked up for many strings at once."""
+
+    SLOTS = 17  # bits of a table
+
+    def __init__(self, pieces: list[str]) -> None:
+        keys = np.zeros(len(pieces), dtype=np.uint64)
+        for i, piece in enumerate(pieces):
+            key = np.zeros(1, dtype=np.uint64)
+            for letter in piece:
+                key = self.longer(key, np.array([ord(letter)], dtype=np.uint64))
+            keys[i] = key[0]
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have one hash")
+        self.none = len(pieces)
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        left = np.arange(len(pieces))
+        while len(left):  # what meets another key goes to the next table
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * 7919 * len(self.tables))
+            slot = (keys[left] * factor) >> np.uint64(64 - self.SLOTS)
+            _, first = np.unique(slot, return_index=True)
+            key, value = np.zeros(1 << self.SLOTS, dtype=np.uint64), np.full(1 << self.SLOTS, self.none, dtype=np.int32)
+            key[slot[first]], value[slot[first]] = keys[left[first]], left[first]
+            self.tables.append((factor, key, value))
+            left = np.delete(left, first)
+
+    @staticmethod
+    def longer(key: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The hash of a string with one more letter."""
+        key = (key + letter + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        return key ^ (key >> np.uint64(29))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Piece of every hash, or ``none``."""
+        out = np.full(keys.shape, self.none, dtype=np.int32)
+        for factor, key, value in self.tables:
+            slot = (keys * factor) >> np.uint64(64 - self.SLOTS)
+            np.copyto(out, value[slot], where=key[slot] == keys)
+        return out
+
+
 class Scorer:
     """log P(word | language) with the sum over all segmentations."""
 
     def __init__(self, pieces: list[str], table: np.ndarray) -> None:
-        self.pieces = {p: i for i, p in enumerate(pieces)}
+        self.pieces = Pieces(pieces)
         # two rows more: a piece that isn't there, a letter that isn't there
         n = table.shape[1]
         self.table = np.vstack([table, np.zeros((1, n)), np.full((1, n), UNKNOWN)])
@@ -57,81 +98,82 @@ class Scorer:
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, n))
 
-    def ids(self, word: str) -> list[int]:
-        """Piece of every span (i, j) of a word, spans by end and then by start."""
-        get, none, out = self.pieces.get, self.none, []
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - LONGEST), j):
-                out.append(get(word[i:j], none))
-            if out[-1] == none:
-                out[-1] = self.unknown
-        return out
+    def ids(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
+        """Piece of every span (i, j) of words of one length, where any word has one."""
+        size = len(words[0])
+        letters = np.array(words).view(np.uint32).reshape(len(words), -1)[:, :size].astype(np.uint64).T
+        out = {}
+        for i in range(size):
+            key = np.zeros(len(words), dtype=np.uint64)
+            for j in range(i + 1, min(size, i + LONGEST) + 1):
+                key = self.pieces.longer(key, letters[j - 1])
+                found = self.pieces.find(key)
+                if j == i + 1:
+                    found[found == self.none] = self.unknown
+                if (found != self.none).any():
+                    out[i, j] = found
+        return dict(sorted(out.items(), key=lambda x: (x[0][1], x[0][0])))
 
     def forward(self, words: list[str]) -> np.ndarray:
         """log P of words of one length, a row each."""
         size = len(words[0])
-        ids = np.array([self.ids(w) for w in words])
         alpha = np.zeros((size + 1, len(words), self.table.shape[1]))
         alpha[0] = 1
-        k = 0
-        for j in range(1, size + 1):
-            for i in range(max(0, j - LONGEST), j):
-                alpha[j] += alpha[i] * self.table[ids[:, k]]
-                k += 1
+        for (i, j), ids in self.ids(words).items():
+            alpha[j] += alpha[i] * self.table[ids]
         return np.log(alpha[size])
 
     def expected(self, words: list[str], counts: np.ndarray, total: np.ndarray) -> None:
         """Add the expected piece counts of words of one length, seen ``counts`` times in each language."""
         size, langs = len(words[0]), self.table.shape[1]
-        spans = [(i, j) for j in range(1, size + 1) for i in range(max(0, j - LONGEST), j)]
-        ids = np.array([self.ids(w) for w in words])
+        spans = self.ids(words)
         alpha, beta = np.zeros((size + 1, len(words), langs)), np.zeros((size + 1, len(words), langs))
         alpha[0], beta[size] = 1, 1
-        for k, (i, j) in enumerate(spans):
-            alpha[j] += alpha[i] * self.table[ids[:, k]]
-        for k, (i, j) in reversed(list(enumerate(spans))):
-            beta[i] += beta[j] * self.table[ids[:, k]]
+        for (i, j), ids in spans.items():
+            alpha[j] += alpha[i] * self.table[ids]
+        for (i, j), ids in reversed(spans.items()):
+            beta[i] += beta[j] * self.table[ids]
         scale = counts / alpha[size]
-        for k, (i, j) in enumerate(spans):
-            real = np.flatnonzero(ids[:, k] < self.none)
-            np.add.at(total, ids[real, k], (alpha[i] * self.table[ids[:, k]] * beta[j] * scale)[real])
+        for (i, j), ids in spans.items():
+            real = np.flatnonzero(ids < self.none)
+            np.add.at(total, ids[real], (alpha[i] * self.table[ids] * beta[j] * scale)[real])
 
-    def learn_words(self, tokens: set[str]) -> None:
-        """Score tokens that are new into the cache."""
-        if len(self.cache) + len(tokens) > CACHE_WORDS:
-            self.cache.clear()
+    def learn_words(self, words: list[str]) -> None:
+        """Score words that are new into the cache."""
         start = len(self.cache)
-        if start + len(tokens) > len(self.rows):
-            self.rows = np.resize(self.rows, (2 * (start + len(tokens)), self.rows.shape[1]))
+        if start + len(words) > len(self.rows):
+            self.rows = np.resize(self.rows, (2 * (start + len(words)), self.rows.shape[1]))
+        self.rows[start : start + len(words)] = 0
         stretches: dict[int, tuple[list[int], list[str]]] = {}
-        for at, token in enumerate(tokens, start):
-            self.cache[token] = at
-            self.rows[at] = 0
-            for word in LETTERS.findall(token):
-                word = START + word
-                for first in range(0, len(word), STRETCH):
-                    part = word[first : first + STRETCH]
-                    where, words = stretches.setdefault(len(part), ([], []))
-                    where.append(at)
-                    words.append(part)
-        for where, words in stretches.values():
-            for first in range(0, len(words), 5000):
-                np.add.at(self.rows, where[first : first + 5000], self.forward(words[first : first + 5000]))
+        for at, word in enumerate(words, start):
+            self.cache[word] = at
+            if not word.isalpha():  # other numerals than digits count as word characters too
+                word = "".join(filter(str.isalpha, word))
+                if not word:
+                    continue
+            word = START + word
+            for first in range(0, len(word), STRETCH):
+                part = word[first : first + STRETCH]
+                where, parts = stretches.setdefault(len(part), ([], []))
+                where.append(at)
+                parts.append(part)
+        for where, parts in stretches.values():
+            for first in range(0, len(parts), 2000):
+                np.add.at(self.rows, where[first : first + 2000], self.forward(parts[first : first + 2000]))
 
     def score(self, texts: list[str]) -> list[tuple[int, float] | None]:
         """(best language, its share of the posterior) of each text; None without letters."""
-        split = [t.lower().split() for t in texts]
+        split = [LETTERS.findall(t.lower()) for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        cache = self.cache
+        new = list({w for words in split for w in words if w not in cache})
+        if new:
+            self.learn_words(new)
         out: list[tuple[int, float] | None] = []
-        for tokens in split:
-            cache = self.cache
-            new = {t for t in set(tokens) if t not in cache}
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    new = set(tokens)
-                self.learn_words(new)
-            at = np.fromiter(map(self.cache.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-            logs = self.rows[at].sum(axis=0)
-            if not logs.any():
+        for words in split:
+            logs = self.rows[np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+            if not logs.any():  # no word has a letter
                 out.append(None)
                 continue
             best = int(logs.argmax())
@@ -202,13 +244,17 @@ def train(labelled: DataFrame, pieces: list[str], key: str = "doc_id", text: str
 _SCORERS: dict[int, Scorer] = {}
 
 
-def predict(docs: DataFrame, langs: list[str], pieces: list[str], table: np.ndarray, text: str = "text") -> DataFrame:
-    """Add lang_pred and score; the text is all that is looked at."""
+def predict(docs: DataFrame, langs: list[str], pieces: list[str], table: np.ndarray, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its score; the text is all that is looked at.
+
+    Columns that have the names of ``into`` already are replaced.
+    """
     spark = docs.sparkSession
+    docs = docs.drop(*into)
     ship(spark)
     sent = spark.sparkContext.broadcast((pieces, np.round(table, 12)))
     mark = hash((tuple(langs), table.tobytes(), len(pieces)))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{into[0]}` string", f"`{into[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from voxspark.llm import op09_language as own  # the worker's copy keeps its cache between tasks
@@ -222,16 +268,16 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], table: np.ndar
                 part = batch.slice(first, 500)
                 found = scorer.score([x or "" for x in part.column(text).to_pylist()]) if langs else [None] * part.num_rows
                 pred = [langs[f[0]] if f else "und" for f in found]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array([f[1] if f else 0.0 for f in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array([f[1] if f else 0.0 for f in found], pa.float64())], names=[*part.schema.names, *into])
 
     return docs.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, path: str | None = None, key: str = "doc_id", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Train on the rows of ``docs`` that are not held out, predict all of them."""
     pieces = vocabulary(path)
     langs, table = train(docs.where(~held_out(F.col(key))), pieces, key)
-    return predict(docs, langs, pieces, table)
+    return predict(docs, langs, pieces, table, into=into)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
