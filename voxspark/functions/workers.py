@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +27,17 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, top))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """Called by a task that keeps a cache in its worker: the caches of other operators go.
+
+    Workers outlive tasks and stages, so what one operator kept would take
+    memory from the next.
+    """
+    for other in [n for n in _HELD if n != name]:
+        _HELD.pop(other)()
+    _HELD[name] = release
