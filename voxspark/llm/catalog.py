@@ -35,8 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
-        "op4_jaccard": op04_join.op4_jaccard,
-        "op5_bpe": op5_bpe,
         "op4_jaccard": op04_join.ORACLE_SQL,
         "op6_decontaminate": op06_decontaminate.ORACLE_SQL,
         "op10_chat": op10_chat.ORACLE_SQL,
