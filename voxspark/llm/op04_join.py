@@ -4,10 +4,10 @@ Steps: (1) every text becomes its set of shingles, and documents with equal sets
 a class; (2) the sets are signed (``partenum``) and the signatures dealt out, 32
 bits each, packed into one binary per chunk of documents and partition; a
 partition sorts them and lists the classes that share one; (3) each class of a
-list is compared with the list's first; (4) lists whose classes are still in
-different components compare those in blocks, inside the task, by sketches that
-bound the difference of two sets from below; (5) what is left is verified on the
-sets themselves.  Only the sets of classes in some list are read again.
+list is compared with the list's center; (4) around a center, classes that are
+still in different components are compared in blocks, inside the task, by
+sketches that bound the difference of two sets from below; (5) what is left is
+verified on the sets themselves.  Only sets of classes in some list are read again.
 
 All links between different texts are found (see ``partenum`` for the one
 proviso); pairs are never listed within a group of copies, and classes that are
@@ -25,20 +25,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxspark.functions.storage import stored
-from voxspark.functions.workers import ship
+from voxspark.functions.workers import hold, ship
 from voxspark.llm import partenum
 from voxspark.operators.graph import connected_components
 
-CHUNK_FEATURES = 600_000
-PART_SIGNATURES = 3_000_000
-HOLD_SIGNATURES = 12_000_000
+CHUNK_FEATURES = 400_000
+PART_FEATURES = 1_200_000
+HOLD_SIGNATURES = 5_000_000
 BROADCAST_KEYS = 2_000_000
 BLOCK = 1500
 
@@ -51,6 +50,7 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, cls, id) of every row: set size, 128-bit digest of the set and its first half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("op4", partenum.forget)
         for batch in batches:
             sets = [partenum.shingles(x.as_py()) for x in batch.column("text")]
             cls = [_class(s) for s in sets]
@@ -86,6 +86,13 @@ def _unpack(part: int, blob: memoryview) -> tuple[np.ndarray, np.ndarray]:
 
 def _lists(signature: np.ndarray, ids: np.ndarray, by_bucket: bool) -> Iterator[tuple[int, list[int]]]:
     """(list key, ids) of the signatures with several classes; equal lists come once if keyed by content."""
+    order = np.argsort(signature, kind="stable")
+    same = np.diff(signature[order]) == 0
+    shared = np.zeros(len(order), dtype=bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    order = order[shared]
+    signature, ids = signature[order], ids[order]
     if not len(signature):
         return
     order = np.lexsort((ids, signature))
@@ -106,7 +113,7 @@ def _lists(signature: np.ndarray, ids: np.ndarray, by_bucket: bool) -> Iterator[
 
 def candidate_lists(docs: DataFrame, text: str, features: int) -> DataFrame:
     """(list, id) of the classes (first 64 bits of the digest) that share a signature."""
-    slots = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(features / PART_SIGNATURES))
+    slots = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(features / PART_FEATURES))
     parts = 4 * slots
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +122,7 @@ def candidate_lists(docs: DataFrame, text: str, features: int) -> DataFrame:
             chunk.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
 
+        hold("op4", partenum.forget)
         chunk: dict[bytes, np.ndarray] = {}
         held = 0
         for batch in batches:
@@ -133,6 +141,7 @@ def candidate_lists(docs: DataFrame, text: str, features: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(by_bucket: bool) -> Iterator[pa.RecordBatch]:
             signature, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            held.clear()
             rows = list(_lists(signature, ids, by_bucket))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["list", "ids"])
@@ -156,20 +165,19 @@ def candidate_lists(docs: DataFrame, text: str, features: int) -> DataFrame:
 
     blobs = docs.select(text).mapInArrow(sign, "part int, blob binary")
     lists = blobs.repartition(slots, "part").mapInArrow(gather, "list long, ids array<long>")
-    return stored(lists, "lists").distinct().select("list", F.explode("ids").alias("id")).distinct()
+    return stored(lists, "lists").distinct().select("list", F.explode("ids").alias("id"))
 
 
 def read_sets(docs: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, sketch, features) of the rows whose key is asked for."""
-    wanted = stored(keys, "wanted")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+    wanted = _small(stored(keys, "wanted"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("op4", partenum.forget)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
                 sets = [partenum.shingles(x.as_py()) for x in part.column("text")]
                 arrays = [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([partenum.sketch(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "sketch", "features"])
@@ -177,11 +185,19 @@ def read_sets(docs: DataFrame, keys: DataFrame, key: str, text: str) -> DataFram
     return stored(rows.mapInArrow(run, "key long, n long, sketch binary, features binary"), "sets")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table of keys or pairs, broadcast while it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """pairs(u, v) with the columns of both ends, suffixed _u and _v."""
-    for end in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-    return pairs
+    """pairs(u, v), a stored table, with the columns of both ends, suffixed _u and _v.
+
+    Each end picks its rows of ``sets`` first, so only what some pair needs is shuffled.
+    """
+    few = _small(pairs)
+    ends = [sets.join(few, sets["key"] == few[end]).select("u", "v", *[F.col(c).alias(f"{c}_{end}") for c in columns]) for end in ("u", "v")]
+    return ends[0].join(ends[1], ["u", "v"])
 
 
 def sketch_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,34 +224,62 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _beside(pairs, sets, "features").mapInArrow(run, "u long, v long")
 
 
-def open_pairs(members: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components in one list that their sketches cannot rule out.
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(center, key): every class of a list beside the list's center.
+
+    The center is the class that is in most lists: the text that others were
+    copied from shares more signatures with the copies than they share.
+    """
+    degree = members.groupBy("key").agg(F.count("*").alias("degree"))
+    ranked = members.join(degree, "key")
+    center = ranked.groupBy("list").agg(F.max_by("key", F.struct("degree", -F.col("key"))).alias("center"))
+    return members.join(center, "list").where("key <> center").select("center", "key").distinct()
+
+
+def open_pairs(star: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components around one center that their sketches cannot rule out.
 
-    A long list is cut into blocks by a hash of its members, and each pair of
-    blocks is one task's work.
+    The classes of a list all stand around its center, so every pair of a list
+    is compared, and a pair around one center only once.  A center with many
+    classes is cut into blocks by a hash of them; each pair of blocks is one group.
     """
-    rows = members.join(components.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-    rows = stored(rows, "members")
-    mixed = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
-    rows = rows.join(mixed.select("list", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "list")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(sets.select("key", "n", "sketch"), "key")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "n", "sketch")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("n", kind="stable")
-        key, root, n, sketch, own = (pdf[c].tolist() for c in ("key", "root", "n", "sketch", "own"))
-        found = []
-        for a in range(len(key)):
-            for b in range(a + 1, len(key)):
-                if 4 * n[b] > 5 * n[a]:
-                    break
-                if root[a] != root[b] and (i == j or own[a] != own[b]) and partenum.may_link(n[a], sketch[a], n[b], sketch[b]):
-                    found.append((max(key[a], key[b]), min(key[a], key[b])))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
-    return rows.groupBy("list", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+    rows = stored(star.join(components.withColumnRenamed("node", "key"), "key", "left").select("center", "key", F.coalesce("root", "key").alias("root")), "around")
+    mixed = rows.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
+    mixed = stored(mixed.select("center", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = stored(rows.join(mixed, "center"), "around")
+    keys = stored(rows.select("key").distinct(), "keys")
+    rows = rows.join(sets.select("key", "n", "sketch").join(_small(keys), "key", "left_semi"), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "n", "sketch")
+    names = ("key", "root", "n", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in ("center", "i", "j")), strict=True))
+            start = 0
+            while start < len(groups):
+                stop = start
+                while stop < len(groups) and groups[stop] == groups[start]:
+                    stop += 1
+                if groups[start] != now:
+                    yield from _compared(now, held)
+                    now, held = groups[start], []
+                held.append(batch.slice(start, stop - start))
+                start = stop
+        yield from _compared(now, held)
+
+    def _compared(group: tuple | None, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        key, root, n, own = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in names)
+        sketches = [x for b in held for x in b.column("sketch").to_pylist()]
+        u, v = partenum.cross_pairs(key, root, n, own, sketches, group[1] == group[2])
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    dealt = rows.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "key")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,12 +290,12 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     features = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lists = candidate_lists(docs, text, features).join(classes.select("id", F.col("rep").alias("key")), "id")
     members = stored(lists.select("list", "key").distinct(), "members")
+    star = stored(star_pairs(members), "star")
     sets = read_sets(docs, members.select("key").distinct(), key, text)
-    first = members.groupBy("list").agg(F.min("key").alias("v"))
-    star = members.join(first, "list").where("key > v").select(F.col("key").alias("u"), "v").distinct()
-    links = stored(verify(sketch_filter(star, sets), sets), "links")
-    components = connected_components(links)
-    more = verify(stored(open_pairs(members, components, sets), "open"), sets)
+    pairs = stored(star.select(F.greatest("center", "key").alias("u"), F.least("center", "key").alias("v")).distinct(), "pairs")
+    links = stored(verify(stored(sketch_filter(pairs, sets), "close"), sets), "links")
+    components = stored(connected_components(links), "components")
+    more = verify(stored(open_pairs(star, components, sets), "open"), sets)
     components = connected_components(stored(links.union(more), "links"))
     found = meta.join(classes.select("cls", "rep"), "cls", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("key", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "key").alias("component_id"))

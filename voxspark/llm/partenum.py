@@ -28,7 +28,7 @@ import xxhash
 SHINGLE = 5
 EXTRA = 2
 SMALL = 16  # sets up to this size are signed by prefix
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]  # odd, without a pattern
 
 
@@ -77,6 +77,11 @@ def shingles(text: str | None) -> np.ndarray:
     return total[np.diff(total, prepend=~total[0]) != 0]
 
 
+def forget() -> None:
+    """Drop the worker's word hashes."""
+    _WORDS.clear()
+
+
 def band_of(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(BANDS, sizes)
 
@@ -171,6 +176,40 @@ def may_link(n: int, one: bytes, m: int, other: bytes) -> bool:
     return 9 * int(np.count_nonzero(a != b)) <= n + m
 
 
+def cross_pairs(key: np.ndarray, root: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: list[bytes], one_block: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(larger key, smaller key) of the pairs of different roots that may be links.
+
+    Of two blocks only pairs across them are compared.
+    """
+    band = band_of(n)
+    u, v = [], []
+    rows = {}
+    for b in np.unique(band):
+        at = np.flatnonzero(band == b)
+        at = at[np.argsort(n[at], kind="stable")]
+        cells = cell_counts(int(n[at[0]]))
+        both = np.frombuffer(b"".join(sketches[i] for i in at), dtype=np.uint8).reshape(len(at), -1)
+        rows[int(b)] = (at, both[:, : cells[0]], both[:, cells[0] :])
+
+    def compare(i: int, mine: np.ndarray, at: np.ndarray, theirs: np.ndarray) -> None:
+        fits = (root[at] != root[i]) & (4 * np.maximum(n[at], n[i]) <= 5 * np.minimum(n[at], n[i]))
+        if not one_block:
+            fits &= own[at] != own[i]
+        some = np.flatnonzero(fits)
+        if len(some):
+            apart = (theirs[some] != mine).sum(axis=1)
+            close = at[some[9 * apart <= n[at[some]] + n[i]]]
+            u.append(np.maximum(key[close], key[i]))
+            v.append(np.minimum(key[close], key[i]))
+
+    for b, (at, mine, ahead) in rows.items():
+        for k, i in enumerate(at):
+            compare(i, mine[k], at[k + 1 :], mine[k + 1 :])
+            if b + 1 in rows:
+                compare(i, ahead[k], rows[b + 1][0], rows[b + 1][1])
+    return (np.concatenate(u), np.concatenate(v)) if u else (key[:0], key[:0])
+
+
 def linked(one: np.ndarray, other: np.ndarray) -> bool:
     """Whether 100 |A n B| >= 80 |A u B|."""
     common = len(np.intersect1d(one, other, assume_unique=True))
