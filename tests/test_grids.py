@@ -124,3 +124,34 @@ def test_empty_tables(spark):
     assert labels.affinities(none, labels.offset_rows(3, 1, 2)).count() == 0
     assert labels.split_components(none).count() == 0
     assert sampling.number_rows(none, ["id"]).count() == 0
+
+
+def test_blockwise_components_agree(spark):
+    rng = np.random.default_rng(7)
+    array = np.where(rng.random((7, 8, 5)) < 0.6, rng.integers(1, 3, (7, 8, 5)), 0)
+    voxels = cube(spark, array)
+    one = {r.id: r.piece for r in labels.split_components(voxels).collect()}
+    for side in (2, 3, 16):
+        assert {r.id: r.piece for r in labels.split_components_by_block(voxels, side).collect()} == one
+
+
+def test_chain_augments_training_only(spark):
+    from voxspark.operators.chain import Chain
+
+    chain = Chain(spark.range(3)).then(lambda d: d.where("id > 0"), targets=True).then(lambda d: d.union(d))
+    assert (chain.table("train").count(), chain.table("val").count()) == (4, 2)
+    with pytest.raises(RuntimeError, match="built"):
+        chain.then(lambda d: d)
+
+
+def test_strict_reconciliation(spark):
+    from voxspark.operators import artifacts
+
+    model = spark.createDataFrame([("a", [2, 3]), ("k", [4, 1, 8, 8, 8])], "name string, shape array<int>")
+    ckpt = spark.createDataFrame([("m.a", [2, 3]), ("m.k", [4, 1, 8, 8])], "name string, shape array<int>")
+    found = artifacts.strict(artifacts.reconcile(ckpt, model, "m.")).first()
+    assert (found.copied, found.inflated, found.verdict) == (1, 1, "ok")
+    with pytest.raises(Exception, match="left over"):
+        artifacts.strict(artifacts.reconcile(ckpt, model.where("name = 'a'"), "m.")).collect()
+    with pytest.raises(Exception, match="shapes differ"):
+        artifacts.strict(artifacts.reconcile(ckpt.withColumn("shape", F.array(F.lit(9))), model, "m.")).collect()

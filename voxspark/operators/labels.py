@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxspark.functions.storage import stored
+from voxspark.functions.workers import ship
 from voxspark.operators.graph import connected_components
 
 AXES = ("x", "y", "z")
@@ -80,6 +84,63 @@ def split_components(voxels: DataFrame, label: str = "label", rank: int = 3) ->
     return out.withColumn("piece", F.when(F.col(label) > 0, F.coalesce("root", "id")).otherwise(F.col(label))).drop("root")
 
 
+def _local_roots(ids: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Smallest id of the piece of each voxel of a block; ``place`` has a coordinate column per axis."""
+    low = place.min(axis=0)
+    grid = np.full(place.max(axis=0) - low + 1, -1, dtype=np.int64)
+    order = np.argsort(ids)
+    ids, own, place = ids[order], own[order], place[order]
+    grid[tuple((place - low).T)] = np.arange(len(ids))
+    ends = []
+    for axis in range(place.shape[1]):
+        a, b = np.moveaxis(grid, axis, 0)[:-1].ravel(), np.moveaxis(grid, axis, 0)[1:].ravel()
+        a, b = a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]
+        same = (own[a] == own[b]) & (own[a] > 0)
+        ends.append((a[same], b[same]))
+    u, v = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
+    parent = np.arange(len(ids))
+    while len(u):  # hook roots, then shorten all paths
+        a, b = parent[u], parent[v]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        apart = parent[u] != parent[v]
+        u, v = u[apart], v[apart]
+    out = np.empty(len(ids), dtype=np.int64)
+    out[order] = ids[parent]
+    return out
+
+
+def split_components_by_block(voxels: DataFrame, side: int, label: str = "label", rank: int = 3) -> DataFrame:
+    """The same as :func:`split_components`, in two levels.
+
+    A task labels one block of ``side`` voxels an axis by itself; only pairs of
+    local pieces that touch across block faces become edges, so the loop over
+    the graph grows with the faces of blocks and not with their voxels.
+    """
+    ship(voxels.sparkSession)
+    axes = AXES[:rank]
+    kept = ["vol", "level", *AXES, "id", label]
+    blocks = [F.expr(f"{a} div {side}").alias(f"b{a}") for a in axes]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        place = frame[list(axes)].to_numpy(dtype=np.int64)
+        return frame[kept].assign(root=_local_roots(frame["id"].to_numpy(), frame[label].to_numpy(), place))
+
+    schema = ", ".join(f"`{c}` {voxels.schema[c].dataType.simpleString()}" for c in kept) + ", root long"
+    local = stored(voxels.select(*kept, *blocks).groupBy(*GRID, *[f"b{a}" for a in axes]).applyInPandas(run, schema), "local")
+    edges = None
+    for a in axes:
+        others = [*GRID, *[o for o in AXES if o != a]]
+        left = local.where((F.col(a) % side == side - 1) & (F.col(label) > 0)).select(*others, (F.col(a) + 1).alias(a), F.col(label).alias("own"), F.col("root").alias("u"))
+        right = local.where((F.col(a) % side == 0) & (F.col(label) > 0)).select(*others, a, F.col(label).alias("own"), F.col("root").alias("v"))
+        part = left.join(right, [*others, a, "own"]).select("u", "v").distinct()
+        edges = part if edges is None else edges.union(part)
+    roots = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    out = local.join(roots, "root", "left").withColumn("piece", F.when(F.col(label) > 0, F.coalesce("top", "root")).otherwise(F.col(label)))
+    return out.select(*kept, "piece")
+
+
 def segment(voxels: DataFrame, logits: DataFrame, threshold: float, min_size: int) -> DataFrame:
     """Pieces of the graph of short edges whose logit is above the threshold; small pieces become 0.
 

@@ -61,6 +61,11 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.split_components(views.vox(spark, sf_dir), "lab_noise").select("id", "vol", F.col("piece").cast("long").alias("piece"))
 
 
+def components_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-04 in two levels: blocks by themselves, then the graph of pieces that touch across faces."""
+    return labels.split_components_by_block(views.vox(spark, sf_dir), 3, "lab_noise").select("id", "vol", F.col("piece").cast("long").alias("piece"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-07: pieces of the kept short edges; fewer than four voxels are dropped."""
     voxels = views.vox(spark, sf_dir)
@@ -333,3 +338,4 @@ SELECT vol, a.s AS x0, b.s AS y0, c.s AS z0, count(*)::INT AS voxels, round(avg(
         ),
     ),
 }
+QUERIES["l04_components_by_block"] = (components_by_block, QUERIES["l04_components"][1])
