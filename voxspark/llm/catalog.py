@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.llm import op04_join, op06_decontaminate, op10_chat
+from voxspark.llm import op02_html, op04_join, op06_decontaminate, op08_warc, op10_chat
 from voxspark.llm.op01_pii import op1_pii
 from voxspark.llm.op02_html import op2_html
 from voxspark.llm.op03_sharding import op3_sharding
@@ -35,7 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
+        "op2_html": op02_html.ORACLE_SQL,
         "op4_jaccard": op04_join.ORACLE_SQL,
         "op6_decontaminate": op06_decontaminate.ORACLE_SQL,
+        "op8_warc": op08_warc.ORACLE_SQL,
         "op10_chat": op10_chat.ORACLE_SQL,
     }

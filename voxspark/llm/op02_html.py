@@ -173,3 +173,13 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+#: for pages whose article is one <article> of headings, paragraphs and bold runs, with the usual references
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '</?(?:h[1-6]|p|br)>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp', '&'), '\s+', ' ', 'g')) AS t FROM b),
+d AS (SELECT page_id, url, replace(t, '&;', '&') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""

@@ -259,3 +259,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.expr("try_cast(page as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("cast(refers_to as bigint)").alias("refers_to"), F.assert_true("intact", F.lit("a payload read back differs from its digest")).isNull().alias("intact")
     )
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * i::INT + 1, 5))::INT >> s::INT) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to, true AS intact
+FROM f
+"""
