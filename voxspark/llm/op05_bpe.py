@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxspark.functions.workers import ship
+from voxspark.functions.workers import hold, ship
 
-CACHE_WORDS = 400_000
-CACHE_ARCS = 1_000_000
+CACHE_WORDS = 250_000
+CACHE_ARCS = 500_000
 LONG_WORD = 48  # longer words are not kept
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # White_Space
 
@@ -213,7 +213,10 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str | None
     names = [f.name for f in kept] + ["n_tokens", "ids_sha256", "decoded_sha256"] + ([ids] if ids else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(spec.value)
+        from voxspark.llm import op05_bpe as own  # the worker's copy keeps its cache between tasks
+
+        hold("op5", own._ENCODERS.clear)
+        coder = own.encoder(spec.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

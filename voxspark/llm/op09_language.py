@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxspark.functions.storage import stored
-from voxspark.functions.workers import ship
+from voxspark.functions.workers import hold, ship
 
 SAMPLE_DOCS = 600
 MAX_LANGUAGES = 1000
@@ -35,7 +35,7 @@ SMOOTHING = 0.05  # counts added to every piece
 UNKNOWN = 1e-8  # a letter outside the vocabulary, in any language
 STRETCH = 24  # longer words are scored in stretches
 LONGEST = 8  # letters of the longest piece that is used
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 
@@ -259,6 +259,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], table: np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from voxspark.llm import op09_language as own  # the worker's copy keeps its cache between tasks
 
+        hold("op9", own._SCORERS.clear)
         if mark not in own._SCORERS:
             own._SCORERS.clear()
             own._SCORERS[mark] = own.Scorer(*sent.value)
