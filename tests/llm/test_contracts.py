@@ -163,8 +163,11 @@ def test_join_with_groups_and_awkward_rows(spark, folders):
     assert (1, 0, 1) in found and (2, 0, 2) in found and (3, 0, 3) in found and (None, 7, None) in found
 
 
-def test_join_of_a_large_group(spark):
-    """Copies of one text with a few words changed: a hot group whose members are not all alike."""
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_join_of_a_large_group(spark, monkeypatch, limit):
+    """Copies of one text with a few words changed: a hot group whose members are not all alike; with and without broadcasts and long blocks."""
+    monkeypatch.setattr(op04_join, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(op04_join, "BLOCK", limit or 40)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)]
@@ -207,6 +210,11 @@ def test_bpe_equals_the_library(spark, folders, con):
     assert rows[1].n_tokens == 0 and rows[1].ids_sha256 == hashlib.sha256(b"").hexdigest() and rows[4].n_tokens == 3000 + len(library.encode("Ende", add_special_tokens=False).ids)
 
 
+def test_decontamination_without_broadcast(spark, con, monkeypatch):
+    monkeypatch.setattr(op06_decontaminate, "BROADCAST_GRAMS", 0)
+    assert_same(op06_decontaminate.op6_decontaminate(spark, FOLDER), con, op06_decontaminate.ORACLE_SQL)
+
+
 def test_decontamination(spark, folders):
     rows = {r.doc_id: r for r in op06_decontaminate.op6_decontaminate(spark, folders[0]).collect() if r.doc_id}
     assert (rows[4].n_words, rows[4].n_hit, rows[4].n_items, rows[4].items_sha256) == (3001, 1, 1, hashlib.sha256(b"i3").hexdigest())

@@ -38,7 +38,7 @@ from voxspark.operators.graph import connected_components
 CHUNK_FEATURES = 400_000
 PART_FEATURES = 1_200_000
 HOLD_SIGNATURES = 5_000_000
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 500_000
 BLOCK = 1500
 
 
