@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Return the shared folder of this session, setting one if it has none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """Return a path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -49,3 +54,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this program; results that still read them must be written first."""
+    n = len(_MADE)
+    while _MADE:
+        drop_path(spark, _MADE.pop())
+    return n
