@@ -1,0 +1,26 @@
+"""The whole job: rows and sizes that the given tables do not have."""
+
+import pytest
+
+from voxspark.llm import op02_html
+
+LONG = "A long paragraph of plain words that stands alone on its page and is the main text of it, from end to end."
+
+
+@pytest.mark.parametrize("attributes", ['href="/trails/hidden-falls"', 'title="The hidden valley"', 'data-hidden="false"', 'href="/view?id=ads"', "title='class=ads'", 'data-class="ads"', 'alt = "x role=search"', 'title="a > b" data-id=menu', 'title="never closed class=ads'])
+def test_words_inside_other_attributes_are_no_furniture(attributes):
+    assert op02_html._furniture("div", f" {attributes}") == ""
+    if attributes.count('"') % 2 == 0:
+        for tag in ("a", "p", "div"):
+            assert op02_html.main_text(f"<p>{LONG}</p><p>See <{tag} {attributes}>these words</{tag}> where the path goes on to the far side.</p>").startswith(f"{LONG} See these words")
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", 'aria-hidden="true"', 'title="x"class="top ads"', "id=ads", "data-x='1' role = search", 'style="display: none"'])
+def test_own_attributes_are_furniture(attributes):
+    assert op02_html._furniture("div", f" {attributes}")
+    assert op02_html.main_text(f"<p>{LONG}</p><div {attributes}>these words</div>") == LONG
+
+
+def test_an_article_is_furniture_by_its_own_class_only():
+    assert op02_html._furniture("article", ' class="post header" data-url="/comments"') == ""
+    assert op02_html._furniture("article", ' class="comment"') == "comment"

@@ -40,20 +40,24 @@ HINT = re.compile(
 #: those that may hold <article> elements of readers
 READERS = re.compile(r"comment|repl(?:y|ies)|respond|disqus|related|recommend", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: one attribute: its whole name and its value, quoted or bare; a quote that is never closed takes the rest and gives no value
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"'].*\Z|([^\s>]+)))?", re.DOTALL)
+#: elements that are furniture only where they hold readers' words
+WHOLE = frozenset(("html", "body", "article", "main"))
 
 
 def _furniture(name: str, attributes: str) -> str:
     """Why an element is page furniture: its name or the attribute value that says so, else ''."""
     if name in FURNITURE or name in RAW:
         return name
-    if attributes and name not in ("html", "body", "article", "main") or READERS.search(attributes):
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id", "role") and HINT.search(value):
-                return value
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                return "hidden"
+    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
+    if name in WHOLE and not any(key in ("class", "id", "role") and READERS.search(value) for key, value in found):
+        return ""
+    for key, value in found:
+        if key in ("class", "id", "role") and HINT.search(value):
+            return value
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            return "hidden"
     return ""
 
 
