@@ -1,8 +1,9 @@
 """The whole job: rows and sizes that the given tables do not have."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from voxspark.llm import op02_html
+from voxspark.llm import op02_html, op08_warc
 
 LONG = "A long paragraph of plain words that stands alone on its page and is the main text of it, from end to end."
 
@@ -24,3 +25,24 @@ def test_own_attributes_are_furniture(attributes):
 def test_an_article_is_furniture_by_its_own_class_only():
     assert op02_html._furniture("article", ' class="post header" data-url="/comments"') == ""
     assert op02_html._furniture("article", ' class="comment"') == "comment"
+
+
+ODD_URLS = ["http://example.com\n", "http://exa\tmple.com/a\tb", "http://example.com\r\n/x", "http://a.\nb.com/", "\t\n", " http://x.org/ y", "http://x.org/\x00\x1f\x7f", "http://x.org/\x85\u2028\u3000z", "http://x.org/a#b\nc", "http://x.org/plain?q=1", ""]
+
+
+def test_every_page_with_an_odd_url_is_found(spark, tmp_path):
+    rows = [(i * 100 + k, url, f"page {i} {k}") for i, url in enumerate(ODD_URLS) for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keys = [r[0] for r in pages.select(op08_warc.url_key(F.col("url"))).distinct().collect()]
+    assert not any(c.isspace() or ord(c) < 32 or 127 <= ord(c) < 160 for key in keys for c in key)
+    assert {"com%0a,example)", "com,exa%09mple)/a%09b", "org,x)/%C2%85%E2%80%A8%E3%80%80z", "org,x)/a", "org,x)/plain?q=1"} <= set(keys)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in op08_warc.op8_warc(spark, str(tmp_path)).collect()) == [r[0] for r in rows]
+
+
+def test_a_record_that_is_not_read_back_is_an_error(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.org/"), "id").alias("url"), F.col("id").cast("string").alias("html"))
+    captures = op08_warc.write_archives(op08_warc.with_revisits(pages))
+    assert op08_warc.read_back(captures, op08_warc.build_index(captures)).count() == 3000
+    with pytest.raises(ValueError, match="2999 records read back of 3000"):
+        op08_warc.read_back(captures, op08_warc.build_index(captures.where("key not like '%/77 %'")))

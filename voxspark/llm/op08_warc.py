@@ -48,10 +48,16 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def url_key(url: Column) -> Column:
-    """Reversed-host key, e.g. ``com,example,blog)/en?x=1``; a null URL gives ``-``."""
-    rest = F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://|#.*$", "")
+    """Reversed-host key, e.g. ``com,example,blog)/en?x=1``; a null URL gives ``-``.
+
+    White space and control characters are percent-encoded wherever they stand:
+    the index is lines of fields.
+    """
+    odd = r"[\s\p{Z}\p{Cc}]"
+    escaped = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(odd), F.regexp_replace(F.hex(c), "(..)", "%$1")).otherwise(c))
+    rest = F.regexp_replace(F.when(url.rlike(odd), F.array_join(escaped, "")).otherwise(url), "^[A-Za-z][A-Za-z0-9+.-]*://|#.*$", "")
     host = F.lower(F.regexp_extract(rest, "^[^/?]*", 0))
-    path = F.regexp_replace(F.regexp_replace(rest, "^[^/?]*", ""), "[\\s]", "%20")
+    path = F.regexp_replace(rest, "^[^/?]*", "")
     return F.when(url.isNull(), "-").otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), path))
 
 
@@ -251,11 +257,19 @@ def _summary(member: bytes) -> tuple:
     return page, fields.get("WARC-Target-URI"), kind, refers, digest, size, intact
 
 
+def read_back(captures: DataFrame, shards: DataFrame) -> DataFrame:
+    """Every record through the index; an error where there are not as many as captures."""
+    found = stored(lookup(captures.select("key"), shards), "records")
+    if (n := found.count()) != (wanted := captures.count()):
+        raise ValueError(f"{n} records read back of {wanted} captures")
+    return found
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, index them, and read every record back through the index."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     captures = write_archives(with_revisits(pages))
-    found = lookup(captures.select("key"), build_index(captures))
+    found = read_back(captures, build_index(captures))
     return found.select(
         F.expr("try_cast(page as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("cast(refers_to as bigint)").alias("refers_to"), F.assert_true("intact", F.lit("a payload read back differs from its digest")).isNull().alias("intact")
     )
