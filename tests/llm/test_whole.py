@@ -1,9 +1,11 @@
 """The whole job: rows and sizes that the given tables do not have."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.llm import op02_html, op08_warc
+from voxspark.llm import op02_html, op06_decontaminate, op08_warc
 
 LONG = "A long paragraph of plain words that stands alone on its page and is the main text of it, from end to end."
 
@@ -46,3 +48,38 @@ def test_a_record_that_is_not_read_back_is_an_error(spark):
     assert op08_warc.read_back(captures, op08_warc.build_index(captures)).count() == 3000
     with pytest.raises(ValueError, match="2999 records read back of 3000"):
         op08_warc.read_back(captures, op08_warc.build_index(captures.where("key not like '%/77 %'")))
+
+
+def shuffled(spark):
+    """Bytes of shuffles written so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("limit", [0, 4000])
+def test_no_words_are_shuffled_by_window(spark, monkeypatch, limit):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(1500)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (3, texts[3]), (3, texts[3] + " x"), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = [" ".join(texts[k].split()[at : at + n]) for k, at, n in ((0, 5, 12), (0, 8, 30), (1, 1490, 10), (3, 0, 1500), (2, 3, 4))]
+    items = spark.createDataFrame([*[(f"i{k}", text) for k, text in enumerate(cut)], ("again", cut[0]), ("none", " ".join(f"v{k}" for k in range(5000)))], "item_id string, text string")
+
+    def run():
+        return sorted(map(repr, op06_decontaminate.find_hits(docs, items).collect()))
+
+    wanted = run()
+    assert len(wanted) == 7 and "copies=2" in wanted[0]
+    monkeypatch.setattr(op06_decontaminate, "BROADCAST_GRAMS", limit)  # more grams than that; 4000: fewer candidates
+    before = shuffled(spark)
+    assert run() == wanted
+    assert 0 < shuffled(spark) - before < 3_000_000
+
+
+def test_equal_hashes_of_other_words_are_no_hits(spark, monkeypatch):
+    monkeypatch.setattr(op06_decontaminate, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(op06_decontaminate.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e"), (2, "d e")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "b c"), ("y", "z z")], "item_id string, text string")
+    rows = {r.key: (r.n_words, len(r.spans), r["items"], r.copies) for r in op06_decontaminate.find_hits(docs, items).collect()}
+    assert rows == {1: (3, 1, ["x"], 1), 2: (2, 0, [], 2)}

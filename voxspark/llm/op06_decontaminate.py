@@ -3,9 +3,11 @@
 Every run of ``WINDOW`` words of a test item becomes a hashed n-gram (an item of
 fewer words is one shorter n-gram).  The n-grams are counted first: up to
 ``BROADCAST_GRAMS`` they are broadcast as a hash table that the windows of all
-training texts probe in one pass; beyond that Spark shuffles both sides.  A hit
-is verified on the words themselves.  Only one row per document and one per hit
-leave the scan.
+training texts probe in one pass, and only one row per document and one per hit
+leave the scan.  Beyond that both sides are shuffled by hash, a window as its
+document's key and digest, its place and its hash without any words; the few
+that meet a gram of the same hash are joined back to the documents.  A hit is
+verified on the words themselves either way.
 
 Nulls and edge cases: a null or wordless text has no words; null items are
 ignored; repeated rows (same key, same text) give one row each; without items
@@ -16,9 +18,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxspark.functions.storage import stored
+
 WINDOW = 10
 BROADCAST_GRAMS = 500_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,29 +47,62 @@ def item_grams(items: DataFrame, item: str = "item_id", text: str = "text") -> D
     return grams.withColumn("h", F.xxhash64("gram"))
 
 
+def window_codes(lengths: list[int]) -> Column:
+    """One code for each window of a document of ``n`` words: 16 * position + length."""
+    codes = [F.expr("cast(array() as array<bigint>)")]
+    for length in sorted(lengths):
+        last = (F.col("n") - length) * 16 + length
+        codes.append(F.when(F.col("n") >= length, F.sequence(F.lit(length).cast("long"), last, F.lit(16).cast("long"))).otherwise(codes[0]))
+    return F.concat(*codes)
+
+
+def window_words() -> Column:
+    """The words of the window ``code`` of the words ``w``."""
+    return F.slice("w", F.greatest(F.shiftright("code", 4), F.lit(0)).cast("int") + 1, F.col("code").bitwiseAND(15).cast("int"))
+
+
+def probe(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """key, digest, n, code, item of every hit, and of every row once with code -1, by broadcast grams."""
+    codes = F.concat(F.array(F.lit(-1).cast("long")), window_codes(lengths))
+    rows = rows.select("key", "digest", "n", "w", F.explode(codes).alias("code"))
+    gram = window_words()
+    rows = rows.withColumn("h", F.when(F.col("code") >= 0, F.xxhash64(gram)))
+    found = rows.join(F.broadcast(grams.withColumnRenamed("h", "gram_h")), (F.col("h") == F.col("gram_h")) & (gram == F.col("gram")), "left")
+    return found.where("code < 0 or gram is not null").select("key", "digest", "n", "code", "item", (F.col("code") < 0).alias("first"))
+
+
+def candidates(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """key, digest, code, item, gram where the hashes of a window and of a gram are equal, by a shuffle without words of documents."""
+    windows = rows.select("key", F.unhex("digest").alias("digest"), "w", F.explode(window_codes(lengths)).alias("code"))
+    windows = windows.select("key", "digest", "code", F.xxhash64(window_words()).alias("h"))
+    met = windows.join(grams.hint("shuffle_merge"), "h").select("key", "digest", "code", "item", "gram").distinct()
+    return met.withColumn("digest", F.lower(F.hex("digest")))
+
+
+def join_back(rows: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """The rows of :func:`probe` for any number of grams: candidates verified on the words of their documents."""
+    turn = F.row_number().over(Window.partitionBy("key", "digest").orderBy("code"))
+    met = stored(candidates(rows, grams, lengths).withColumn("turn", turn), "candidates")
+    few = met.count() <= BROADCAST_GRAMS
+    met = met.withColumnsRenamed({"key": "met_key", "digest": "met_digest"})
+    same = F.col("key").eqNullSafe(F.col("met_key")) & (F.col("digest") == F.col("met_digest"))
+    found = rows.join(F.broadcast(met) if few else met, same, "left")
+    real = F.col("gram") == window_words()
+    return found.select("key", "digest", "n", F.when(real, F.col("code")).otherwise(-1).alias("code"), F.when(real, F.col("item")).alias("item"), (F.coalesce("turn", F.lit(1)) == 1).alias("first"))
+
+
 def find_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, spans (position and length in words, in order), items (sorted), copies."""
     grams = item_grams(items)
     shape = grams.agg(F.count("*").alias("n"), F.collect_set("len").alias("lengths")).first()
-    if shape.n <= BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
     rows = docs.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), words(F.col(text)).alias("w")).withColumn("n", F.size("w").cast("long"))
-    # one code per window, 16 * position + length, and -1 once per document
-    codes = [F.array(F.lit(-1).cast("long"))]
-    for length in sorted(shape.lengths):
-        last = (F.col("n") - length) * 16 + length
-        codes.append(F.when(F.col("n") >= length, F.sequence(F.lit(length).cast("long"), last, F.lit(16).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)")))
-    rows = rows.select("key", "digest", "n", "w", F.explode(F.concat(*codes)).alias("code"))
-    gram = F.slice("w", F.greatest(F.shiftright("code", 4), F.lit(0)).cast("int") + 1, F.col("code").bitwiseAND(15).cast("int"))
-    rows = rows.withColumn("h", F.when(F.col("code") >= 0, F.xxhash64(gram)))
-    found = rows.join(grams.withColumnRenamed("h", "gram_h"), (F.col("h") == F.col("gram_h")) & (gram == F.col("gram")), "left")
-    found = found.where("code < 0 or gram is not null").select("key", "digest", "n", "code", "item")
+    found = (probe if shape.n <= BROADCAST_GRAMS else join_back)(rows, grams, shape.lengths)
     hit = F.struct(F.shiftright("code", 4).alias("at"), F.col("code").bitwiseAND(15).alias("len"))
     return found.groupBy("key", "digest").agg(
         F.max("n").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("code") >= 0, hit))).alias("spans"),
         F.array_sort(F.collect_set("item")).alias("items"),
-        F.count(F.when(F.col("code") < 0, 1)).alias("copies"),
+        F.count(F.when(F.col("first"), 1)).alias("copies"),
     )
 
 
