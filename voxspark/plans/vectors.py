@@ -10,6 +10,8 @@ from voxspark.operators import artifacts, representation
 from voxspark.sources import readers, views
 from voxspark.streaming import metrics as streams
 
+TRACE_EVENTS = 50_000  # most events in a trace file
+MANIFEST_KEYS = 20_000  # keys from which a block of manifests, one for each of 20 runs, is made
 HALF = "transform(vec, v -> v * 0.5D)"
 
 
@@ -120,18 +122,20 @@ def traces(spark, sf_dir):
     path = new_path(spark, "traces")
     events = views.trace(spark, sf_dir)
     e = F.struct("ph", "cat", "name", F.col("ts").cast("double").alias("ts"), F.when(F.col("event_id") % 10 != 0, F.col("dur").cast("double")).alias("dur"), "pid", F.lit(0).cast("long").alias("tid"))
-    events.groupBy((F.col("pid") % 5).alias("part")).agg(F.collect_list(e).alias("traceEvents")).select("traceEvents").repartition(5).write.option("compression", "gzip").json(path)
+    # the reader takes one document from a file, so each has a folder of its own
+    files = events.groupBy((F.col("pid") % 5).alias("part"), F.expr(f"event_id div {TRACE_EVENTS}").alias("block"))
+    files.agg(F.collect_list(e).alias("traceEvents")).write.partitionBy("part", "block").option("compression", "gzip").json(path)
     return readers.read_traces(spark, path).groupBy("pid", "cat").agg(F.count("*").alias("n"), F.sum("dur").alias("dur"))
 
 
 def manifests(spark, sf_dir):
     """I-09: pseudo-label manifests written as JSON and read back, one row for each block."""
     path = new_path(spark, "manifests")
-    part = views.table(spark, sf_dir, "part").withColumn("m", F.col("p_partkey") % 20)
+    part = views.table(spark, sf_dir, "part").withColumn("m", F.col("p_partkey") % 20).withColumn("b", F.expr(f"p_partkey div {MANIFEST_KEYS}"))
     box = F.array(*[F.array(F.col("p_partkey") + k, F.col("p_partkey") + k + F.col("p_size")) for k in range(3)])
     block = F.struct(F.col("p_name").alias("block"), (F.col("p_size") / 50).alias("frac_instance"), (F.col("p_size") / 100).alias("frac_ignore"))
-    rows = part.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("p_partkey", box.alias("box"), block.alias("block")))).alias("all"))
-    rows.select(F.col("all.box").alias("bounding_boxes"), F.col("all.block").alias("blocks"), F.lit("round1").alias("label_name"), F.concat(F.lit("run"), "m").alias("run"), F.lit(1000).alias("step"), F.lit(4.0).alias("cc_logit"), F.lit(0.1).alias("tau_bg"), F.lit(0.9).alias("tau_fg"), F.lit(50).alias("min_size")).repartition(20).write.json(path)
+    rows = part.groupBy("m", "b").agg(F.array_sort(F.collect_list(F.struct("p_partkey", box.alias("box"), block.alias("block")))).alias("all"))
+    rows.select("m", "b", F.col("all.box").alias("bounding_boxes"), F.col("all.block").alias("blocks"), F.lit("round1").alias("label_name"), F.concat(F.lit("run"), "m").alias("run"), F.lit(1000).alias("step"), F.lit(4.0).alias("cc_logit"), F.lit(0.1).alias("tau_bg"), F.lit(0.9).alias("tau_fg"), F.lit(50).alias("min_size")).write.partitionBy("m", "b").json(path)
     out = readers.read_manifests(spark, path)
     return out.select("run", "step", F.col("box")[0][0].alias("x0"), F.col("box")[2][1].alias("z1"), F.round("frac_instance", 6).alias("frac_instance"), F.round("frac_ignore", 6).alias("frac_ignore"))
 
