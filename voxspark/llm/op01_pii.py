@@ -28,7 +28,7 @@ KEY = "voxspark-pseudonyms"  # a deployment passes its own
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z/+_.-]{0,64}\d)[A-Za-z0-9/+_.-]{7,255}[A-Za-z0-9/+_-]",
+    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z/+_.-]*+\d)[A-Za-z0-9/+_.-]{7,}[A-Za-z0-9/+_-]",
     "access_key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.A-Za-z]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d|[A-Za-z])",
@@ -182,7 +182,7 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
 
 def _secret(m: Column, key: str) -> tuple[Column, Column]:
     head = F.regexp_extract(m, r"^([A-Za-z_-]+\s*[=:]\s*[\"']?)", 1)
-    value = F.substring(m, F.length(head) + 1, F.lit(400))
+    value = F.substring(m, F.length(head) + 1, F.length(m))
     mask = _digest(key, F.lit("secret"), value)
     return F.lit(True), F.concat(head, F.rpad(mask, F.length(value), "0123456789abcdef"))
 
@@ -207,7 +207,7 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, into: str = "pii_kinds") -> DataFrame:
     """Replace ``text`` and add (or replace) ``into``, the kinds found in order."""
     body = F.col(text)
-    found = F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    found = F.when(body.rlike("[0-9@]|A[KS]IA"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     marked = marked.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
     gaps = F.split(body, ANY)
