@@ -2,19 +2,21 @@
 
 Loops cut their lineage with ``checkpoint()`` and multi-pass operators keep
 intermediate tables as Parquet.  Both go to the folder named by the session's
-``spark.checkpoint.dir``; only where that is unset (tests, notebooks on one
-machine) a temporary folder is chosen.
+``spark.checkpoint.dir``; only where that is unset on a local master (tests,
+notebooks on one machine) a temporary folder is chosen.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _MADE: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="voxspark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -46,7 +50,9 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -56,6 +62,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that nothing reads any more."""
+    for table in tables:
+        path = _PATHS.pop(table)
+        drop_path(table.sparkSession, path)
+        _MADE.remove(path)
+
+
 def clean(spark: SparkSession) -> int:
     """Delete all intermediate tables of this program; results that still read them must be written first."""
     n = len(_MADE)
