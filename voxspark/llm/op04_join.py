@@ -3,43 +3,52 @@
 Steps: (1) every text becomes its set of shingles, and documents with equal sets
 a class; (2) the sets are signed (``partenum``) and the signatures dealt out, 32
 bits each, packed into one binary per chunk of documents and partition; a
-partition sorts them and lists the classes that share one; (3) each class of a
-list is compared with the list's center; (4) around a center, classes that are
-still in different components are compared in blocks, inside the task, by
-sketches that bound the difference of two sets from below; (5) what is left is
-verified on the sets themselves.  Only sets of classes in some list are read again.
-
-All links between different texts are found (see ``partenum`` for the one
-proviso); pairs are never listed within a group of copies, and classes that are
-connected already are not compared again.
+partition sorts them and lists the classes that share one; (3) the classes of
+each list are compared with the list's center, by sketches that bound the
+difference of two sets from below, then on the sets themselves; (4) around a
+center, classes that are still in different components are compared in blocks,
+inside the task, by sketches, and what is left on the sets.  Texts are read again
+only for the classes that a step asks for.
+
+All links between different texts are found; pairs are never listed within a
+group of copies, and classes that are connected already are not compared again.
+Classes that share signatures but stay apart are compared block by block, so a
+crowd of such texts around one center costs its square in byte comparisons.
 
 Nulls and edge cases: a null or wordless text has no shingles and its own
 component; texts of fewer than five words are one shingle; repeated rows and
 equal texts share a class; where one key has several texts they count as one
-document; null keys get a null component; an empty table gives an empty result.
+document; null keys get a null component; keys are of any type that can be
+ordered; an empty table gives an empty result.  Extra columns are ignored by
+``similarity_components`` and kept by ``drop_near_copies``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxspark.functions.storage import stored
+from voxspark.functions.storage import drop, stored
 from voxspark.functions.workers import hold, ship
 from voxspark.llm import partenum
 from voxspark.operators.graph import connected_components
 
-CHUNK_FEATURES = 400_000
+CHUNK_FEATURES = 1_000_000
 PART_FEATURES = 1_200_000
 HOLD_SIGNATURES = 5_000_000
+SEEN_LISTS = 1_000_000
 BROADCAST_KEYS = 500_000
-BLOCK = 1500
+BLOCK = 300
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _class(features: np.ndarray) -> bytes:
@@ -57,35 +66,32 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
             half = np.frombuffer(b"".join(c[:8] for c in cls), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(half)], names=["key", "n", "cls", "id"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n long, cls binary, id long")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {_kind(docs, key)}, n long, cls binary, id long")
 
 
 def _pack(sets: dict[bytes, np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
-    """Signatures of a chunk as (part, count of classes, class ids, count, signatures, class of each)."""
+    """Signatures of a chunk as (part, count, low halves in order of their sets, steps from set to set)."""
     signature, owner = partenum.signatures(list(sets.values()))
     part = ((signature >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((owner, part))
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     low, owner = signature.astype(np.uint32)[order], owner[order].astype(np.uint16)
-    ids = np.frombuffer(b"".join(c[:8] for c in sets), dtype=np.int64)
-    for p in range(parts):
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = cuts[p], cuts[p + 1]
-        if a < b:
-            used, local = np.unique(owner[a:b], return_inverse=True)
-            yield p, len(used).to_bytes(4, "little") + ids[used].tobytes() + low[a:b].tobytes() + local.astype(np.uint16).tobytes()
+        steps = np.diff(owner[a:b], prepend=np.uint16(0))
+        yield p, int(b - a).to_bytes(4, "little") + low[a:b].tobytes() + (steps.astype(np.uint8) if steps.max() < 256 else steps).tobytes()
 
 
-def _unpack(part: int, blob: memoryview) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    ids = np.frombuffer(blob, dtype=np.int64, count=n, offset=4)
-    m = (len(blob) - 4 - 8 * n) // 6
-    low = np.frombuffer(blob, dtype=np.uint32, count=m, offset=4 + 8 * n)
-    local = np.frombuffer(blob, dtype=np.uint16, count=m, offset=4 + 8 * n + 4 * m)
-    return low.astype(np.uint64) | np.uint64(part << 32), ids[local]
+def _unpack(part: int, chunk: int, blob: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and tickets (chunk and place in it)."""
+    m = int.from_bytes(blob[:4], "little")
+    low = np.frombuffer(blob, dtype=np.uint32, count=m, offset=4)
+    steps = np.frombuffer(blob, dtype=np.uint8 if len(blob) == 4 + 5 * m else np.uint16, count=m, offset=4 + 4 * m)
+    return low.astype(np.uint64) | np.uint64(part << 32), chunk + np.cumsum(steps, dtype=np.int64)
 
 
-def _lists(signature: np.ndarray, ids: np.ndarray, by_bucket: bool) -> Iterator[tuple[int, list[int]]]:
-    """(list key, ids) of the signatures with several classes; equal lists come once if keyed by content."""
+def _lists(signature: np.ndarray, ids: np.ndarray, by_bucket: bool, seen: set[int]) -> Iterator[tuple[int, list[int]]]:
+    """(list key, ids) of the signatures with several ids; lists keyed by content that were ``seen`` are left out."""
     order = np.argsort(signature, kind="stable")
     same = np.diff(signature[order]) == 0
     shared = np.zeros(len(order), dtype=bool)
@@ -102,25 +108,36 @@ def _lists(signature: np.ndarray, ids: np.ndarray, by_bucket: bool) -> Iterator[
     signature, ids = signature[fresh], ids[fresh]
     first = np.flatnonzero(np.diff(signature, prepend=~signature[0]) != 0)
     size = np.diff(np.append(first, len(ids)))
-    seen = set()
     for start, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         members = ids[start : start + n]
         key = xxhash.xxh3_64_intdigest(signature[start].tobytes() if by_bucket else members.tobytes())
         if by_bucket or key not in seen:
-            seen.add(key)
+            if not by_bucket:
+                seen.add(key)
             yield key - (1 << 63), members.tolist()
 
 
-def candidate_lists(docs: DataFrame, text: str, features: int) -> DataFrame:
-    """(list, id) of the classes (first 64 bits of the digest) that share a signature."""
+def candidate_lists(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
+    """(list, key) of the classes that share a signature, each class by its smallest key; a stored table.
+
+    Signatures carry a ticket, 48 bits of their chunk and the set's place in it;
+    the classes of a chunk's places go along as one row.  A chunk is named by the
+    classes in it, so a task that runs again gives the same names or others that
+    fit as well.
+    """
+    features = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slots = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(features / PART_FEATURES))
     parts = 4 * slots
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             rows = list(_pack(chunk, parts))
+            ids = b"".join(c[:8] for c in chunk)
+            name = xxhash.xxh3_64_intdigest(ids) >> 16 << 16
+            name -= (name >> 63) << 64
             chunk.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
+            rows.append((-1 - (name >> 16) % parts, ids))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "chunk", "blob"])
 
         hold("op4", partenum.forget)
         chunk: dict[bytes, np.ndarray] = {}
@@ -139,21 +156,34 @@ def candidate_lists(docs: DataFrame, text: str, features: int) -> DataFrame:
             yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(lists: list, chunk: int | None) -> Iterator[pa.RecordBatch]:
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in lists], pa.int64()), pa.array([chunk] * len(lists), pa.int64()), pa.array([r[1] for r in lists], pa.list_(pa.int64()))], names=["list", "chunk", "ids"])
+
         def flush(by_bucket: bool) -> Iterator[pa.RecordBatch]:
             signature, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             held.clear()
-            rows = list(_lists(signature, ids, by_bucket))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["list", "ids"])
-            if by_bucket:  # a hot partition goes on with one class of each signature
+            if len(seen) > SEEN_LISTS:
+                seen.clear()
+            yield from rows_of(list(_lists(signature, ids, by_bucket, seen)), None)
+            if by_bucket:  # a hot part goes on with one id of each signature
                 keep = np.unique(signature, return_index=True)[1]
-                held[:] = [(signature[keep], ids[keep])]
+                held.append((signature[keep], ids[keep]))
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, limit, split = 0, HOLD_SIGNATURES, False
+        seen: set[int] = set()
+        now, size, limit, split = None, 0, HOLD_SIGNATURES, False
         for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
-                held.append(_unpack(part, memoryview(blob.as_buffer())))
+            for part, chunk, blob in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                if part < 0:  # the classes of a chunk
+                    yield from rows_of([(None, np.frombuffer(blob.as_buffer(), dtype=np.int64).tolist())], chunk)
+                    continue
+                if part != now:
+                    if held:
+                        yield from flush(split)
+                    held.clear()
+                    now, size, limit, split = part, 0, HOLD_SIGNATURES, False
+                held.append(_unpack(part, chunk, memoryview(blob.as_buffer())))
                 size += len(held[-1][0])
                 if size >= limit:
                     split = True
@@ -163,14 +193,20 @@ def candidate_lists(docs: DataFrame, text: str, features: int) -> DataFrame:
         if held:
             yield from flush(split)
 
-    blobs = docs.select(text).mapInArrow(sign, "part int, blob binary")
-    lists = blobs.repartition(slots, "part").mapInArrow(gather, "list long, ids array<long>")
-    return stored(lists, "lists").distinct().select("list", F.explode("ids").alias("id"))
+    blobs = docs.select(text).mapInArrow(sign, "part int, chunk long, blob binary")
+    found = stored(blobs.repartition(slots, "part").sortWithinPartitions("part").mapInArrow(gather, "list long, chunk long, ids array<long>"), "lists")
+    lists = found.where("list is not null").dropDuplicates(["list", "ids"]).select("list", F.explode("ids").alias("ticket"))
+    places = found.where("chunk is not null").select("chunk", F.posexplode("ids").alias("place", "id"))
+    # the first 64 bits of a digest name a class; two classes of one name are both candidates
+    places = places.select((F.col("chunk") + F.col("place")).alias("ticket"), "id").distinct().join(classes.select("id", F.col("rep").alias("key")), "id")
+    members = stored(lists.join(places.select("ticket", "key"), "ticket").select("list", "key").distinct(), "members")
+    drop(found)
+    return members
 
 
-def read_sets(docs: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, sketch, features) of the rows whose key is asked for."""
-    wanted = _small(stored(keys, "wanted"))
+def read_sets(docs: DataFrame, keys: DataFrame, key: str, text: str, sketches: bool) -> DataFrame:
+    """(key, n, band, cut, content) of the rows whose key is asked for: both sketches and the length of the first, or the features."""
+    wanted = _small(stored(keys.select("key").distinct(), "wanted"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +215,12 @@ def read_sets(docs: DataFrame, keys: DataFrame, key: str, text: str) -> DataFram
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 sets = [partenum.shingles(x.as_py()) for x in part.column("text")]
-                arrays = [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([partenum.sketch(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "sketch", "features"])
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                contents = [(partenum.sketch(s) if sketches else s.tobytes()) if len(s) else b"" for s in sets]
+                arrays = [part.column("key"), pa.array(sizes), pa.array(partenum.band_of(sizes), pa.int32()), pa.array([partenum.cell_counts(n)[0] for n in sizes], pa.int32()), pa.array(contents, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "band", "cut", "content"])
 
-    return stored(rows.mapInArrow(run, "key long, n long, sketch binary, features binary"), "sets")
+    return stored(rows.mapInArrow(run, f"key {_kind(docs, key)}, n long, band int, cut int, content binary"), "sets")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -190,96 +228,126 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """pairs(u, v), a stored table, with the columns of both ends, suffixed _u and _v.
-
-    Each end picks its rows of ``sets`` first, so only what some pair needs is shuffled.
+def _grouped(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of equal values of some columns, as slices of the batches."""
+    now, held = None, []
+    for batch in batches:
+        groups = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+        start = 0
+        while start < len(groups):
+            stop = start
+            while stop < len(groups) and groups[stop] == groups[start]:
+                stop += 1
+            if groups[start] != now and held:
+                yield now, held
+                held = []
+            now = groups[start]
+            held.append(batch.slice(start, stop - start))
+            start = stop
+    if held:
+        yield now, held
+
+
+def beside_hubs(pairs: DataFrame, sets: DataFrame, test: Callable[[int, bytes, int, bytes], bool]) -> DataFrame:
+    """The pairs (hub, key), a stored table, whose contents pass a test.
+
+    A hub's pairs are dealt into blocks; the hub is sent once to each block and
+    every key once for each of its hubs, so nothing is shipped twice for a pair.
     """
-    few = _small(pairs)
-    ends = [sets.join(few, sets["key"] == few[end]).select("u", "v", *[F.col(c).alias(f"{c}_{end}") for c in columns]) for end in ("u", "v")]
-    return ends[0].join(ends[1], ["u", "v"])
-
-
-def sketch_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that their sketches cannot rule out."""
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = stored(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key"), "dealt")
+    places = dealt.select("hub", "block", "key", F.lit(1).alias("place")).union(dealt.select("hub", "block", F.col("hub").alias("key"), F.lit(0).alias("place")).distinct())
+    rows = sets.join(_small(stored(places, "places")), "key").repartition("hub", "block").sortWithinPartitions("hub", "block", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n_u", "sketch_u", "n_v", "sketch_v")]
-            keep = pa.array([partenum.may_link(*row) for row in zip(*columns, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+            keep = []
+            for i, (h, b, place, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "place", "n")), strict=True)):
+                content = batch.column("content")[i].as_buffer()
+                if place == 0:
+                    if now != (h, b):
+                        now, hub = (h, b), []
+                    hub.append((n, content))  # one, but for keys with several texts
+                elif now == (h, b):
+                    if any(test(*own, n, content) for own in hub):
+                        keep.append(i)
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("key")], names=["hub", "key"])
 
-    return _beside(pairs, sets, "n", "sketch").mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, f"hub {_kind(pairs, 'hub')}, key {_kind(pairs, 'key')}").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are links, by their whole sets."""
+def _linked(n: int, one: bytes, m: int, other: bytes) -> bool:
+    return partenum.linked(np.frombuffer(one, dtype=np.uint64), np.frombuffer(other, dtype=np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [partenum.linked(np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)) for a, b in zip(batch.column("features_u"), batch.column("features_v"), strict=True)]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
-    return _beside(pairs, sets, "features").mapInArrow(run, "u long, v long")
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (hub, key), a stored table, that are links, by their whole sets; a stored table as well."""
+    sets = read_sets(docs, pairs.select("key").union(pairs.select("hub")), key, text, sketches=False)
+    links = stored(beside_hubs(pairs, sets, _linked), "links")
+    drop(sets)
+    return links
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """(center, key): every class of a list beside the list's center.
+    """(hub, key): every class of a list beside the list's center; a stored table, ``members`` is dropped.
 
     The center is the class that is in most lists: the text that others were
     copied from shares more signatures with the copies than they share.
     """
     degree = members.groupBy("key").agg(F.count("*").alias("degree"))
-    ranked = members.join(degree, "key")
-    center = ranked.groupBy("list").agg(F.max_by("key", F.struct("degree", -F.col("key"))).alias("center"))
-    return members.join(center, "list").where("key <> center").select("center", "key").distinct()
+    ranked = stored(members.join(degree, "key"), "ranked")
+    most = ranked.groupBy("list").agg(F.max("degree").alias("degree"))
+    center = ranked.join(most, ["list", "degree"]).groupBy("list").agg(F.min("key").alias("hub"))
+    star = stored(ranked.select("list", "key").join(center, "list").where("key <> hub").select("hub", "key").distinct(), "star")
+    drop(members, ranked)
+    return star
 
 
-def open_pairs(star: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components around one center that their sketches cannot rule out.
+def open_pairs(star: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (hub, key) of different components around one center that their sketches cannot rule out.
 
     The classes of a list all stand around its center, so every pair of a list
-    is compared, and a pair around one center only once.  A center with many
-    classes is cut into blocks by a hash of them; each pair of blocks is one group.
+    is compared, and a pair around one center only once.  Only sets of one band,
+    or of a band and the one below, can be links, so each band of a center is a
+    group of its own.  Most of a large group is in one component: these classes
+    are dealt into blocks, and the others, in blocks as well, meet each of them
+    and each other.
     """
-    rows = stored(star.join(components.withColumnRenamed("node", "key"), "key", "left").select("center", "key", F.coalesce("root", "key").alias("root")), "around")
-    mixed = rows.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
-    mixed = stored(mixed.select("center", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = stored(rows.join(mixed, "center"), "around")
-    keys = stored(rows.select("key").distinct(), "keys")
-    rows = rows.join(sets.select("key", "n", "sketch").join(_small(keys), "key", "left_semi"), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "n", "sketch")
-    names = ("key", "root", "n", "own")
+    kind = _kind(star, "key")
+    around = star.select("hub", "key").union(star.select("hub", F.col("hub").alias("key")).distinct())
+    around = around.join(components.withColumnRenamed("node", "key"), "key", "left").select("hub", "key", F.coalesce("root", "key").alias("root"))
+    around = stored(around.join(sketches.select("key", "band").distinct(), "key").select("hub", "key", "root", "band", F.explode(F.array("band", F.col("band") + 1)).alias("level")), "around")
+    roots = around.groupBy("hub", "level", "root").agg(F.count("*").alias("n"), F.max(F.col("level") == F.col("band")).alias("own"))
+    groups = roots.groupBy("hub", "level").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("big"), F.sum("n").alias("all"), F.count("*").alias("roots"), F.max("own").alias("own"))
+    groups = stored(groups.where("roots > 1 and own").select("hub", "level", "top", F.ceil(F.col("big") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("big")) / BLOCK).cast("int").alias("rests")), "mixed")
+    dealt = around.join(_small(groups), ["hub", "level"]).withColumn("is_top", F.col("root") == F.col("top"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("key"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+
+    def upto(n: str, i: str, j: str) -> Column:
+        return F.expr(f"transform(sequence(0, {n} - 1), x -> struct({i} as i, {j} as j))")
+
+    # block i of the top component with block j of the rest, or (from tops on) two blocks of the rest
+    met = F.when(F.col("is_top"), upto("rests", "side", "x")).otherwise(F.concat(upto("tops", "x", "side"), upto("rests", "tops + least(x, side)", "greatest(x, side)")))
+    places = dealt.withColumn("met", F.explode(met)).select("hub", "level", "met.i", "met.j", "tops", F.when(F.col("met.i") < F.col("tops"), F.col("is_top").cast("int")).otherwise(F.col("side")).alias("side"), "root", "key")
+    rows = sketches.join(_small(stored(places, "places")), "key")
+    own = F.col("band") == F.col("level")
+    rows = rows.select("hub", "level", "i", "j", "tops", "side", "root", "key", "n", own.alias("own"), F.when(own, F.expr("substring(content, 1, cut)")).otherwise(F.expr("substring(content, cut + 1)")).alias("sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            groups = list(zip(*(batch.column(c).to_pylist() for c in ("center", "i", "j")), strict=True))
-            start = 0
-            while start < len(groups):
-                stop = start
-                while stop < len(groups) and groups[stop] == groups[start]:
-                    stop += 1
-                if groups[start] != now:
-                    yield from _compared(now, held)
-                    now, held = groups[start], []
-                held.append(batch.slice(start, stop - start))
-                start = stop
-        yield from _compared(now, held)
-
-    def _compared(group: tuple | None, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        key, root, n, own = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in names)
-        sketches = [x for b in held for x in b.column("sketch").to_pylist()]
-        u, v = partenum.cross_pairs(key, root, n, own, sketches, group[1] == group[2])
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    dealt = rows.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "key")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+        for (_, _, i, j, tops), held in _grouped(batches, "hub", "level", "i", "j", "tops"):
+            group = pa.Table.from_batches(held)
+            columns = {c: group.column(c).to_numpy() for c in ("n", "own", "side")}
+            root = np.unique(group.column("root").to_numpy(), return_inverse=True)[1]
+            grid = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(root), -1)
+            u, v = partenum.cross_pairs(root, columns["n"], columns["own"], columns["side"], grid, i - tops == j)
+            if len(u):
+                key = group.column("key").combine_chunks()
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(u)), key.take(pa.array(v))], names=["u", "v"])
+
+    found = rows.repartition("hub", "level", "i", "j").sortWithinPartitions("hub", "level", "i", "j").mapInArrow(run, f"u {kind}, v {kind}")
+    return found.select(F.greatest("u", "v").alias("hub"), F.least("u", "v").alias("key")).distinct()
 
 
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,16 +355,16 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     ship(docs.sparkSession)
     meta = stored(document_sets(docs, key, text), "meta")
     classes = stored(meta.where("n > 0 and key is not null").groupBy("cls", "id").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "classes")
-    features = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    lists = candidate_lists(docs, text, features).join(classes.select("id", F.col("rep").alias("key")), "id")
-    members = stored(lists.select("list", "key").distinct(), "members")
-    star = stored(star_pairs(members), "star")
-    sets = read_sets(docs, members.select("key").distinct(), key, text)
-    pairs = stored(star.select(F.greatest("center", "key").alias("u"), F.least("center", "key").alias("v")).distinct(), "pairs")
-    links = stored(verify(stored(sketch_filter(pairs, sets), "close"), sets), "links")
-    components = stored(connected_components(links), "components")
-    more = verify(stored(open_pairs(star, components, sets), "open"), sets)
-    components = connected_components(stored(links.union(more), "links"))
+    star = star_pairs(candidate_lists(docs, text, classes))
+    sketches = read_sets(docs, star.select("key").union(star.select("hub")), key, text, sketches=True)
+    close = stored(beside_hubs(star, sketches, partenum.may_link), "close")
+    links = verified(close, docs, key, text)
+    components = stored(connected_components(links.withColumnsRenamed({"hub": "u", "key": "v"})), "components")
+    apart = stored(open_pairs(star, components, sketches), "open")
+    drop(sketches)
+    more = verified(apart, docs, key, text)
+    if not more.isEmpty():
+        components = connected_components(components.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     found = meta.join(classes.select("cls", "rep"), "cls", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("key", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "key").alias("component_id"))
 

@@ -4,30 +4,29 @@ For sets of sizes a and b, |A n B| >= 0.8 |A u B| means that they differ in at
 most (a + b) / 9 features.  Sizes are cut into bands whose upper ends grow by a
 quarter, so similar sets lie in one band or in neighbouring ones; every set is
 signed for its own band and for the next.  In a band that ends at r, sets differ
-in at most k = 2r/9 features.  The feature domain is partitioned into n1 groups
-with 2 n1 > k, so some groups have at most one difference, and each group into
-three parts, of which every pair is enumerated: the pair without the difference
-is the same in both sets, and so is its signature.
-
-An empty pair of parts says nothing and gets no signature.  Counting alone leaves
-EXTRA more groups with at most one difference than the one that is needed, so a
-link is missed only if all of these hold their features in a single part that
-also holds the difference: below one pair in a million of those that lie exactly
-on the threshold, none elsewhere.  Small sets are signed by the features of
-their prefix instead: of the a - ceil(0.8 a) + 1 lowest features in a common
-order, similar sets share one.
+in at most k = 2r/9 features; where that is 0, similar sets are equal and need no
+signature.  The feature domain is partitioned into n1 groups with 2 n1 > k, so
+some groups have at most one difference, and each group into three parts, of
+which every pair is enumerated: the pair without the difference is the same in
+both sets, and so is its signature.
+
+An empty pair of parts says nothing and gets no signature.  So two similar sets
+share none only if each group without a difference is empty, and each group with
+one difference holds its features in one part.  With e empty groups, and p groups
+that are empty or have a single part filled, the sets differ then in at least
+2 n1 - e - p features.  A set with 2 n1 - e - p <= k may miss a link, and its
+partner knows the same of itself: both are signed once more, for another
+partition of the domain, and so on; what is still open after ``ROUNDS`` turns has
+its empty pairs signed too.  No link is lost, whatever the sets.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import xxhash
 
 SHINGLE = 5
-EXTRA = 2
-SMALL = 16  # sets up to this size are signed by prefix
+ROUNDS = 16
 CACHE_WORDS = 200_000
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]  # odd, without a pattern
 
@@ -40,16 +39,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _bands() -> np.ndarray:
-    ends = [SMALL]
+    ends = [1]
     while ends[-1] < 1 << 33:
-        ends.append(math.ceil(ends[-1] * 1.25))
+        ends.append(max(ends[-1] + 1, ends[-1] * 5 // 4))
     return np.array(ends, dtype=np.int64)
 
 
-BANDS = _bands()  # upper ends; band 0 holds the small sets
-
-
-GROUPS = (2 * BANDS // 9) // 2 + 1 + EXTRA  # in each band: more than half of k
+BANDS = _bands()  # upper ends
+DIFFERENCES = 2 * BANDS // 9  # k of each band
+GROUPS = DIFFERENCES // 2 + 2 + DIFFERENCES // 48  # more than k / 2; the groups beyond that spare most sets a second turn
 
 _WORDS: dict[bytes, int] = {}
 
@@ -86,12 +84,15 @@ def band_of(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(BANDS, sizes)
 
 
-def _signed(flat: np.ndarray, doc: np.ndarray, docs: np.ndarray, instance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) of one instance per document; ``doc`` has the place in ``docs`` of every feature."""
+def _signed(flat: np.ndarray, doc: np.ndarray, docs: np.ndarray, instance: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document) of one instance per document, and which documents may need another turn.
+
+    ``doc`` has the place in ``docs`` of every feature.
+    """
     n1 = GROUPS[instance]
     offsets = np.zeros(len(docs) + 1, dtype=np.int64)
     np.cumsum(3 * n1, out=offsets[1:])
-    spread = mix(flat + np.uint64(0x5851F42D4C957F2D))
+    spread = mix(flat + np.uint64(0x5851F42D4C957F2D * (2 * turn + 1) % (1 << 64)))
     group = ((spread >> np.uint64(32)) * n1[doc].astype(np.uint64)) >> np.uint64(32)
     part = (spread & np.uint64(0xFFFFFFFF)) * np.uint64(3) >> np.uint64(32)
     cell = offsets[doc] + (3 * group + part).astype(np.int64)
@@ -104,58 +105,58 @@ def _signed(flat: np.ndarray, doc: np.ndarray, docs: np.ndarray, instance: np.nd
     sums, filled = sums.reshape(-1, 3), filled.reshape(-1, 3)
     owner = np.repeat(np.arange(len(docs)), n1)
     place = np.arange(len(owner)) - offsets[owner] // 3
-    tag = mix(instance[owner].astype(np.uint64) << np.uint64(40) | place.astype(np.uint64))
+    tag = mix(instance[owner].astype(np.uint64) << np.uint64(48) | np.uint64(turn) << np.uint64(40) | place.astype(np.uint64))
+    parts = filled.sum(axis=1)
+    poor = np.bincount(owner, weights=(parts == 0) * 2 + (parts == 1), minlength=len(docs))  # e + p
+    again = 2 * n1 - poor <= DIFFERENCES[instance]
     out, owners = [], []
     for left, right in ((0, 1), (0, 2), (1, 2)):
         some = filled[:, left] | filled[:, right]
+        if turn == ROUNDS:  # the last turn says even that nothing is there
+            some |= again[owner]
         signature = mix(mix(sums[:, left] + np.uint64(left + 1)) + sums[:, right] * np.uint64(0x2545F4914F6CDD1D) + tag + np.uint64(3 * left + right))
         out.append(signature[some])
         owners.append(docs[owner[some]])
-    return np.concatenate(out), np.concatenate(owners)
+    return np.concatenate(out), np.concatenate(owners), again
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of some sets, and which set each is of; empty sets have none."""
+    """All signatures of some sets, and which set each is of; sets that are only like their equals have none."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     band = band_of(sizes)
     out, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for i in np.flatnonzero((band <= 1) & (sizes > 0)):  # the small ones, and those that may be like them
-        n = int(sizes[i])
-        out.append(mix(sets[i][: n - -(-4 * n // 5) + 1] + np.uint64(0xA0761D6478BD642F)))
-        owners.append(np.full(len(out[-1]), i))
-    big = np.flatnonzero(band > 0)
-    if len(big):
-        flat = np.concatenate([sets[i] for i in big])
-        doc = np.repeat(np.arange(len(big)), sizes[big])
-        for ahead in (0, 1):
-            s, o = _signed(flat, doc, big, band[big] + ahead)
+    for ahead in (0, 1):
+        at = np.flatnonzero((sizes > 0) & (DIFFERENCES[band + ahead] > 0))
+        for turn in range(ROUNDS + 1):
+            if not len(at):
+                break
+            doc = np.repeat(np.arange(len(at)), sizes[at])
+            s, o, again = _signed(np.concatenate([sets[i] for i in at]), doc, at, band[at] + ahead, turn)
             out.append(s)
             owners.append(o)
+            at = at[again]
     return np.concatenate(out), np.concatenate(owners)
 
 
-def sketch(features: np.ndarray) -> bytes:
-    """A byte for each of about n / 2 cells of the domain; equal sets of a band have equal sketches.
-
-    Cells are numbered by band, so sketches compare within two neighbouring
-    bands only where both are made for the same one: the upper.
-    """
-    return b"".join(_cells(features, b) for b in (0, 1))
-
-
 def cell_counts(size: int) -> tuple[int, int]:
     """Cells of the two sketches of a set: for its own band and for the next."""
     band = int(band_of(np.array([size]))[0])
-    return int(BANDS[band]) // 2, int(BANDS[band + 1]) // 2
+    return int(BANDS[band]) // 2 + 1, int(BANDS[band + 1]) // 2 + 1
 
 
-def _cells(features: np.ndarray, ahead: int) -> bytes:
-    cells = cell_counts(len(features))[ahead]
+def sketch(features: np.ndarray) -> bytes:
+    """A byte for each of about n / 2 cells of the domain, for the set's own band and for the next.
+
+    Cells are numbered by band, so sketches compare within two neighbouring
+    bands only where both are made for the same one: the upper.
+    """
     spread = mix(features + np.uint64(0x60BEE2BEE120FC15))
-    at = ((spread >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
-    out = np.zeros(cells, dtype=np.uint8)
-    np.add.at(out, at, ((spread & np.uint64(0xFF)) | np.uint64(1)).astype(np.uint8))
-    return out.tobytes()
+    high, value = spread >> np.uint64(32), ((spread & np.uint64(0xFF)) | np.uint64(1)).astype(np.float64)
+    out = b""
+    for cells in cell_counts(len(features)):
+        at = (high * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+        out += np.bincount(at, weights=value, minlength=cells).astype(np.int64).astype(np.uint8).tobytes()
+    return out
 
 
 def may_link(n: int, one: bytes, m: int, other: bytes) -> bool:
@@ -168,46 +169,33 @@ def may_link(n: int, one: bytes, m: int, other: bytes) -> bool:
     if 5 * m < 4 * n:
         return False
     high, low = band_of(np.array([n, m]))
-    if high - low > 1:
-        return False
     own, after = cell_counts(n)[0], cell_counts(m)
     a = np.frombuffer(one, dtype=np.uint8, count=own)
     b = np.frombuffer(other, dtype=np.uint8, count=after[high - low], offset=0 if high == low else after[0])
     return 9 * int(np.count_nonzero(a != b)) <= n + m
 
 
-def cross_pairs(key: np.ndarray, root: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: list[bytes], one_block: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(larger key, smaller key) of the pairs of different roots that may be links.
+def cross_pairs(root: np.ndarray, n: np.ndarray, own: np.ndarray, side: np.ndarray, sketches: np.ndarray, one_block: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different roots that may be links, of sets that have sketches for one band.
 
-    Of two blocks only pairs across them are compared.
+    ``own`` says which sets have that band themselves: one of a pair must.  Of
+    two blocks only pairs across the sides are compared.
     """
-    band = band_of(n)
-    u, v = [], []
-    rows = {}
-    for b in np.unique(band):
-        at = np.flatnonzero(band == b)
-        at = at[np.argsort(n[at], kind="stable")]
-        cells = cell_counts(int(n[at[0]]))
-        both = np.frombuffer(b"".join(sketches[i] for i in at), dtype=np.uint8).reshape(len(at), -1)
-        rows[int(b)] = (at, both[:, : cells[0]], both[:, cells[0] :])
-
-    def compare(i: int, mine: np.ndarray, at: np.ndarray, theirs: np.ndarray) -> None:
-        fits = (root[at] != root[i]) & (4 * np.maximum(n[at], n[i]) <= 5 * np.minimum(n[at], n[i]))
+    u, v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    ends = np.searchsorted(size, size * 5 // 4, side="right")  # the last partner's size
+    for k, i in enumerate(order):
+        at = order[k + 1 : ends[k]]
+        fits = (root[at] != root[i]) & (own[at] | own[i])
         if not one_block:
-            fits &= own[at] != own[i]
-        some = np.flatnonzero(fits)
-        if len(some):
-            apart = (theirs[some] != mine).sum(axis=1)
-            close = at[some[9 * apart <= n[at[some]] + n[i]]]
-            u.append(np.maximum(key[close], key[i]))
-            v.append(np.minimum(key[close], key[i]))
-
-    for b, (at, mine, ahead) in rows.items():
-        for k, i in enumerate(at):
-            compare(i, mine[k], at[k + 1 :], mine[k + 1 :])
-            if b + 1 in rows:
-                compare(i, ahead[k], rows[b + 1][0], rows[b + 1][1])
-    return (np.concatenate(u), np.concatenate(v)) if u else (key[:0], key[:0])
+            fits &= side[at] != side[i]
+        at = at[fits]
+        if len(at):
+            close = at[9 * (sketches[at] != sketches[i]).sum(axis=1) <= n[at] + n[i]]
+            u.append(np.full(len(close), i))
+            v.append(close)
+    return np.concatenate(u), np.concatenate(v)
 
 
 def linked(one: np.ndarray, other: np.ndarray) -> bool:
