@@ -40,7 +40,8 @@ from voxspark.llm import partenum
 from voxspark.operators.graph import connected_components
 
 CHUNK_FEATURES = 1_000_000
-PART_FEATURES = 1_200_000
+PART_FEATURES = 300_000
+TASK_FEATURES = 10_000_000
 HOLD_SIGNATURES = 5_000_000
 SEEN_LISTS = 1_000_000
 BROADCAST_KEYS = 500_000
@@ -126,8 +127,9 @@ def candidate_lists(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame
     fit as well.
     """
     features = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    slots = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(features / PART_FEATURES))
-    parts = 4 * slots
+    # a task takes its parts one after the other, and lists that several of them have once
+    slots = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(features / TASK_FEATURES))
+    parts = max(4 * slots, math.ceil(features / PART_FEATURES))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -254,8 +256,9 @@ def beside_hubs(pairs: DataFrame, sets: DataFrame, test: Callable[[int, bytes, i
     A hub's pairs are dealt into blocks; the hub is sent once to each block and
     every key once for each of its hubs, so nothing is shipped twice for a pair.
     """
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = stored(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key"), "dealt")
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = stored(pairs.join(_small(stored(sizes, "sizes")), "hub", "left").select("hub", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), "key"), "dealt")
     places = dealt.select("hub", "block", "key", F.lit(1).alias("place")).union(dealt.select("hub", "block", F.col("hub").alias("key"), F.lit(0).alias("place")).distinct())
     rows = sets.join(_small(stored(places, "places")), "key").repartition("hub", "block").sortWithinPartitions("hub", "block", "place")
 
