@@ -1,22 +1,31 @@
 """HTML main text by line-block distribution.
 
 The markup is stripped into lines (one per block element; inline tags vanish,
-``<br>`` is white space).  Lines of navigation, adverts, forms and other page
-furniture keep their place but have no length, as do lines outside the article
-where the page marks one, and lines that are mostly links where it does not.
-Lengths are summed over sliding windows of ``WINDOW`` lines; a sum above the
-threshold is a surge, the next window without text is the dive, and the lines
-between them are the main text.
+``<br>`` is white space).  Every line has a weight: its code points outside
+links, more where the page marks it as part of an article, less where the page
+has an article elsewhere, none for navigation, adverts, forms, copyright lines
+and other page furniture.  Weights are summed over sliding windows of ``WINDOW``
+lines; a sum above the threshold is a surge, the next window without weight is
+the dive, and the lines between them, furniture excepted, are the main text.
+
+Class, id and role values are judged by their words: plain ones name furniture
+on any element that structures a page; doubtful ones (``side``, ``related``)
+only outside an article, or inside one on short or linked lines; neither counts
+on elements of running text or on a main element that has another word as well.
 
 A null or empty page has the text ``''``; comments, scripts and tags that are
-never closed end with the page; repeated rows are extracted each.
+never closed end with the page; repeated rows are extracted each; an empty table
+gives an empty result; columns named ``text`` or ``n_chars`` are replaced, all
+others are kept.  Time and memory are linear in a page, however deep its nesting.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,26 +33,31 @@ from pyspark.sql import DataFrame, SparkSession
 from voxspark.functions.workers import ship
 
 WINDOW = 3
-SURGE = 86  # code points in a window; less on pages that have no such window
+SURGE = 86  # weight of a window; less on pages that have no such window
+INSIDE, OUTSIDE = 8, 0.25  # weight of a code point in the marked article, and beside it
+SHORT = 80  # a line that is no running text
 
 #: fixed values: HTML element names
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object textarea title select".split())
 FURNITURE = frozenset("nav header footer aside form menu menuitem button dialog fieldset head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RUNNING = INLINE | frozenset("p blockquote pre q h1 h2 h3 h4 h5 h6 dd dt figure figcaption td th tr table tbody".split())
+MAIN = frozenset(("html", "body", "article", "main"))
 #: words of class, id and role values that name page furniture
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promoted|navs?|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|header|masthead|footers?|foot|complementary|contentinfo"
-    r"|comments?|comment-?list|replies|respond|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|signup|login|social|shar(?:e|ing)|related|recommended|recommendations|search|pagination|pager|toolbar|widgets?|hidden|skip-?link|sr-only)(?:$|[\s_-])",
+PLAIN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promoted|navs?|navbar|navigation|menus?|breadcrumbs?|sidebars?|masthead|footers?|complementary|contentinfo"
+    r"|comments|comment-?(?:list|form|area|section|body)|replies|respond|disqus|cookies?|consent|gdpr|notices?|popups?|modals?|newsletters?|subscribe|signup|login|social|pagination|pager|toolbar|skip-?link|sr-only)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-#: those that may hold <article> elements of readers
+#: words that may as well stand on a part of the article
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:side|foot|header|related|recommended|recommendations|alerts?|hidden|shar(?:e|ing)|overlay|search|widgets?|comment)(?:$|[\s_-])", re.IGNORECASE)
+#: words of elements of readers, or of cards that lead elsewhere
 READERS = re.compile(r"comment|repl(?:y|ies)|respond|disqus|related|recommend", re.IGNORECASE)
+RIGHTS = re.compile(r"\W*(?:©|\(c\)|copyright\b)|.*\ball rights reserved\b", re.IGNORECASE | re.DOTALL)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 #: one attribute: its whole name and its value, quoted or bare; a quote that is never closed takes the rest and gives no value
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"'].*\Z|([^\s>]+)))?", re.DOTALL)
-#: elements that are furniture only where they hold readers' words
-WHOLE = frozenset(("html", "body", "article", "main"))
 
 
 def _furniture(name: str, attributes: str) -> str:
@@ -51,30 +65,56 @@ def _furniture(name: str, attributes: str) -> str:
     if name in FURNITURE or name in RAW:
         return name
     found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
-    if name in WHOLE and not any(key in ("class", "id", "role") and READERS.search(value) for key, value in found):
-        return ""
+    values = [value for key, value in found if key in ("class", "id", "role")]
+    if name in MAIN:  # every word must be a reader's
+        words = " ".join(values).split()
+        return words[0] if words and all(map(READERS.search, words)) else ""
     for key, value in found:
-        if key in ("class", "id", "role") and HINT.search(value):
-            return value
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return "hidden"
-    return ""
+    for value in values:
+        if PLAIN.search(value) and (name not in RUNNING or len(value.split()) == 1):
+            return value
+    return next((value for value in values if name not in RUNNING and DOUBTFUL.search(value)), "")
+
+
+def _doubtful(name: str, why: str) -> bool:
+    """Whether a reason of :func:`_furniture` is a word that may as well stand on a part of the article."""
+    return name not in MAIN and why not in ("", "hidden", name) and not PLAIN.search(why)
+
 
+class Line(NamedTuple):
+    text: str
+    linked: int  # code points in links
+    junk: bool  # furniture
+    doubtful: bool  # inside an element of a doubtful name
+    article: bool  # in an article
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, is furniture, is in an article) of every line, in order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, str]] = []  # open block elements and why they are furniture
-    skipped, articles, links, linked, at = 0, 0, 0, 0, 0
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page, in order."""
+    out: list[Line] = []
+    stack: list[tuple[str, str, bool]] = []  # open block elements, why they are furniture, whether that is doubtful
+    opened: Counter[str] = Counter()  # their names
+    skipped, doubts, readers, articles, links, linked, at = 0, 0, 0, 0, 0, 0, 0
     buffer: list[str] = []
 
     def cut() -> None:
         nonlocal linked
         if text := " ".join(html.unescape("".join(buffer)).split()):
-            out.append((text, linked, skipped > 0, articles > 0))
+            out.append(Line(text, min(linked, len(text)), skipped > 0, doubts > 0, articles > 0))
         buffer.clear()
         linked = 0
 
+    def count(element: tuple[str, str, bool], by: int) -> None:
+        nonlocal skipped, doubts, readers, articles
+        name, why, doubtful = element
+        opened[name] += by
+        skipped += by * (bool(why) and not doubtful)
+        doubts += by * doubtful
+        readers += by * (why != "" and READERS.search(why) is not None)
+        articles += by * (name in ("article", "main"))
+
     size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -94,67 +134,78 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 buffer.append(" ")
             elif name == "a":
                 links = 0 if closing else 1
-            if not closing or name not in [s[0] for s in stack]:
+            if not closing or not opened[name]:
                 continue
         cut()
         links = 0
         if closing:
-            if any(s[0] == name for s in stack):
-                while True:
-                    top, why = stack.pop()
-                    skipped -= bool(why)
-                    articles -= top in ("article", "main")
-                    if top == name:
-                        break
+            while opened[name]:
+                element = stack.pop()
+                count(element, -1)
+                if element[0] == name:
+                    break
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
-                skipped -= bool(stack.pop()[1])
+                count(stack.pop(), -1)
             why = _furniture(name, attributes)
-            if name in ("article", "main") and not why and not any(READERS.search(w) for _, w in stack):
+            if name in ("article", "main") and not why and not readers:
                 # an article never stands inside furniture: what is open was not closed
-                while skipped:
-                    skipped -= bool(stack.pop()[1])
-            stack.append((name, why))
-            skipped += bool(why)
-            articles += name in ("article", "main")
+                while skipped or doubts:
+                    count(stack.pop(), -1)
+            stack.append((name, why, _doubtful(name, why)))
+            count(stack[-1], 1)
     cut()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page, its blocks joined by one space."""
-    found = lines(page or "")
-    marked = any(article and not junk for _, _, junk, article in found)
-    weights = []
-    for text, linked, junk, article in found:
-        if junk or marked and not article or not marked and 2 * linked > len(text):
-            weights.append(0)
-        else:  # a line of a marked article is evidence enough for a surge
-            weights.append(max(len(text), SURGE + 1) if marked else len(text))
+def weigh(found: list[Line]) -> list[tuple[str, float, bool]]:
+    """(text, weight, is furniture) of the lines whose blocks are looked for.
+
+    Furniture inside an article interrupts nothing and goes; where an article
+    begins or ends, empty lines keep what is beside it apart.
+    """
+    junk = [x.junk or x.doubtful and (not x.article or len(x.text) < SHORT or 2 * x.linked > len(x.text)) for x in found]
+    marked = any(x.article and not j for x, j in zip(found, junk, strict=True))
+    out: list[tuple[str, float, bool]] = []
+    inside = False
+    for x, j in zip(found, junk, strict=True):
+        if x.article and j:
+            continue
+        if marked and x.article != inside:
+            out += [("", 0.0, True)] * WINDOW
+            inside = x.article
+        length = 0 if j or RIGHTS.match(x.text) and not x.article else len(x.text) if x.article else len(x.text) - x.linked
+        out.append((x.text, length * (1 if not marked else INSIDE if x.article else OUTSIDE), j))
+    return out
+
+
+def blocks(weights: list[float]) -> list[tuple[int, int]]:
+    """(first line, line after the last) between the surge and dive points; both ends have weight."""
     n = len(weights)
-    total, sums = 0, []
-    for i in range(n + WINDOW - 1):  # sums[i]: lines i - WINDOW + 1 .. i
-        total += weights[i] if i < n else 0
-        total -= weights[i - WINDOW] if i >= WINDOW else 0
-        sums.append(total)
+    sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(n + WINDOW - 1)]  # lines i - WINDOW + 1 .. i
     threshold = min(SURGE, max(sums, default=0) - 1)
-    keep, i = [False] * n, 0
+    out, i = [], 0
     while i < len(sums):
-        if sums[i] > threshold and sums[i] > 0:
-            start = min(i, n - 1)
+        if sums[i] > max(threshold, 0):
+            start = i
             while start and sums[start - 1] > 0:
                 start -= 1
             dive = i
             while dive < len(sums) and sums[dive] > 0:
                 dive += 1
-            for j in range(start, min(dive, n)):
-                keep[j] = weights[j] > 0
+            out.append((start, dive - WINDOW + 1))  # the windows before the dive still hold the last line with weight
             i = dive
         i += 1
-    return " ".join(text for (text, *_), k in zip(found, keep, strict=True) if k)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page, its blocks joined by one space."""
+    found = weigh(lines(page or ""))
+    return " ".join(text for first, end in blocks([w for _, w, _ in found]) for text, _, junk in found[first:end] if not junk)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -179,7 +230,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
-#: for pages whose article is one <article> of headings, paragraphs and bold runs, with the usual references
+#: for pages of furniture and one <article> of headings, paragraphs and bold runs, with the usual references
 ORACLE_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '</?(?:h[1-6]|p|br)>', ' ', 'g') AS t FROM a),
