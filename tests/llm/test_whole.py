@@ -1,5 +1,7 @@
 """The whole job: rows and sizes that the given tables do not have."""
 
+import datetime
+import hashlib
 import random
 
 import pytest
@@ -134,3 +136,111 @@ def test_articles_are_found_by_their_blocks():
 def test_deep_pages_take_linear_time():
     assert op02_html.main_text("<div>" * 100_000 + "words" + "</div>" * 100_000) == "words"
     assert op02_html.main_text("<b class='ad'>" * 50_000 + "</i>" * 50_000 + "words") == ""
+
+
+SECRETS = {
+    "password: hunterhunter": "hunterhunter",
+    "password=Pa$$w0rd!2024": "Pa$$w0rd!2024",
+    'secret = "correct-horse"': "correct-horse",
+    "API_KEY=abcdefghijkl": "abcdefghijkl",
+    "token: ab/cd+ef~ghij.": "ab/cd+ef~ghij",
+    "Passwd: läuft-gut-so!": "läuft-gut-so",
+    "api-key : " + "Zq%" * 1700: "Zq%" * 1700,
+}
+
+
+def test_secrets_of_any_kind_are_replaced(spark):
+    rows = [(k, f"before {text} after") for k, text in enumerate(SECRETS)] + [(100, "The secret: nothing else; a token: something good, pass: word and password: x")]
+    out = {r.k: r for r in op01_pii.pseudonymise(spark.createDataFrame(rows, "k long, text string")).collect()}
+    for k, (text, value) in enumerate(SECRETS.items()):
+        new = out[k].text
+        assert out[k].pii_kinds == ["secret"] and value not in new and new.startswith("before " + text[: text.index(value)]) and new.endswith(" after") and len(new) == len(rows[k][1])
+        assert not any(value[i : i + 6] in new for i in range(len(value) - 5))
+    assert out[100].text == rows[-1][1]
+
+
+def test_addresses_and_clashing_columns(spark):
+    rows = [("mail josé@x.example and üser.name@bücher.example", 1, 2, "a"), (None, 1, 2, "b"), ("", None, None, None)]
+    docs = spark.createDataFrame(rows, "text string, __found long, __new long, pii_kinds string")
+    out = op01_pii.pseudonymise(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and got[0].pii_kinds == ["email", "email"] and [r["__found"] for r in got] == [1, 1, None]
+    assert not any(x in got[0].text for x in ("jos", "ser", "x.example", "cher"))
+    many = spark.range(100_000).select(F.concat(F.lit("u"), "id", F.lit("@d"), "id", F.lit(".example")).alias("text"))
+    assert op01_pii.pseudonymise(many).select("text").distinct().count() == 100_000
+
+
+def python_feistel(a, b, m, n, key, tweak):
+    for i in range(op01_pii.ROUNDS):
+        other = b if i % 2 == 0 else a
+        add = int(hashlib.sha256("|".join(map(str, (key, tweak, m, n, i, other))).encode()).hexdigest()[:15], 16)
+        a, b = ((a + add) % m, b) if i % 2 == 0 else (a, (b + add) % n)
+    return a, b
+
+
+def python_digits(digits, key, tweak):
+    left = len(digits) // 2
+    a, b = python_feistel(int(digits[:left] or 0), int(digits[left:]), 10**left, 10 ** (len(digits) - left), key, tweak)
+    return (str(a).zfill(left) if left else "") + str(b).zfill(len(digits) - left)
+
+
+def python_twin(kind, value, key):
+    """The pseudonym of a valid value, in plain Python; None where it is not valid."""
+    digits = "".join(filter(str.isdigit, value))
+    refill = lambda shape, new: "".join(next(it) if c.isdigit() else c for it in [iter(new)] for c in shape)
+    luhn = lambda x: sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(x)))) % 10
+    if kind == "card":
+        body = digits[0] + python_digits(digits[1:-1], key, "card")
+        return None if luhn(digits) else refill(value, body + str(-luhn(body + "0") % 10))
+    if kind == "ip":
+        p = list(map(int, value.split(".")))
+        a, b = python_feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
+        return ".".join(map(str, (a // 256, a % 256, b // 256, b % 256)))
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        a, b = python_feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+        place = a // 99 + 1
+        return f"{place + (place > 665):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "phone":
+        country = value[1 : value.index(" ")] if value.startswith("+") else ""
+        return refill(value, country + python_digits(digits[len(country) :], key, "phone"))
+    if kind == "date":
+        try:
+            day = datetime.date.fromisoformat(value)
+        except ValueError:
+            return None
+        first = datetime.date(day.year // 100 * 100, 1, 1)
+        m, n = (75, 487) if day.year // 100 % 4 == 0 else (92, 397)
+        offset = (day - first).days
+        a, b = python_feistel(offset // n, offset % n, m, n, key, f"date{day.year // 100}")
+        return (first + datetime.timedelta(days=a * n + b)).isoformat()
+    account = value[4:]  # iban
+    check = lambda x: int("".join(str(int(c, 36)) for c in x)) % 97
+    if check(account + value[:4]) != 1:
+        return None
+    new = refill(account, python_digits("".join(filter(str.isdigit, account)), key, "iban"))
+    return f"{value[:2]}{98 - check(new + value[:2] + '00'):02d}{new}"
+
+
+def test_pseudonyms_by_brute_force(spark):
+    rng = random.Random(9)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = []
+    for _ in range(120):
+        rows += [("card", rng.choice("3456") + number(rng.choice([14, 15]))), ("ip", ".".join(str(rng.randrange(256)) for _ in range(4))), ("ssn", f"{number(3)}-{number(2)}-{number(4)}"), ("phone", f"+{rng.randrange(1, 99)} {number(3)} {number(3)} {number(4)}")]
+        rows += [("date", f"{rng.randrange(1000, 2500)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 32):02d}"), ("iban", f"{rng.choice(['GB', 'DE'])}{rng.randrange(2, 99):02d}{rng.choice(['WEST', ''])}{number(14)}")]
+    for i, (kind, value) in enumerate(rows):
+        if kind == "iban":  # most get their right check digits
+            check = 98 - int("".join(str(int(c, 36)) for c in value[4:] + value[:2] + "00")) % 97
+            rows[i] = (kind, value[:2] + f"{check:02d}" + value[4:] if i % 5 else value)
+    out = op01_pii.pseudonymise(spark.createDataFrame([(i, f"see {value} there") for i, (_, value) in enumerate(rows)], "i long, text string"), key="k").collect()
+    valid = 0
+    for r in out:
+        kind, value = rows[r.i]
+        wanted = python_twin(kind, value, "k")
+        valid += wanted is not None
+        if wanted is not None or not r.pii_kinds:  # a value that is not valid may have another format
+            assert r.text == f"see {wanted or value} there", (kind, value)
+    assert valid > 450

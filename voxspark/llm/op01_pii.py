@@ -8,11 +8,17 @@ other, so the map is a bijection of the format: equal values get equal
 pseudonyms in every document, different values different ones.  Check digits are
 computed again, punctuation stays, dates stay in their century.  E-mail
 addresses and secrets have no numeric format; they get keyed hashes of the same
-shape.  Candidates that fail validation are left as they are.
+shape, 64 bits and 48 bits of them, so two addresses are as good as never given
+one.  A secret is what stands behind a word such as ``token`` and ``=`` or ``:``,
+to its end: eight characters or more with a digit or a sign among them, or of
+any kind after ``=``, a quotation mark, or a word for password.  Candidates that
+fail validation are left as they are.
 
 Nulls and edge cases: a null text stays null with nothing found; empty texts and
-texts without candidates pass through; repeated rows are treated alike; other
-columns are kept.
+texts without candidates pass through, and texts of any length are read whole;
+repeated rows and equal values (ties) are treated alike; where a value fits two
+formats the first of ``PATTERNS`` takes it; an empty table gives an empty
+result; a column named like ``into`` is replaced and all others are kept.
 """
 
 from __future__ import annotations
@@ -26,9 +32,12 @@ ROUNDS = 10
 KEY = "voxspark-pseudonyms"  # a deployment passes its own
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+PASSWORD = r"(?:[Pp]assword|[Pp]asswd|PASSWORD|PASSWD)"
+NAMED = rf"(?:{PASSWORD}|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|SECRET|TOKEN|API_KEY)"
+VALUE = r"""[^\s"'<>(),;`]"""
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z/+_.-]*+\d)[A-Za-z0-9/+_.-]{7,}[A-Za-z0-9/+_-]",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
+    "secret": rf"(?<![A-Za-z0-9])(?:{NAMED}\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[A-Za-z/+_.:-]*+(?![A-Za-z/+_.:-]){VALUE})|{NAMED}\s{{0,3}}(?:=\s{{0,3}}[\"']?|:\s{{0,3}}[\"'])|{PASSWORD}\s{{0,3}}:\s{{0,3}})(?![\p{{L}}\p{{N}}._%+-]{{1,64}}@[\p{{L}}\p{{N}}-]{{1,63}}\.\p{{L}}){VALUE}{{7,}}(?<![.!?:])",
     "access_key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.A-Za-z]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d|[A-Za-z])",
@@ -176,8 +185,8 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    name = F.substring(_digest(key, F.lit("email"), F.lower(m)), F.lit(1), F.greatest(F.lit(8), F.least(F.length(local), F.lit(60))))
-    return F.lit(True), F.concat(F.lit("u"), name, F.lit("@d"), F.substring(_digest(key, F.lit("domain"), F.lower(domain)), 1, 8), F.lit(".example"))
+    name = F.substring(_digest(key, F.lit("email"), F.lower(m)), F.lit(1), F.greatest(F.lit(16), F.least(F.length(local), F.lit(60))))
+    return F.lit(True), F.concat(F.lit("u"), name, F.lit("@d"), F.substring(_digest(key, F.lit("domain"), F.lower(domain)), 1, 12), F.lit(".example"))
 
 
 def _secret(m: Column, key: str) -> tuple[Column, Column]:
@@ -207,13 +216,14 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, into: str = "pii_kinds") -> DataFrame:
     """Replace ``text`` and add (or replace) ``into``, the kinds found in order."""
     body = F.col(text)
-    found = F.when(body.rlike("[0-9@]|A[KS]IA"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    marked = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    marked = marked.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    found = F.when(body.rlike(rf"[0-9@]|A[KS]IA|{NAMED}\s{{0,3}}[=:]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
+    marked = docs.withColumn(free + "found", F.coalesce(found, F.array().cast("array<string>")))
+    marked = marked.withColumn(free + "new", F.transform(free + "found", lambda m: pseudonym(m, key)))
     gaps = F.split(body, ANY)
-    parts = F.when(F.size("__found") > 0, F.transform(F.array(gaps), lambda g: F.concat(g[0], F.array_join(F.transform("__new", lambda r, i: F.concat(r["text"], F.get(g, i + 1))), "")))[0])
-    kinds = F.filter(F.transform("__new", lambda r: r["kind"]), lambda k: k.isNotNull())
-    return marked.withColumn(text, F.coalesce(parts, body)).withColumn(into, kinds).drop("__found", "__new")
+    parts = F.when(F.size(free + "found") > 0, F.transform(F.array(gaps), lambda g: F.concat(g[0], F.array_join(F.transform(free + "new", lambda r, i: F.concat(r["text"], F.get(g, i + 1))), "")))[0])
+    kinds = F.filter(F.transform(free + "new", lambda r: r["kind"]), lambda k: k.isNotNull())
+    return marked.withColumn(text, F.coalesce(parts, body)).withColumn(into, kinds).drop(free + "found", free + "new")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
