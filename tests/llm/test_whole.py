@@ -4,10 +4,11 @@ import datetime
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.llm import op01_pii, op02_html, op06_decontaminate, op08_warc
+from voxspark.llm import op01_pii, op02_html, op06_decontaminate, op08_warc, op09_language
 
 LONG = "A long paragraph of plain words that stands alone on its page and is the main text of it, from end to end."
 
@@ -244,3 +245,53 @@ def test_pseudonyms_by_brute_force(spark):
         if wanted is not None or not r.pii_kinds:  # a value that is not valid may have another format
             assert r.text == f"see {wanted or value} there", (kind, value)
     assert valid > 450
+
+
+def segmentations(word, pieces):
+    """Every way to cut a word into pieces; a letter that is no piece may stand alone."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        if word[:k] in pieces or k == 1:
+            for rest in segmentations(word[k:], pieces):
+                yield [word[:k], *rest]
+
+
+@pytest.mark.parametrize("short, block", [(24, 1 << 15), (0, 3), (0, 1 << 15)])
+def test_language_sums_by_brute_force(monkeypatch, short, block):
+    monkeypatch.setattr(op09_language, "SHORT", short)
+    monkeypatch.setattr(op09_language, "BLOCK", block)
+    rng = random.Random(10)
+    pieces = sorted({"▁", "a", "b", "ab", "ba", "aab", "▁a", "▁ab", "abababab", "bbbb", "aabbaabbaa"})
+    table = np.random.default_rng(3).dirichlet(np.ones(len(pieces)), 2).T
+    scorer, total, wanted = op09_language.Scorer(pieces, table), np.zeros(table.shape), np.zeros(table.shape)
+    for _ in range(40):
+        word, counts = "".join(rng.choices("aabbc", k=rng.randrange(1, 12))), np.array([2.0, 3.0])
+        ways = [(cut, np.prod([table[pieces.index(x)] if x in pieces else np.full(2, op09_language.UNKNOWN) for x in cut], axis=0)) for cut in segmentations("▁" + word, pieces)]
+        whole = sum(p for _, p in ways)
+        scorer.learn_words([word])
+        assert np.allclose(scorer.rows[scorer.cache[word]], np.log(whole))
+        for cut, p in ways:
+            for x in cut:
+                if x in pieces:
+                    wanted[pieces.index(x)] += counts * p / whole
+        if short:
+            scorer.expected(["▁" + word], counts[None], total)
+        else:
+            scorer.long_expected("▁" + word, counts, total)
+    assert np.allclose(total, wanted)
+
+
+def test_long_words_are_not_cut():
+    pieces = ["▁", "a", "b", "abcdefghijklmnop"]
+    scorer = op09_language.Scorer(pieces, np.array([[0.25, 0.25]] * 3 + [[0.25, 1e-6]]))
+    word = "abcdefghijklmnop" * 5000
+    scorer.learn_words([word, word[1:]])
+    found = scorer.rows[scorer.cache[word]]
+    assert np.isfinite(found).all() and abs(found[0] - 5001 * np.log(0.25)) < 1e-3 and found[1] < found[0]
+    assert np.isfinite(scorer.rows[scorer.cache[word[1:]]]).all()
+
+
+def test_language_on_held_out_rows(spark):
+    rows = op09_language.op9_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)

@@ -2,17 +2,23 @@
 
 Pieces come from a fixed public vocabulary.  Each language has a probability for
 every piece, and a word's probability in a language is the sum over all its
-segmentations into pieces (forward algorithm).  A text's score is the product
-over its words; the best language wins.
+segmentations into pieces (forward algorithm), whatever its length: words up to
+``SHORT`` letters are summed many at a time, longer ones each by itself, in
+logarithms and block by block.  A text's score is the product over its words;
+the best language wins, and its score is its share of the posterior.
 
 Training: a few steps of expectation-maximisation (forward-backward) over the
 word counts of a bounded sample, about ``sample_docs`` labelled rows for each
 language, drawn by a hash of the key.  Expected counts are summed by Spark; what
-reaches the driver is one row per vocabulary piece.
+reaches the driver is one row per vocabulary piece and one number per language;
+more than ``MAX_LANGUAGES`` labels stop the job, so the table that is broadcast
+has at most 50 MB.
 
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with
 score 0; without labelled rows everything is ``und``; rows with a null key never
-train and are not held out; repeated rows are predicted alike.
+train and are not held out; repeated rows are predicted alike; of languages with
+equal scores (ties) the first by name wins; an empty table gives an empty
+result; columns named like ``into`` are replaced and all others are kept.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ from voxspark.functions.storage import stored
 from voxspark.functions.workers import hold, ship
 
 SAMPLE_DOCS = 600
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 250
 STEPS = 3
 SMOOTHING = 0.05  # counts added to every piece
 UNKNOWN = 1e-8  # a letter outside the vocabulary, in any language
-STRETCH = 24  # longer words are scored in stretches
-LONGEST = 8  # letters of the longest piece that is used
+SHORT = 24  # longer words are summed one by one
+BLOCK = 1 << 15  # letters of a long word whose pieces are looked up at once
 CACHE_WORDS = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -95,6 +101,9 @@ class Scorer:
         n = table.shape[1]
         self.table = np.vstack([table, np.zeros((1, n)), np.full((1, n), UNKNOWN)])
         self.none, self.unknown = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(self.table)
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, n))
 
@@ -105,7 +114,7 @@ class Scorer:
         out = {}
         for i in range(size):
             key = np.zeros(len(words), dtype=np.uint64)
-            for j in range(i + 1, min(size, i + LONGEST) + 1):
+            for j in range(i + 1, min(size, i + self.longest) + 1):
                 key = self.pieces.longer(key, letters[j - 1])
                 found = self.pieces.find(key)
                 if j == i + 1:
@@ -138,13 +147,65 @@ class Scorer:
             real = np.flatnonzero(ids < self.none)
             np.add.at(total, ids[real], (alpha[i] * self.table[ids] * beta[j] * scale)[real])
 
+    def windows(self, word: str) -> Iterator[np.ndarray]:
+        """Block by block: the piece that ends after each letter, a row per letter, a column per length from 1 on."""
+        letters = np.array([word]).view(np.uint32).astype(np.uint64)
+        for first in range(0, len(word), BLOCK):
+            last = min(first + BLOCK, len(word))
+            before = max(0, first - self.longest + 1)
+            key = np.zeros(last - before, dtype=np.uint64)  # of the strings that start at each letter
+            out = np.full((last - first, self.longest), self.none, dtype=np.int32)
+            for length in range(1, min(self.longest, last - before) + 1):
+                n = last - before - length + 1
+                key = self.pieces.longer(key[:n], letters[before + length - 1 : last])
+                found = self.pieces.find(key)
+                if length == 1:
+                    found[found == self.none] = self.unknown
+                skip = max(0, first - before - length + 1)  # those that end before the block
+                out[before + skip + length - 1 - first :, length - 1] = found[skip:]
+            yield out
+
+    def long_forward(self, word: str, keep: bool = False) -> np.ndarray:
+        """log P of all segmentations of a prefix of a long word: of the whole word, or (``keep``) a row for every prefix."""
+        size = self.longest
+        last = np.full((size, self.table.shape[1]), -np.inf)  # of the prefixes that end 1, 2, ... letters ago
+        last[0] = 0
+        rows = [last[0].copy()]
+        for block in self.windows(word):
+            for ids in block:
+                now = last + self.logs[ids]
+                top = now.max(axis=0)
+                new = top + np.log(np.exp(now - top).sum(axis=0))
+                last = np.vstack([new, last[:-1]])
+                if keep:
+                    rows.append(new)
+        return np.array(rows) if keep else last[0]
+
+    def long_expected(self, word: str, counts: np.ndarray, total: np.ndarray) -> None:
+        """:meth:`expected` for one long word."""
+        size, n = self.longest, len(word)
+        ids = np.concatenate(list(self.windows(word)))  # ids[e, l]: the piece of l + 1 letters that ends with letter e
+        alpha = self.long_forward(word, keep=True)
+        beta = np.full((n + 1 + size, self.table.shape[1]), -np.inf)
+        beta[n] = 0
+        for i in range(n - 1, -1, -1):
+            lengths = np.arange(min(size, n - i))
+            now = beta[i + 1 : i + 1 + len(lengths)] + self.logs[ids[i + lengths, lengths]]
+            top = now.max(axis=0)
+            beta[i] = top + np.log(np.exp(now - top).sum(axis=0))
+        for length in range(min(size, n)):
+            ends = np.flatnonzero(ids[:, length] < self.none)
+            ends = ends[ends >= length]
+            got = ids[ends, length]
+            np.add.at(total, got, np.exp(alpha[ends - length] + self.logs[got] + beta[ends + 1] - alpha[n]) * counts)
+
     def learn_words(self, words: list[str]) -> None:
         """Score words that are new into the cache."""
         start = len(self.cache)
         if start + len(words) > len(self.rows):
             self.rows = np.resize(self.rows, (2 * (start + len(words)), self.rows.shape[1]))
         self.rows[start : start + len(words)] = 0
-        stretches: dict[int, tuple[list[int], list[str]]] = {}
+        by_size: dict[int, tuple[list[int], list[str]]] = {}
         for at, word in enumerate(words, start):
             self.cache[word] = at
             if not word.isalpha():  # other numerals than digits count as word characters too
@@ -152,14 +213,15 @@ class Scorer:
                 if not word:
                     continue
             word = START + word
-            for first in range(0, len(word), STRETCH):
-                part = word[first : first + STRETCH]
-                where, parts = stretches.setdefault(len(part), ([], []))
-                where.append(at)
-                parts.append(part)
-        for where, parts in stretches.values():
-            for first in range(0, len(parts), 2000):
-                np.add.at(self.rows, where[first : first + 2000], self.forward(parts[first : first + 2000]))
+            if len(word) > SHORT:
+                self.rows[at] = self.long_forward(word)
+                continue
+            where, same = by_size.setdefault(len(word), ([], []))
+            where.append(at)
+            same.append(word)
+        for where, same in by_size.values():
+            for first in range(0, len(same), 2000):
+                self.rows[where[first : first + 2000]] = self.forward(same[first : first + 2000])
 
     def score(self, texts: list[str]) -> list[tuple[int, float] | None]:
         """(best language, its share of the posterior) of each text; None without letters."""
@@ -182,7 +244,7 @@ class Scorer:
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """The ordinary pieces of a public sentencepiece vocabulary, lower-cased, short ones."""
+    """The ordinary pieces of a public sentencepiece vocabulary, lower-cased, of letters."""
     import sentencepiece
 
     if path is None:
@@ -191,7 +253,7 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in pieces if len(p) <= LONGEST and LETTERS.fullmatch(p.removeprefix(START) or "a"))
+    return sorted(p for p in pieces if LETTERS.fullmatch(p.removeprefix(START) or "a"))
 
 
 def train(labelled: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
@@ -221,11 +283,12 @@ def train(labelled: DataFrame, pieces: list[str], key: str = "doc_id", text: str
                 by_size: dict[int, tuple[list[str], list[list[float]]]] = {}
                 for word, n in zip(batch.column("word").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                     word = START + word
-                    for first in range(0, len(word), STRETCH):
-                        part = word[first : first + STRETCH]
-                        words, ns = by_size.setdefault(len(part), ([], []))
-                        words.append(part)
-                        ns.append(n)
+                    if len(word) > SHORT:
+                        scorer.long_expected(word, np.array(n), total)
+                        continue
+                    words, ns = by_size.setdefault(len(word), ([], []))
+                    words.append(word)
+                    ns.append(n)
                 for words, ns in by_size.values():
                     for first in range(0, len(words), 5000):
                         scorer.expected(words[first : first + 5000], np.array(ns[first : first + 5000]), total)
