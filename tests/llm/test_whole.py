@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.llm import op01_pii, op02_html, op06_decontaminate, op08_warc, op09_language
+from voxspark.llm import op01_pii, op02_html, op06_decontaminate, op07_audio, op08_warc, op09_language
 
 LONG = "A long paragraph of plain words that stands alone on its page and is the main text of it, from end to end."
 
@@ -295,3 +295,63 @@ def test_long_words_are_not_cut():
 def test_language_on_held_out_rows(spark):
     rows = op09_language.op9_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def naive_audio(data):
+    """Log-mel frames and sounding spans by their definitions, one frame at a time, in double precision."""
+    a = op07_audio
+    taps = a.TAPS * a.UP
+    t = np.arange(taps) - (taps - 1) / 2
+    h = np.sinc(t / max(a.UP, a.DOWN)) / max(a.UP, a.DOWN) * np.hamming(taps) * a.UP
+    up = np.zeros(len(data) * a.UP)
+    up[:: a.UP] = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    signal = np.convolve(up, h)[: len(up)][:: a.DOWN]
+    rate = a.RATE_IN * a.UP / a.DOWN
+    mel = np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), a.N_MELS + 2)
+    edges = 700 * (10 ** (mel / 2595) - 1)
+    frames, loud, spans, state = [], [], [], False
+    for at in range(0, max(1, len(signal) - a.FRAME + a.HOP), a.HOP):
+        frame = np.zeros(a.FRAME)
+        piece = signal[at : at + a.FRAME]
+        frame[: len(piece)] = piece
+        frame = frame * np.hanning(a.FRAME)
+        power = np.abs(np.fft.rfft(frame, a.N_FFT)) ** 2 / a.N_FFT
+        row = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:], strict=False):
+            weights = [max(0, min((f - low) / (mid - low), (high - f) / (high - mid))) for f in np.arange(len(power)) * rate / a.N_FFT]
+            row.append(np.log10(max(1e-6, float(power @ weights))))
+        frames.append(row)
+        loud.append(10 * np.log10(max(1e-9, np.mean(frame**2))))
+    ms = 1000 * a.HOP / rate
+    for i, x in enumerate([*loud, -np.inf]):
+        if not state and x >= a.OPEN_DB:
+            state, start = True, i
+        elif state and x < a.CLOSE_DB:
+            state = False
+            spans.append((int(start * ms), int(i * ms)))
+    return np.array(frames), loud, spans
+
+
+def test_tensors_of_a_whole_table_by_brute_force(spark, tmp_path):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 10 = 0 and length(text) < 6000").collect()]
+    rows += [(-1, None), (-2, ""), (-3, "\x00\x7f" * 3000), (-3, "\x00\x7f" * 3000), (-4, ("~" * 2400 + " " * 2400) * 3)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, spans long, tensors string")
+    media = docs.select("doc_id", "text", "spans", "tensors", op07_audio.to_wav(op07_audio.padded(F.col("text"))).alias("media"))
+    out = op07_audio.audio_features(media).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    several = 0
+    for r in out:
+        data = (r.text or "").encode()
+        data += b"\xff" * (-len(data) % op07_audio.UNIT if data else op07_audio.UNIT)
+        frames, loud, spans = naive_audio(data)
+        grid, times = op07_audio.read_tensors(memoryview(r.tensors))
+        assert grid.shape == (-(-len(frames) // op07_audio.SPAN_FRAMES), op07_audio.SPAN_FRAMES, op07_audio.N_MELS)
+        flat = grid.reshape(-1, op07_audio.N_MELS)
+        assert np.abs(flat[: len(frames)] - frames).max() < 0.03 and not flat[len(frames) :].any()
+        assert times.tolist() == [[k * 1280, (k + 1) * 1280] for k in range(len(grid))]
+        if min(abs(x - y) for x in loud for y in (op07_audio.OPEN_DB, op07_audio.CLOSE_DB)) > 1e-3:
+            assert [(s.start_ms, s.end_ms) for s in r.spans] == spans
+            several += len(spans) > 1
+    assert several
+    twice = [r.feature for r in op07_audio.describe(op07_audio.audio_features(media)).where("doc_id = -3").collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]

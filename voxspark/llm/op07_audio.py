@@ -3,13 +3,19 @@
 ``to_wav`` stores bytes losslessly as the samples of a mono 8-bit WAV file and
 ``wav_payload`` reads them back; ``audio_features`` decodes WAV, resamples with
 a polyphase filter bank, takes overlapped log-mel frames and marks sounding
-spans with a two-threshold (hysteresis) energy gate.  Features come as Arrow
-fixed-shape tensors of ``SPAN_FRAMES`` x ``N_MELS`` with the time span of each.
+spans with a two-threshold (hysteresis) energy gate.  Features are stored as
+Arrow fixed-shape tensors of ``SPAN_FRAMES`` x ``N_MELS`` with the time span of
+each, beside the sounding spans; ``describe`` reads them back.
 
 Every signal is handled in blocks of one fixed shape, so equal bytes give equal
 features wherever they stand and memory does not grow with a signal's length
-(beyond the bytes of the row itself).  A null text is the empty text; an empty
-payload becomes one frame of padding.
+(beyond the bytes of the row itself).
+
+Nulls and edge cases: a null text is the empty text, and an empty text becomes
+one unit of padding; texts of any length are taken whole; repeated rows stay
+rows of their own, with equal values; an empty table gives an empty result;
+columns named ``feature``, ``tensors`` or ``spans`` are replaced and all others
+are kept.
 """
 
 from __future__ import annotations
@@ -164,37 +170,59 @@ def tensor_bytes(grid: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def audio_features(media: DataFrame, column: str = "media", tensors: bool = True) -> DataFrame:
-    """Add ``feature`` (a digest of the tensors and the spans) and, on demand, ``tensors``.
+def read_tensors(stored_bytes: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """(tensors, their start and end in ms) of the bytes of :func:`tensor_bytes`."""
+    with pa.ipc.open_stream(pa.py_buffer(stored_bytes)) as reader:
+        batch = reader.read_next_batch()
+    return batch.column("tensor").to_numpy_ndarray(), np.stack([batch.column(c).to_numpy() for c in ("start_ms", "end_ms")], axis=1)
+
+
+def _like(df: DataFrame, *gone: str) -> tuple[list[str], str]:
+    """Names and schema of the columns that stay."""
+    kept = [f for f in df.schema.fields if f.name not in gone]
+    return [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
-    ``tensors`` holds the Arrow IPC bytes; the media column itself is dropped.
-    """
+
+def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
+    """Replace the media by ``tensors`` (Arrow IPC bytes of fixed-shape tensors with time spans) and the sounding ``spans``."""
     ship(media.sparkSession)
-    kept = [f for f in media.schema.fields if f.name not in (column, "feature", "tensors")]
-    names = [f.name for f in kept]
-    add = "feature string" + (", tensors binary" if tensors else "")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [add])
+    names, schema = _like(media, column, "tensors", "spans")
+    kind = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                digests, stores = [], []
+                tensors, sounding = [], []
                 for value in part.column(column):
                     grid, spans = features(memoryview(value.as_buffer())[HEADER:])
-                    sounding = sum(b - a for a, b in spans)
-                    mean = grid.mean(axis=(0, 1), dtype=np.float64)
-                    digests.append(f"spans={len(grid)};segments={len(spans)};sounding_ms={sounding};loudest={int(mean.argmax())};sha256={hashlib.sha256(grid.tobytes() + repr(spans).encode()).hexdigest()}")
-                    if tensors:
-                        stores.append(tensor_bytes(grid))
-                columns = [part.column(n) for n in names] + [pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(stores, pa.binary())] if tensors else []), names=names + ["feature"] + (["tensors"] if tensors else []))
+                    tensors.append(tensor_bytes(grid))
+                    sounding.append([{"start_ms": a, "end_ms": b} for a, b in spans])
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(tensors, pa.binary()), pa.array(sounding, kind)], names=[*names, "tensors", "spans"])
+
+    return media.mapInArrow(run, f"{schema}, tensors binary, spans array<struct<start_ms:bigint,end_ms:bigint>>")
+
+
+def describe(features: DataFrame) -> DataFrame:
+    """Replace stored ``tensors`` and ``spans`` by ``feature``: their numbers, the loudest band and a digest."""
+    names, schema = _like(features, "tensors", "spans", "feature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for value, spans in zip(batch.column("tensors"), batch.column("spans").to_pylist(), strict=True):
+                grid, times = read_tensors(value.as_buffer())
+                sounding = [(x["start_ms"], x["end_ms"]) for x in spans]
+                digest = hashlib.sha256(grid.tobytes() + times.tobytes() + repr(sounding).encode()).hexdigest()
+                loudest = int(grid.mean(axis=(0, 1), dtype=np.float64).argmax())
+                found.append(f"spans={len(grid)};segments={len(sounding)};sounding_ms={sum(b - a for a, b in sounding)};loudest={loudest};sha256={digest}")
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(found, pa.string())], names=[*names, "feature"])
 
-    return media.mapInArrow(run, schema)
+    return features.mapInArrow(run, f"{schema}, feature string")
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text stored as 8-bit audio, read back, and described by its features."""
+    """Each text stored as 8-bit audio, read back, and described by its features, which are stored and read back as well."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     media = stored(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), to_wav(padded(F.col("text"))).alias("media")), "media", compression="zstd")
     payload = wav_payload(F.col("media"))
@@ -208,4 +236,4 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "media",
     )
-    return audio_features(digests, tensors=False)
+    return describe(stored(audio_features(digests), "tensors", compression="zstd"))
