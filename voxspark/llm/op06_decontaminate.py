@@ -9,9 +9,12 @@ document's key and digest, its place and its hash without any words; the few
 that meet a gram of the same hash are joined back to the documents.  A hit is
 verified on the words themselves either way.
 
-Nulls and edge cases: a null or wordless text has no words; null items are
-ignored; repeated rows (same key, same text) give one row each; without items
-nothing is contaminated; an empty table gives an empty result.
+Nulls and edge cases: a null or wordless text has no words; items with a null
+text are ignored, one with a null item_id hits words but is not counted or named
+among the items; repeated rows (same key, same text) give one row each; equal
+windows of several items (ties) count for all of them; without items nothing is
+contaminated; an empty table gives an empty result.  ``find_hits`` ignores extra
+columns, ``decontaminate`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -121,10 +124,17 @@ def cut_spans(text: Column, spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no window of any item; all columns kept."""
-    hits = find_hits(docs, items, key, text).where(F.size("spans") > 0).select(F.col("key").alias("bad_key"), F.col("digest").alias("bad_digest"))
-    same = F.col(key).eqNullSafe(F.col("bad_key")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("bad_digest"))
-    return docs.join(hits, same, "left_anti")
+    """The documents that hold no window of any item; all columns kept.
+
+    The contaminated ones are a stored table of keys and digests, broadcast
+    while it is short, so no text is shuffled then.
+    """
+    bad = stored(find_hits(docs, items, key, text).where(F.size("spans") > 0).select("key", "digest"), "contaminated")
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
+    few = bad.count() <= BROADCAST_GRAMS
+    bad = bad.withColumnsRenamed({"key": free + "key", "digest": free + "digest"})
+    same = F.col(key).eqNullSafe(F.col(free + "key")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col(free + "digest"))
+    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
