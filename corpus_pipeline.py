@@ -2,7 +2,13 @@
 
 Each stage is a function of (session, documents, folder of tables); between
 stages the rows are Parquet in the shared folder.  Every stage but the last
-returns the columns of ``documents``.
+returns the columns of ``documents``, extra ones of any name included.
+
+Nulls and edge cases: ``language`` takes away null, empty and letterless texts,
+whatever their key; rows with a null key pass ``near_copies`` and are judged by
+their text elsewhere; of repeated rows one stays (``near_copies``), and of
+similar texts that with the smallest key; ``benchmarks`` and ``pseudonyms`` read
+texts of any length whole; empty tables give an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -14,10 +20,14 @@ from voxspark.functions.storage import stored
 from voxspark.llm import op01_pii, op04_join, op05_bpe, op06_decontaminate, op09_language
 
 
+LEAST_SCORE = 0.5  # of a language's share of the posterior
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter have no language and go."""
-    found = op09_language.identify(docs, into=("__lang", "__score"))
-    return found.where(F.col("__lang") != "und").select(docs.columns)
+    """Texts without a letter, and those of which no language has half of the posterior, go."""
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
+    found = op09_language.identify(docs, into=(free + "lang", free + "score"))
+    return found.where((F.col(free + "lang") != "und") & (F.col(free + "score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +42,10 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gets pseudonyms; n_chars follows the text."""
-    out = op01_pii.pseudonymise(docs, into="__kinds")
+    kinds = "_" * (1 + max(map(len, docs.columns))) + "kinds"
+    out = op01_pii.pseudonymise(docs, into=kinds)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__kinds") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(kinds) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
