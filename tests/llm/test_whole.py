@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.llm import op01_pii, op02_html, op06_decontaminate, op07_audio, op08_warc, op09_language
+from voxspark.llm import op01_pii, op02_html, op03_sharding, op05_bpe, op06_decontaminate, op07_audio, op08_warc, op09_language, op10_chat
 
 LONG = "A long paragraph of plain words that stands alone on its page and is the main text of it, from end to end."
 
@@ -355,3 +355,49 @@ def test_tensors_of_a_whole_table_by_brute_force(spark, tmp_path):
     assert several
     twice = [r.feature for r in op07_audio.describe(op07_audio.audio_features(media)).where("doc_id = -3").collect()]
     assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def naive_differencing(sizes, k):
+    """Sums of k parts: sort all partial partitions, combine the two of the largest spread, again and again."""
+    left = [[size] + [0] * (k - 1) for size in sizes]
+    while len(left) > 1:
+        left.sort(key=lambda x: max(x) - min(x), reverse=True)
+        a, b = left[0], left[1]
+        left = [*left[2:], [x + y for x, y in zip(sorted(a, reverse=True), sorted(b), strict=True)]]
+    return sorted(left[0])
+
+
+def test_shards_by_brute_force(spark):
+    rng = random.Random(11)
+    for n in (1, 2, 9, 60, 300):
+        sizes = rng.sample(range(1, 10**9), n)  # spreads without ties
+        sums = np.zeros((n, 8), dtype=np.int64)
+        sums[:, 0] = sizes
+        slots, total = op03_sharding.differencing(sums)
+        assert sorted(total.tolist()) == naive_differencing(sizes, 8)
+        assert total.tolist() == [sum(s for s, at in zip(sizes, slots[:, 0], strict=True) if at == j) for j in range(8)]
+    # a table: copies of one text are one size; ties and repeated rows as well
+    texts = ["x" * n for n in rng.sample(range(1, 5000), 200)]
+    rows = [(i, t, 1, "s") for i, t in enumerate(texts)] + [(900 + i, texts[0], 1, "s") for i in range(50)] + [(5, texts[5], 1, "s")] * 2
+    out = op03_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, size int, shard string")).collect()
+    sizes = {t: sum(len(t) + 1 for r in rows if r[1] == t) for t in texts}
+    loads = {j: sum(r["size"] for r in out if r.shard == j) for j in range(8)}
+    assert len(out) == len(rows) and sorted(loads.values()) == naive_differencing(list(sizes.values()), 8)
+    assert all(sorted(r.slot for r in out if r.shard == j) == list(range(sum(r.shard == j for r in out))) for j in loads)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i * 7919 % 99991}" for i in range(6000))
+    docs = spark.createDataFrame([(1, long, 5, "a", "b"), (2, long + " end", 5, "a", "b"), (3, None, None, None, None), (4, "short", 1, "q", "q")], "doc_id long, text string, bad_key long, digest string, copies string")
+    items = spark.createDataFrame([("i", " ".join(long.split()[5990:6000]), 1), (None, "short", 2)], "item_id string, text string, w long")
+    hits = {r.key: (r.n_words, r.spans[0].at, r["items"]) for r in op06_decontaminate.find_hits(docs, items).where("key in (1, 4)").collect()}
+    assert hits == {1: (6000, 5990, ["i"]), 4: (1, 0, [])}
+    kept = op06_decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
+    pages = spark.createDataFrame([(1, "http://a.b/", long, "k", "f"), (2, "http://a.b/", long, None, None)], "page_id long, url string, html string, sha1 string, first_id string")
+    captures = op08_warc.write_archives(op08_warc.with_revisits(pages))
+    assert sorted((r.page, r.record_type, r.payload_bytes) for r in op08_warc.read_back(captures, op08_warc.build_index(captures)).collect()) == [("1", "response", len(long)), ("2", "revisit", len(long))]
+    talks = spark.createDataFrame([(1, 0, "user", long + " ### ", "x", "y"), (1, 1, "assistant", long, "x", "y")], "conv_id long, turn long, role string, text string, body string, parsed string")
+    assert [t.text for t in op10_chat.format_conversations(talks).first().parsed] == [long + " ### ", long]
+    tokens = op05_bpe.encode_texts(docs.withColumn("n_tokens", F.lit("x")), op05_bpe.default_path(), ids="digest").collect()
+    assert sorted(len(r.digest) for r in tokens)[:2] == [0, 1] and {r.bad_key for r in tokens} == {5, None, 1}

@@ -13,8 +13,14 @@ current state allows first, back one token where a path ends.  Texts are split
 into words as the tokenizer file says; each distinct word is encoded once per
 worker.  ``decode`` emits the labels of the arcs.
 
+Whether a state has an arc is derived from those tables when a word first asks
+for it and then kept; the full table of arcs, states times tokens, is never laid
+out.
+
 A null text is the empty text and has no tokens; the strings of special tokens
-in a text are those tokens; texts of any length are read whole.
+in a text are those tokens; texts of any length are read whole; repeated rows
+are encoded each; an empty table gives an empty result; columns named like the
+new ones are replaced, the text goes, and all others are kept.
 """
 
 from __future__ import annotations

@@ -38,6 +38,7 @@ from voxspark.functions.workers import ship
 
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 1000
+MOST_SHARDS = 20_000  # of an index: their first keys and file names are sent to every task of a look-up
 CAPTURED = "2024-01-01T00:00:00Z"
 STAMP = re.sub(r"\D", "", CAPTURED)
 CDX = "key string, file string, offset long, length long"
@@ -113,7 +114,7 @@ def write_archives(records: DataFrame) -> DataFrame:
         store, root = _open(base)
         store.create_dir(root, recursive=True)
         out, name, at, turn = None, "", 0, 0
-        for batch in batches:
+        for batch in (whole.slice(first, 200) for whole in batches for first in range(0, whole.num_rows, 200)):
             places = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html", "sha1", "refers_to")), strict=True):
                 if out is None or at >= ARCHIVE_BYTES:
@@ -139,11 +140,12 @@ def build_index(captures: DataFrame, shard_rows: int = 200_000) -> DataFrame:
 
     A shard is a file of gzip blocks of BLOCK_LINES lines each, plus a directory
     with a line per block.  Record numbers are part of the key, so a URL with a
-    third of all captures still spreads over many shards.
+    third of all captures still spreads over many shards.  There are never more
+    than ``MOST_SHARDS``; beyond ``shard_rows`` times that they grow instead.
     """
     spark = captures.sparkSession
     base = new_path(spark, "index")
-    parts = max(1, math.ceil(captures.count() / shard_rows), spark.sparkContext.defaultParallelism)
+    parts = min(MOST_SHARDS, max(1, math.ceil(captures.count() / shard_rows), spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -204,7 +206,7 @@ def lookup(keys: DataFrame, shards: DataFrame) -> DataFrame:
     """Read the records of capture keys: one row per record found.
 
     Keys are sent to the index shard that can hold them (the list of shards has
-    one row per ``shard_rows`` captures), and each task reads its keys in order.
+    at most ``MOST_SHARDS`` rows), and each task reads its keys in order.
     """
     spark = keys.sparkSession
     table = sorted((r.first_key, r.blocks, r.directory) for r in shards.collect())

@@ -10,7 +10,9 @@ the whole conversation; a conversation that still differs stops the job.
 Only built-in functions are used.  Nulls and edge cases: null text or role is
 empty; turns with equal numbers are ordered by role, then text; rows with a null
 conv_id form one conversation; repeated rows stay repeated turns; an empty table
-gives an empty result.  Extra columns are ignored.
+gives an empty result.  Extra columns of any name are ignored.  A table that has
+a conversation -7 of its own shares it with the one that ``op10_chat`` plants:
+its turns are ordered among the planted ones.
 """
 
 from __future__ import annotations
