@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def uniform(seed: int, tag: str, *keys: Column | str) -> Column:
+def uniform(seed: int, tag: str | Column, *keys: Column | str) -> Column:
     """A number in [0, 1) for each key: 48 bits of an MD5 digest."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.lit(tag), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(tag) if isinstance(tag, str) else tag, *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 

@@ -8,14 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.functions.draws import normal, uniform
+from voxspark.operators.curation import guarded, isotropic
 
 AXES = ("x", "y", "z")
 #: fixed values: the permutations of three axes, the first two keep the section axis
 PERMUTATIONS = [(0, 1, 2), (1, 0, 2), (0, 2, 1), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
 
 
-def rotate(voxels: DataFrame, side: int, seed: int, fix_section: bool = False, by: str = "vol") -> DataFrame:
-    """Signed axis permutation of each cube: flips, then slot i takes axis perm[i]; one draw for all columns."""
+def rotation_guard(voxels: DataFrame, side: int, by: str = "vol", sizes: str | None = None, fix_section: bool = False) -> DataFrame:
+    """One row if every sample can be rotated, an error otherwise.
+
+    Axes that may change places must have ``side`` voxels, the section axis too
+    where it is flipped, and equal voxel sizes (an array column ``sizes``;
+    unknown sizes pass).
+    """
+    size = F.first(sizes) if sizes else F.lit(None).cast("array<double>")
+    shape = voxels.groupBy(by).agg(F.array(*[F.min(a) for a in AXES]).alias("low"), F.array(*[F.max(a) + 1 for a in AXES]).alias("high"), size.alias("size"))
+    cube = F.forall("low", lambda v: v == 0) & F.forall("high", lambda v: v == side)
+    alike = isotropic(F.slice("size", 1, 2) if fix_section else F.col("size"))
+    bad = shape.agg(F.count(F.when(~cube, 1)).alias("shapes"), F.count(F.when(~alike, 1)).alias("sizes"))
+    return bad.select(
+        F.when(F.col("shapes") > 0, F.raise_error(F.concat("shapes", F.lit(f" samples are no cubes of {side} voxels a side")))).when(F.col("sizes") > 0, F.raise_error(F.concat("sizes", F.lit(" samples have axes of unequal voxel size to be exchanged")))).otherwise(F.lit(1)).alias("ok")
+    )
+
+
+def rotate_plane(pixels: DataFrame, side: int, seed: int, by: str = "plane") -> DataFrame:
+    """One of the eight flips and exchanges of the axes x and y of each square plane."""
+    x, y = [F.when(uniform(seed, f"flip{a}", by) < 0.5, side - 1 - F.col(a)).otherwise(F.col(a)).cast("int") for a in AXES[:2]]
+    swap = uniform(seed, "perm", by) < 0.5
+    rows = pixels.withColumn("__c", F.when(swap, F.array(y, x)).otherwise(F.array(x, y)))
+    return rows.withColumns({a: F.col("__c")[i] for i, a in enumerate(AXES[:2])}).drop("__c")
+
+
+def rotate(voxels: DataFrame, side: int, seed: int, fix_section: bool = False, by: str = "vol", sizes: str | None = None) -> DataFrame:
+    """Signed axis permutation of each cube: flips, then slot i takes axis perm[i]; one draw for all columns.
+
+    Other grids than cubes, and axes of unequal voxel size, are refused.
+    """
+    voxels = guarded(voxels, rotation_guard(voxels, side, by, sizes, fix_section))
     choices = PERMUTATIONS[:2] if fix_section else PERMUTATIONS
     pick = F.floor(uniform(seed, "perm", by) * len(choices)).cast("int")
     flipped = [F.when(uniform(seed, f"flip{a}", by) < 0.5, side - 1 - F.col(a)).otherwise(F.col(a)) for a in AXES]

@@ -13,18 +13,29 @@ from voxspark.functions.storage import stored
 AXES = ("x", "y", "z")
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """Number rows from 0 in an order, without one task for all of them.
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str, by: list[str] | None = None) -> DataFrame:
+    """Add the sum of ``value`` over the rows up to each in an order (of each group), without one task for all of them.
 
-    Rows are dealt out by range and kept; each part is numbered by itself and
-    shifted by the sizes of the parts before it.
+    Rows are dealt out by range and kept; each part is summed by itself and
+    shifted by the sums of the parts before it.
     """
+    by = by or []
     parts = df.sparkSession.sparkContext.defaultParallelism
-    dealt = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "numbered")
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, (F.col("__start") + F.col("__place")).cast("long")).drop("__part", "__start", "__place")
+    dealt = stored(df.withColumn("__value", value).repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy(*by, "__part").agg(F.sum("__value").alias("n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = sizes.select(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col("__part").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    same = F.col("__part") == F.col("__at")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{i}"))
+    within = F.sum("__value").over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = dealt.withColumn("__within", within).join(starts, same).withColumn(name, F.col("__start") + F.col("__within"))
+    return out.drop("__value", "__part", "__at", "__start", "__within", *[f"__by{i}" for i in range(len(by))])
+
+
+def number_rows(df: DataFrame, order: list[str], name: str = "row", by: list[str] | None = None) -> DataFrame:
+    """Number rows (of each group) from 0 in an order, without one task for all of them."""
+    return running_sum(df, order, F.lit(1).cast("long"), name, by).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def draw_rows(df: DataFrame, order: list[str], n_draws: int | None, seed: int) -> DataFrame:
@@ -35,16 +46,16 @@ def draw_rows(df: DataFrame, order: list[str], n_draws: int | None, seed: int) -
     return draws.join(numbered, "row").drop("row")
 
 
-def draw_weighted(volumes: DataFrame, n_draws: int, seed: int, key: str = "vid", weight: str = "weight", buckets: int = 1024) -> DataFrame:
+def draw_weighted(volumes: DataFrame, n_draws: int, seed: int, key: str = "vid", weight: str = "weight") -> DataFrame:
     """Volumes drawn in proportion to their weights: (draw, key).
 
     Each volume owns an interval of the running sum of weights; intervals and
-    draws meet by equal buckets, then by range.  The volume table is a dimension
-    table, so one running sum over it is in order.
+    draws meet by equal buckets, then by range.  There are as many buckets as
+    volumes, so a bucket has few intervals and all volumes together at most
+    twice as many pieces.
     """
-    up_to = F.sum(weight).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    spans = volumes.select(key, weight, up_to.alias("hi")).withColumn("lo", F.col("hi") - F.col(weight))
-    total = volumes.agg(F.sum(weight)).first()[0]
+    spans = running_sum(volumes.select(key, weight), [key], F.col(weight), "hi").withColumn("lo", F.col("hi") - F.col(weight))
+    total, buckets = volumes.agg(F.sum(weight), F.greatest(F.count("*"), F.lit(1))).first()
     width = total / buckets
     spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     draws = volumes.sparkSession.range(n_draws).select(F.col("id").alias("draw"), (uniform(seed, "volume", "id") * total).alias("at")).withColumn("bucket", F.floor(F.col("at") / width))
@@ -89,14 +100,31 @@ def batches(ranked: DataFrame, size: int, drop_last: bool = True) -> DataFrame:
     return out.join(full.drop("__n"), ["rank", "batch"])
 
 
-def endless(df: DataFrame, key: str, seed: int, world: int, max_steps: int, batch: int, start_step: int = 0) -> DataFrame:
-    """(step, rank, key) until ``max_steps``; on resume the epoch counter starts at the step number."""
-    per_epoch = max(1, math.ceil(df.count() / world) // batch)
-    out = None
-    for k in range(math.ceil((max_steps - start_step) / per_epoch)):
-        rows = batches(deal_ranks(shuffle_rows(df, key, seed, start_step + k), world), batch).select((F.col("batch") + start_step + k * per_epoch).alias("step"), "rank", key)
-        out = rows if out is None else out.union(rows)
-    return out.where(F.col("step") < max_steps)
+def endless(df: DataFrame, key: str, seed: int, world: int, max_steps: int, batch: int, start_step: int = 0, bucket_rows: int = 100_000) -> DataFrame:
+    """(step, rank, key) until ``max_steps``; on resume the epoch counter starts at the step number.
+
+    The epoch is a column: every row comes once for each, with its place in that
+    epoch's permutation.
+    """
+    total = df.count()
+    each = math.ceil(total / world)  # rows of a rank in an epoch
+    per_epoch = max(1, each // batch)
+    epochs = math.ceil((max_steps - start_step) / per_epoch)
+    if epochs < 1:
+        return df.select(F.lit(0).cast("long").alias("step"), F.lit(0).alias("rank"), key).limit(0)
+    mixed = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("__e"))
+    mixed = mixed.withColumn("__u", uniform(seed, F.concat(F.lit("epoch"), F.col("__e") + start_step), key))
+    mixed = mixed.withColumn("__b", F.floor(F.col("__u") * max(8, math.ceil(total / bucket_rows))))
+    sizes = mixed.groupBy("__e", "__b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__e").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__e", "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__e", "__b").orderBy("__u", key)) - 1
+    pos = F.col("__start") + F.col("__place")
+    again = F.when(pos < -total % world, F.array(pos, pos + total)).otherwise(F.array(pos))  # the first rows fill the last round
+    dealt = mixed.withColumn("__place", place).join(starts, ["__e", "__b"]).select("__e", key, F.explode(again).alias("pos"))
+    turn = F.expr(f"(pos div {world}) div {batch}")
+    full = dealt.where(turn < each // batch)
+    return full.select((turn + start_step + F.col("__e") * per_epoch).alias("step"), F.pmod("pos", F.lit(world)).cast("int").alias("rank"), key).where(F.col("step") < max_steps)
 
 
 def crop(voxels: DataFrame, want: dict[str, int], seed: int, values: list[str]) -> DataFrame:

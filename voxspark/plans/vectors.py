@@ -88,7 +88,7 @@ def blocks(spark, sf_dir):
     path = new_path(spark, "blocks")
     voxels = views.vox(spark, sf_dir)
     readers.write_blocks(readers.voxels_to_blocks(voxels, 4, ["img", "label"]), path)
-    vols = [r[0] for r in voxels.select("vol").distinct().where("vol % 2 = 1").collect()]
+    vols = voxels.select("vol").where("vol % 2 = 1").distinct()
     return readers.scan_box(spark, path, vols, 0, {"x": 1, "y": 0, "z": 2}, {"x": 7, "y": 5, "z": 8}, 4, ["img", "label"]).select(F.col("vol").cast("long").alias("vol"), "x", "y", "z", "img", "label")
 
 

@@ -66,9 +66,9 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.repartition("vol", "level").sortWithinPartitions("vol", "level", "bx", "by", "bz").write.partitionBy("vol", "level").parquet(path)
 
 
-def scan_box(spark: SparkSession, path: str, vols: list[int], level: int, lo: dict[str, int], hi: dict[str, int], side: int, values: list[str]) -> DataFrame:
-    """Voxels of a box of some volumes: partitions, then row groups, then rows are pruned."""
-    blocks = spark.read.parquet(path).where(F.col("vol").isin(vols) & (F.col("level") == level))
+def scan_box(spark: SparkSession, path: str, vols: DataFrame, level: int, lo: dict[str, int], hi: dict[str, int], side: int, values: list[str]) -> DataFrame:
+    """Voxels of a box of some volumes, a table with a row for each ``vol``: partitions, then row groups, then rows are pruned."""
+    blocks = spark.read.parquet(path).where(F.col("level") == level).join(vols.select(F.col("vol").cast("int")), "vol", "left_semi")
     for a in lo:
         blocks = blocks.where(F.col(f"b{a}").between(lo[a] // side, (hi[a] - 1) // side))
     inside = F.lit(True)

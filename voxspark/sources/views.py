@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxspark.functions.draws import uniform, uniform_sql
+from voxspark.operators.sampling import number_rows
 
 SIDE = 8
 CUBE = SIDE**3
@@ -63,11 +64,8 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric records: run, rank, step, metric, value and time."""
-    from pyspark.sql import Window
-
-    events = table(spark, sf_dir, "events").withColumn("run", F.col("user_id") % 7)
-    step = F.row_number().over(Window.partitionBy("run").orderBy("ts", "event_id"))
-    return events.select("run", (F.col("user_id") % 4).alias("rank"), step.cast("long").alias("step"), F.col("event_type").alias("metric"), "value", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    events = number_rows(table(spark, sf_dir, "events").withColumn("run", F.col("user_id") % 7), ["ts", "event_id"], by=["run"])
+    return events.select("run", (F.col("user_id") % 4).alias("rank"), (F.col("row") + 1).alias("step"), F.col("event_type").alias("metric"), "value", F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
