@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.operators import augment, curation, labels, metrics, patches, sampling, telemetry, tiles
+from voxspark.operators import augment, curation, labels, metrics, patches, representation, sampling, telemetry, tiles
 from voxspark.operators.graph import connected_components
 
 
@@ -22,16 +22,84 @@ def test_border_mask_counts(spark):
     assert {r.channel: r.n for r in found} == {c: (6 - max(o)) * 36 for c, o in offsets}
 
 
-def test_oversized_offset_is_masked(spark):
-    found = labels.affinities(cube(spark, np.ones((3, 3, 3), dtype=int)), [(0, (10, 0, 0))])
-    assert found.where("mask or affinity").count() == 0
-
-
-def test_thin_gap(spark):
-    line = np.array([1, 1, 0, 0, 1, 1]).reshape(6, 1, 1)
-    found = {(r.channel, r.x): r.affinity for r in labels.affinities(cube(spark, line), [(0, (1, 0, 0)), (1, (4, 0, 0))]).collect()}
-    assert [found[0, x] for x in range(6)] == [True, False, False, False, True, False]
-    assert [found[1, x] for x in range(6)] == [True, True, False, False, False, False]
+def test_pairs_by_brute_force(spark):
+    """Offsets along every axis, one of them longer than the grid, on drawn labels."""
+    array = np.random.default_rng(12).integers(-1, 3, (4, 5, 7))
+    offsets = [(0, (0, 0, 1)), (1, (0, 2, 0)), (2, (3, 0, 0)), (3, (0, 7, 0))]
+    found = labels.affinities(cube(spark, array), offsets).collect()
+    assert len(found) == len(offsets) * array.size
+    for r in found:
+        at, end = (r.x, r.y, r.z), tuple(a + b for a, b in zip((r.x, r.y, r.z), dict(offsets)[r.channel], strict=True))
+        inside = all(a < n for a, n in zip(end, array.shape, strict=True))
+        known = bool(inside and array[at] >= 0 and array[end] >= 0)
+        assert r.mask == known and r.affinity == bool(known and array[at] == array[end] > 0)
+
+
+def test_offsets_of_another_rank_are_refused(spark):
+    with pytest.raises(ValueError, match="rank"):
+        labels.affinities(cube(spark, np.ones((2, 2, 2), dtype=int)), [(0, (1, 0))])
+
+
+def test_rotation_refuses_what_it_would_spoil(spark):
+    flat = cube(spark, np.zeros((4, 4, 3), dtype=int))
+    with pytest.raises(Exception, match="no cubes of 4 voxels"):
+        augment.rotate(flat, 4, 1).collect()
+    whole = cube(spark, np.zeros((4, 4, 4), dtype=int)).withColumn("size", F.array(F.lit(4.0), F.lit(4.0), F.lit(30.0)))
+    with pytest.raises(Exception, match="unequal voxel size"):
+        augment.rotate(whole, 4, 1, sizes="size").collect()
+    assert augment.rotate(whole, 4, 1, fix_section=True, sizes="size").count() == augment.rotate(whole.withColumn("size", F.lit(None).cast("array<double>")), 4, 1, sizes="size").count() == 64
+
+
+def test_planes_reach_all_eight_turns(spark):
+    rows = spark.range(200).select(F.col("id").alias("plane")).crossJoin(cube(spark, np.arange(9).reshape(3, 3, 1)).select("x", "y", F.col("label").alias("v")))
+    turned = augment.rotate_plane(rows, 3, 4).groupBy("plane").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "v"))), lambda s: s["v"]).alias("ids")).collect()
+    assert {tuple(r.ids) for r in turned} == {tuple(np.rot90(g, k).reshape(-1)) for g in (np.arange(9).reshape(3, 3), np.arange(9).reshape(3, 3).T) for k in range(4)}
+
+
+def test_gate_of_finished_items(spark):
+    rows = spark.range(10).withColumn("done", F.col("id") < 7)
+    done = rows.where("done")
+    assert curation.guarded(sampling.unfinished(rows, done, "id"), sampling.completeness(done, 7)).count() == 3
+    with pytest.raises(Exception, match="14 items are done, 7 are expected"):
+        curation.guarded(rows, sampling.completeness(done.union(done), 7)).count()
+
+
+def test_running_sums_and_weighted_draws(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("vid"), (F.col("id") % 3).alias("grp"), (1.0 + F.col("id") % 5).alias("weight"))
+    plain = rows.toPandas().sort_values("vid")
+    plain["sum"] = plain.groupby("grp")["weight"].cumsum()
+    got = sampling.running_sum(rows, ["vid"], F.col("weight"), "sum", ["grp"]).toPandas().sort_values("vid")
+    assert got["sum"].tolist() == plain["sum"].tolist()
+    assert sorted(r.row for r in sampling.number_rows(rows, ["vid"]).collect()) == list(range(500))
+    drawn = sampling.draw_weighted(rows.select("vid", "weight"), 20_000, 5).groupBy("vid").count().join(rows, "vid").groupBy("weight").agg(F.sum("count").alias("n")).collect()
+    assert sum(r.n for r in drawn) == 20_000
+    for r in drawn:
+        assert abs(r.n / 20_000 - r.weight / 15) < 0.02
+
+
+@pytest.mark.parametrize("grid", [[8, 8], [6, 6, 6]])
+def test_block_masks_keep_their_law(spark, grid):
+    samples = spark.range(40).select(F.col("id").alias("sample"), F.col("id").alias("pos"), F.lit(40).alias("total"))
+    rows = sorted(patches.block_masks(samples, grid, 0.5, 0.1, 0.6, 3).collect(), key=lambda r: r.sample)
+    size = int(np.prod(grid))
+    for r in rows:
+        assert len(r.hidden) == size and r.ratio == (pytest.approx(0.1 + 0.5 * r.sample / 19) if r.sample < 20 else 0.0)
+        assert sum(r.hidden) <= int(r.ratio * size) and (sum(r.hidden) > 0) == (r.sample < 20)
+    assert sum(sum(r.hidden) for r in rows) > 0.8 * sum(int(r.ratio * size) for r in rows)
+    assert rows == sorted(patches.block_masks(samples.repartition(7), grid, 0.5, 0.1, 0.6, 3).collect(), key=lambda r: r.sample)
+
+
+def test_recall_of_approximate_neighbours(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.expr("transform(embedding, v -> cast(v as double))").alias("vec"))
+    plain = rows.toPandas().sort_values("vec_id")
+    unit = np.stack(plain["vec"].to_numpy())
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    key = plain["vec_id"].to_numpy()
+    apart = np.sqrt(np.maximum(0, 2 - 2 * unit @ unit.T))
+    exact = {(int(key[i]), int(key[j])) for i, j in np.argwhere(np.triu(apart < 1.2 - 1e-9, 1))}
+    found = {(r.key, r.neighbour) for r in representation.approximate_neighbours(rows, "vec_id", "vec").collect()}
+    assert exact and len(found & exact) >= 0.9 * len(exact)
+    assert all(apart[np.searchsorted(key, a), np.searchsorted(key, b)] < 1.2 + 1e-9 for a, b in found)
 
 
 @pytest.mark.parametrize("seed", [0, 1])

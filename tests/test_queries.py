@@ -28,5 +28,5 @@ def test_query(spark, con, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 12
+    assert __spark_entry__.entry(spark).count() == 18  # three volumes, six channels
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

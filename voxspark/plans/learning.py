@@ -92,6 +92,18 @@ def rotated(spark, sf_dir):
     return augment.rotate(views.vox(spark, sf_dir), 8, 31).select("id", "x", "y", "z", "label")
 
 
+def rotated_planes(spark, sf_dir):
+    """G-01 in two dimensions: each z plane turned by one of eight flips and exchanges of x and y."""
+    planes = views.vox(spark, sf_dir).select("id", "x", "y", (F.col("vol") * 8 + F.col("z")).alias("plane"))
+    return augment.rotate_plane(planes, 8, 38).select("id", "x", "y")
+
+
+def rotation_guarded(spark, sf_dir):
+    """F-10: rotated about the section axis only, behind a guard of shapes and voxel sizes."""
+    voxels = views.vox(spark, sf_dir).withColumn("size", F.array(F.lit(8.0), F.lit(8.0), F.lit(40.0)))
+    return augment.rotate(voxels, 8, 31, fix_section=True, sizes="size").groupBy("vol").agg(F.count("*").alias("n"), F.sum("id").cast("long").alias("ids"), F.countDistinct("x", "y", "z").alias("places"))
+
+
 def shifted(spark, sf_dir):
     """G-02: some sections rolled along the other axes."""
     return augment.shift_sections(views.vox(spark, sf_dir), 8, 32, 0.3, 2).select("id", "x", "y", "z")
@@ -233,6 +245,14 @@ SELECT sample, level, patch::INT AS patch, (patch // 4)::INT AS i0, (patch % 4):
     ),
     "m13_level_balanced_loss": (balanced_loss, views.sql("vox", f"WITH {ERR}, q AS (SELECT vol, level, avg(e2) FILTER (hidden) AS l, avg((NOT hidden)::INT) AS vis FROM eh GROUP BY vol, level) SELECT round(avg(l), 6) AS loss, count(l) AS pairs, round(avg(vis) FILTER (level = 0), 6) AS finest_visible FROM q")),
     "g01_rotate": (rotated, views.sql("vox", f"SELECT id, x::INT AS x, y::INT AS y, z::INT AS z, label FROM {_rotated_sql(31, 'vox')}")),
+    "g01_rotate_plane": (
+        rotated_planes,
+        views.sql(
+            "vox",
+            f"WITH p AS (SELECT id, vol * 8 + z AS plane, x, y FROM vox), f AS (SELECT id, plane, CASE WHEN {uniform_sql(38, 'flipx', 'plane')} < 0.5 THEN 7 - x ELSE x END AS x, CASE WHEN {uniform_sql(38, 'flipy', 'plane')} < 0.5 THEN 7 - y ELSE y END AS y FROM p) SELECT id, CASE WHEN {uniform_sql(38, 'perm', 'plane')} < 0.5 THEN y ELSE x END::INT AS x, CASE WHEN {uniform_sql(38, 'perm', 'plane')} < 0.5 THEN x ELSE y END::INT AS y FROM f",
+        ),
+    ),
+    "f10_rotation_guard": (rotation_guarded, views.sql("vox", "SELECT vol, count(*) AS n, sum(id)::BIGINT AS ids, 512::BIGINT AS places FROM vox GROUP BY vol")),
     "g02_shift_sections": (shifted, views.sql("vox", f"SELECT id, x::INT AS x, y::INT AS y, z::INT AS z FROM {_shifted_sql(32, 'vox')}")),
     "g03_drop_jitter": (dropped, views.sql("vox", f"SELECT id, label, round(img * (0.9::DOUBLE + 0.2 * {uniform_sql(34, 'jitter.m', 'vol')}) + (2 * {uniform_sql(34, 'jitter.a', 'vol')} - 1) * 0.1, 6) AS img FROM {_dropped_sql(33, 'vox')}")),
     "g05_noise": (noisy, views.sql("vox", f"SELECT id, round(img + {uniform_sql(35, 'noise.s', 'vol')} * 0.2 * {normal_sql(35, 'noise.v', 'vol', 'x', 'y', 'z')}, 6) AS img FROM vox")),

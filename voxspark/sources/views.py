@@ -17,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full cubes of 8 x 8 x 8 voxels made from ``orders``: intensity and three label columns."""
+    """Cubes of 8 x 8 x 8 voxels made from all ``orders``: intensity and three label columns.
+
+    What the last cube lacks is void: intensity 0, label unknown.
+    """
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
-    full = orders.count() // CUBE
-    cells = orders.where(F.col("id") < full * CUBE).select(
+    n = orders.count()
+    void = spark.range(n, -(-n // CUBE) * CUBE).select("id", F.lit(None).cast(orders.schema["o_totalprice"].dataType).alias("o_totalprice"))
+    cells = orders.unionByName(void).withColumn("void", F.col("o_totalprice").isNull()).withColumn("o_totalprice", F.coalesce("o_totalprice", F.lit(0))).select(
         F.expr("id div 512").alias("vol"),
         F.lit(0).alias("level"),
         F.expr("cast((id div 64) % 8 as int)").alias("x"),
@@ -29,9 +33,10 @@ def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         ((F.floor("o_totalprice") % 256) / F.lit(255.0)).alias("img"),
         (F.floor("o_totalprice") % 3).cast("long").alias("lab_noise"),
+        "void",
     )
     blob = F.expr("(x div 3 + y div 3 + z div 3 + vol) % 3").cast("long")
-    cells = cells.withColumn("label", F.when(F.col("id") % 37 == 0, F.lit(-1).cast("long")).otherwise(blob))
+    cells = cells.withColumn("label", F.when(F.col("void") | (F.col("id") % 37 == 0), F.lit(-1).cast("long")).otherwise(blob)).drop("void")
     flip = (uniform(7, "flip", "id") < 0.15) & (F.col("label") >= 0)
     return cells.withColumn("pred", F.when(flip, (F.col("label") + 1) % 3).otherwise(F.col("label")))
 
@@ -90,9 +95,9 @@ def tensors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SQL = {
     "vox": f"""vox0 AS (
   SELECT o_orderkey // 512 AS vol, 0 AS level, (o_orderkey // 64) % 8 AS x, (o_orderkey // 8) % 8 AS y, o_orderkey % 8 AS z, o_orderkey AS id,
-    (floor(o_totalprice)::BIGINT % 256) / 255.0::DOUBLE AS img, floor(o_totalprice)::BIGINT % 3 AS lab_noise
-  FROM orders WHERE o_orderkey // 512 < (SELECT count(*) // 512 FROM orders)
-), vox1 AS (SELECT *, CASE WHEN id % 37 = 0 THEN -1 ELSE (x // 3 + y // 3 + z // 3 + vol) % 3 END AS label FROM vox0
+    (floor(coalesce(o_totalprice, 0))::BIGINT % 256) / 255.0::DOUBLE AS img, floor(coalesce(o_totalprice, 0))::BIGINT % 3 AS lab_noise, o_totalprice IS NULL AS void
+  FROM (SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT unnest(range((SELECT count(*) FROM orders), (SELECT (count(*) + 511) // 512 * 512 FROM orders))), NULL)
+), vox1 AS (SELECT * EXCLUDE (void), CASE WHEN void OR id % 37 = 0 THEN -1 ELSE (x // 3 + y // 3 + z // 3 + vol) % 3 END AS label FROM vox0
 ), vox AS (SELECT *, CASE WHEN label >= 0 AND {uniform_sql(7, "flip", "id")} < 0.15 THEN (label + 1) % 3 ELSE label END AS pred FROM vox1)""",
     "scores": "scores AS (SELECT vol, level, x, y, z, id, img, label, cls, img * (cls + 1) - (x + cls) % 4 AS score FROM vox, (SELECT unnest(range(0, 4)) AS cls))",
     "tokens": "tokens AS (SELECT vec_id // 50 AS sample, vec_id % 50 AS token, embedding::DOUBLE[] AS vec, label, vec_id FROM embeddings)",
