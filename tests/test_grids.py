@@ -187,6 +187,44 @@ def test_failures_say_why(spark):
         patches.patch_ids(rows, {"x": 7}, 2)
 
 
+def test_boundaries_by_brute_force(spark):
+    array = np.random.default_rng(4).integers(-1, 3, (4, 5, 6))
+    wanted = set()
+    for p in itertools.product(*map(range, array.shape)):
+        near = [tuple(c + d * (a == axis) for a, c in enumerate(p)) for axis in range(3) for d in (-1, 1)]
+        if array[p] >= 0 and any(all(0 <= c < n for c, n in zip(q, array.shape, strict=True)) and array[q] >= 0 and array[q] != array[p] for q in near):
+            wanted.add(p)
+    voxels = cube(spark, array).withColumn("pred", F.when(F.col("id") % 3 == 0, -1).otherwise(1))
+    assert {(r.x, r.y, r.z) for r in labels.boundary(voxels).where("boundary").collect()} == wanted
+    known = {p: (p[0] * 5 + p[1]) * 6 + p[2] for p in itertools.product(*map(range, array.shape)) if array[p] >= 0}
+    off = {p for p, k in known.items() if k % 3 == 0}
+    got = labels.boundary_enrichment(voxels, ["vol"]).first()
+    assert got.boundary_enrichment == pytest.approx((len(wanted & off) / len(off)) / (len(wanted) / len(known)), abs=1e-6)
+    assert labels.boundary_enrichment(voxels.withColumn("pred", F.lit(1)), ["vol"]).first().boundary_enrichment is None
+
+
+def test_choices_of_a_threshold(spark):
+    def picked(rows):
+        out = labels.choose_threshold(spark.createDataFrame(rows, "threshold double, merges long, score double")).collect()
+        return [r.threshold for r in out if r.chosen], [r.threshold for r in out if r.best]
+
+    assert picked([(3.0, 0, 0.5), (1.0, 2, 0.7), (2.0, 0, 0.7)]) == ([2.0], [1.0])
+    assert picked([(1.0, 4, 0.1), (2.0, 1, 0.2)]) == ([2.0], [2.0])
+
+
+def test_pyramid_of_a_ragged_grid(spark):
+    array = np.arange(5 * 4 * 3).reshape(5, 4, 3)
+    rows = cube(spark, array).withColumn("img", F.col("label").cast("double"))
+    found = {(r.level, r.x, r.y, r.z): (r.img, r.label) for r in curation.pyramid(rows, 3, ["img"], ["label"]).collect()}
+    assert len(found) == 60 + 3 * 2 * 2 + 2 * 1 * 1
+    for (level, *at), (img, label) in found.items():
+        cell = array[tuple(slice(c << level, (c + 1) << level) for c in at)]
+        assert img == pytest.approx(cell.mean()) and label == cell[0, 0, 0]
+    assert curation.pyramid(rows, 1, ["img"], ["label"]).count() == 60
+    with pytest.raises(Exception, match="levels are"):
+        curation.level_gate(curation.pyramid(rows, 2, ["img"], ["label"]), [0]).collect()
+
+
 def test_empty_tables(spark):
     none = cube(spark, np.zeros((1, 1, 1), dtype=int)).where("vol < 0")
     assert labels.affinities(none, labels.offset_rows(3, 1, 2)).count() == 0

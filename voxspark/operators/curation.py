@@ -126,6 +126,26 @@ def sparse_default(written: DataFrame, grid: DataFrame, keys: list[str], label:
     return grid.join(written.select(*keys, label), keys, "left").withColumn(label, F.coalesce(F.col(label), F.lit(default).cast("long")))
 
 
+def pyramid(voxels: DataFrame, levels: int, means: list[str], corners: list[str]) -> DataFrame:
+    """Level 0 with the coarser levels made from it, each of half the voxels an axis of the one before.
+
+    A coarse voxel has the mean of ``means`` over the voxels inside it (fewer at
+    a ragged end), and of ``corners`` (labels) the value of its first voxel,
+    null where that is missing.  Only coarse voxels are shuffled.
+    """
+    fine = voxels.where(F.col("level") == 0)
+    names = ["vol", "level", *AXES, *means, *corners]
+    if levels < 2:
+        return fine.select(names)
+    steps = fine.drop("level").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels - 1)))).withColumn("__side", F.expr("shiftleft(1, level)"))
+    first = F.lit(True)
+    for a in AXES:
+        first = first & (F.col(a) % F.col("__side") == 0)
+    cell = [F.expr(f"cast({a} div __side as int)").alias(a) for a in AXES]
+    coarse = steps.groupBy("vol", "level", *cell).agg(*[F.avg(c).alias(c) for c in means], *[F.max(F.when(first, F.col(c))).alias(c) for c in corners])
+    return fine.select(names).unionByName(coarse.select(names))
+
+
 def choose_level(requests: DataFrame, levels: DataFrame) -> DataFrame:
     """The coarsest level whose voxel size is at most the request on every axis, else the finest.
 

@@ -231,6 +231,45 @@ def overlap(voxels: DataFrame, by: list[str], pred: str = "pred", truth: str = "
     )
 
 
+def boundary(voxels: DataFrame, label: str = "label") -> DataFrame:
+    """Add ``boundary``: whether a face neighbour has another id, both being known.  Lines must be dense."""
+    out, edge = voxels, F.lit(False)
+    for axis in AXES:
+        beside = F.lit(False)
+        for step in (1, -1):
+            other, at = _neighbour(label, axis, step)
+            beside = beside | F.coalesce((at == F.col(axis) + step) & (other >= 0) & (other != F.col(label)), F.lit(False))
+        out, edge = out.withColumn(f"__edge_{axis}", beside), edge | F.col(f"__edge_{axis}")
+    return out.withColumn("boundary", (F.col(label) >= 0) & edge).drop(*[f"__edge_{a}" for a in AXES])
+
+
+def boundary_enrichment(voxels: DataFrame, by: list[str], pred: str = "pred", truth: str = "label") -> DataFrame:
+    """How much denser boundaries are among abstained voxels (``pred`` below 0) than among all known ones.
+
+    1 means that abstention does not look for boundaries; null where nothing is
+    abstained or there is no boundary.  Voxels of unknown truth do not count.
+    """
+    count = {"known": F.lit(True), "edges": F.col("boundary"), "ignored": F.col(pred) < 0, "both": F.col("boundary") & (F.col(pred) < 0)}
+    sums = boundary(voxels.select(*{*by, *GRID, *AXES, pred, truth}), truth).where(F.col(truth) >= 0).groupBy(*by).agg(*[F.count(F.when(c, 1)).alias(n) for n, c in count.items()])
+    return sums.select(
+        *by,
+        F.round(F.col("edges") / F.col("known"), 6).alias("frac_boundary"),
+        F.round(F.col("ignored") / F.col("known"), 6).alias("frac_abstained"),
+        F.round(F.col("both") * F.col("known") / F.nullif(F.col("ignored") * F.col("edges"), F.lit(0)), 6).alias("boundary_enrichment"),
+    )
+
+
+def choose_threshold(sweep: DataFrame) -> DataFrame:
+    """Mark two choices in a sweep (threshold, merges, score).
+
+    ``chosen``: the first threshold without a merge, else the last.  ``best``: the
+    one of the highest score, the lowest of equals.
+    """
+    first = F.coalesce(F.min(F.when(F.col("merges") == 0, F.col("threshold"))), F.max("threshold"))
+    pick = sweep.agg(first.alias("__first"), F.max_by("threshold", F.struct("score", -F.col("threshold"))).alias("__top"))
+    return sweep.join(F.broadcast(pick)).withColumn("chosen", F.col("threshold") == F.col("__first")).withColumn("best", F.col("threshold") == F.col("__top")).drop("__first", "__top")
+
+
 def same_partition(voxels: DataFrame, by: list[str], one: str, other: str) -> DataFrame:
     """Whether two labelings cut the foreground alike: ids map one to one."""
     ids = voxels.where((F.col(one) > 0) | (F.col(other) > 0)).select(*by, F.col(one).alias("a"), F.col(other).alias("b")).distinct()

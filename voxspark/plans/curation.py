@@ -43,6 +43,11 @@ def class_bound(spark, sf_dir):
     return voxels.groupBy("vol").agg(F.max("label").alias("top"), F.count("*").alias("n"))
 
 
+def levels_declared(spark, sf_dir):
+    """F-08: a pyramid that has the levels it declares, counted by volume and level."""
+    return curation.level_gate(views.pyramid(spark, sf_dir), [0, 1, 2]).groupBy("vol", "level").agg(F.count("*").alias("n"), F.round(F.avg("img"), 6).alias("img"))
+
+
 def known_voxels(spark, sf_dir):
     """F-05, F-06: known labels with normalised intensity."""
     voxels = views.vox(spark, sf_dir).withColumn("raw", F.round(F.col("img") * 255))
@@ -166,6 +171,7 @@ QUERIES = {
     "f02_group_keys": (group_keys, views.sql("volumes", "SELECT vid, split_part(name, '/', 1) AS g1, split_part(name, '/', 1) || '/' || split_part(name, '/', 2) AS g2 FROM volumes")),
     "f03_hold_out": (split, views.sql("volumes", "SELECT vid, CASE WHEN split_part(name, '/', 1) IN ('BUILDING', 'MACHINERY') THEN 'val' ELSE 'train' END AS split FROM volumes")),
     "f04_class_bound": (class_bound, views.sql("vox", "SELECT vol, max(label) AS top, count(*) AS n FROM vox GROUP BY vol")),
+    "f08_level_gate": (levels_declared, views.sql("pyramid", "SELECT vol, level, count(*) AS n, round(avg(img), 6) AS img FROM pyramid GROUP BY vol, level")),
     "f05_known_voxels": (known_voxels, views.sql("vox", "SELECT id, label, round(img * 255) / 255.0::DOUBLE AS img FROM vox WHERE label <> -1")),
     "f07_axes": (axes, views.sql("vox", "SELECT id, z AS a0, y AS a1, x AS a2 FROM vox")),
     "f09_registration": (registration, views.sql("vox", "SELECT DISTINCT vol, vol % 3 <> 0 AS agree, CASE WHEN vol % 3 = 0 THEN 7 ELSE 8 END::BIGINT AS label_nz FROM vox")),

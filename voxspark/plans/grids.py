@@ -66,6 +66,11 @@ def components_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.split_components_by_block(views.vox(spark, sf_dir), 3, "lab_noise").select("id", "vol", F.col("piece").cast("long").alias("piece"))
 
 
+def level_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-05: the ids of a pyramid split into pieces at each level by itself."""
+    return labels.split_components_by_block(views.pyramid(spark, sf_dir), 3, "lab_noise").select("id", "vol", "level", F.col("piece").cast("long").alias("piece"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-07: pieces of the kept short edges; fewer than four voxels are dropped."""
     voxels = views.vox(spark, sf_dir)
@@ -84,8 +89,15 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.overlap(views.vox(spark, sf_dir), ["vol"])
 
 
+def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-09: how much abstention prefers the boundaries of objects, in each volume."""
+    voxels = views.vox(spark, sf_dir).withColumn("segment", F.col("pred"))
+    pseudo = labels.abstain(voxels, F.col("pred") > 0, F.col("img"), uniform(12, "far", "id"), 0.4, 0.9)
+    return labels.boundary_enrichment(pseudo, ["vol"], "pseudo", "label")
+
+
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-10: coverage, merges and splits at several logits, and the first without a merge."""
+    """L-10: coverage, merges, splits and score of pairs (F1) at several logits, the first without a merge and the best."""
     voxels = views.vox(spark, sf_dir)
     logits = _logits(voxels)
     rows = None
@@ -93,10 +105,11 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         cut = labels.segment(voxels, logits, threshold, 2).withColumn("all", F.lit(1))
         # truth is the object of one volume: ids of different volumes are different objects
         cut = cut.withColumn("truth", F.when(F.col("label") > 0, F.col("vol") * 10 + F.col("label")).otherwise(F.col("label")))
-        one = labels.overlap(cut, ["all"], "segment", "truth").select(F.lit(threshold).alias("threshold"), F.col("frac_instance").alias("coverage"), "merges", "splits")
+        both = F.col("pair_precision") + F.col("pair_recall")
+        score = F.round(F.when(both > 0, 2 * F.col("pair_precision") * F.col("pair_recall") / both).otherwise(0.0), 6).alias("score")
+        one = labels.overlap(cut, ["all"], "segment", "truth").select(F.lit(threshold).alias("threshold"), F.col("frac_instance").alias("coverage"), "merges", "splits", score)
         rows = one if rows is None else rows.union(one)
-    best = rows.agg(F.coalesce(F.min(F.when(F.col("merges") == 0, F.col("threshold"))), F.max("threshold")).alias("chosen"))
-    return rows.join(F.broadcast(best)).select("threshold", "coverage", "merges", "splits", (F.col("threshold") == F.col("chosen")).alias("chosen"))
+    return labels.choose_threshold(rows)
 
 
 def same_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,13 +221,12 @@ def _sweep_sql() -> str:
     parts, rows = [], []
     for k, threshold in enumerate((2.0, 3.0, 4.0)):
         parts.append(_segment_sql(threshold, 2, str(k)))
-        parts.append(f"cut{k} AS (SELECT segment, CASE WHEN label > 0 THEN vol * 10 + label ELSE label END AS truth FROM vox JOIN seg{k} USING (id))")
-        rows.append(
-            f"SELECT {threshold}::DOUBLE AS threshold, round((SELECT count(*) FILTER (segment > 0) FROM cut{k}) / (SELECT count(*) FROM cut{k}), 6) AS coverage,"
-            f" (SELECT count(*) FROM (SELECT segment FROM cut{k} WHERE segment > 0 AND truth > 0 GROUP BY segment HAVING count(DISTINCT truth) > 1)) AS merges,"
-            f" (SELECT count(*) FROM (SELECT truth FROM cut{k} WHERE segment > 0 AND truth > 0 GROUP BY truth HAVING count(DISTINCT segment) > 1)) AS splits"
-        )
-    return f"WITH {', '.join(parts)}, sweep AS ({' UNION ALL '.join(rows)}) SELECT *, threshold = coalesce((SELECT min(threshold) FROM sweep WHERE merges = 0), (SELECT max(threshold) FROM sweep)) AS chosen FROM sweep"
+        rows.append(f"SELECT {threshold}::DOUBLE AS threshold, segment, CASE WHEN label > 0 THEN vol * 10 + label ELSE label END AS truth FROM vox JOIN seg{k} USING (id)")
+    return f"""WITH {', '.join(parts)}, cuts AS ({' UNION ALL '.join(rows)}), {BOTH.format(by='threshold', p='segment', t='truth', rows='cuts')}, sweep0 AS (
+SELECT threshold, round(inst / voxels, 6) AS coverage, coalesce(merges, 0) AS merges, coalesce(splits, 0) AS splits, round(coalesce(c / greatest(pred_pairs, 1), 0), 6) AS p, round(coalesce(c / greatest(true_pairs, 1), 0), 6) AS r
+FROM tot LEFT JOIN byp USING (threshold) LEFT JOIN byt USING (threshold) LEFT JOIN com USING (threshold)
+), sweep AS (SELECT threshold, coverage, merges, splits, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 6) ELSE 0 END AS score FROM sweep0)
+SELECT *, threshold = coalesce((SELECT min(threshold) FROM sweep WHERE merges = 0), (SELECT max(threshold) FROM sweep)) AS chosen, threshold = (SELECT threshold FROM sweep ORDER BY score DESC, threshold LIMIT 1) AS best FROM sweep"""
 
 
 QUERIES = {
@@ -244,6 +256,14 @@ FROM vox a CROSS JOIN o LEFT JOIN vox b ON b.vol = a.vol AND b.x = a.x + dx AND
             recursive=True,
         ),
     ),
+    "l05_level_components": (
+        level_components,
+        views.sql(
+            "pyramid",
+            f"WITH nodes AS (SELECT id FROM pyramid WHERE lab_noise > 0), e AS (SELECT a.id AS u, b.id AS v FROM pyramid a JOIN pyramid b ON a.level = b.level AND {FACES} AND a.lab_noise = b.lab_noise AND a.lab_noise > 0), {GRAPH} SELECT id, vol, level, CASE WHEN lab_noise > 0 THEN root ELSE lab_noise END AS piece FROM pyramid LEFT JOIN roots ON u = id",
+            recursive=True,
+        ),
+    ),
     "l06_affinity_scores": (
         affinity_scores,
         views.sql(
@@ -266,6 +286,16 @@ FROM p GROUP BY vol, channel""",
             f"WITH {BOTH.format(by='vol', p='pred', t='label', rows='vox')} SELECT vol, round(coalesce(c / greatest(pred_pairs, 1), 0), 6) AS pair_precision, round(coalesce(c / greatest(true_pairs, 1), 0), 6) AS pair_recall, coalesce(merges, 0) AS merges, coalesce(splits, 0) AS splits, round(inst / voxels, 6) AS frac_instance, round(ign / voxels, 6) AS frac_ignore FROM tot LEFT JOIN byp USING (vol) LEFT JOIN byt USING (vol) LEFT JOIN com USING (vol)",
         ),
     ),
+    "l09_boundary_enrichment": (
+        enrichment,
+        views.sql(
+            "vox",
+            f"""WITH pl AS (SELECT *, CASE WHEN pred > 0 THEN CASE WHEN {uniform_sql(12, 'far', 'id')} < 0.9 THEN pred ELSE -1 END WHEN img < 0.4 THEN 0 ELSE -1 END AS pseudo FROM vox
+), edge AS (SELECT DISTINCT a.id FROM vox a JOIN vox b ON {FACES} WHERE a.label >= 0 AND b.label >= 0 AND a.label <> b.label
+), m AS (SELECT vol, pseudo < 0 AS off, edge.id IS NOT NULL AS edge FROM pl LEFT JOIN edge USING (id) WHERE label >= 0)
+SELECT vol, round(count(*) FILTER (edge) / count(*), 6) AS frac_boundary, round(count(*) FILTER (off) / count(*), 6) AS frac_abstained, round(count(*) FILTER (edge AND off) * count(*) / nullif(count(*) FILTER (off) * count(*) FILTER (edge), 0), 6) AS boundary_enrichment FROM m GROUP BY vol""",
+        ),
+    ),
     "l10_threshold_sweep": (threshold_sweep, views.sql("vox", _sweep_sql(), recursive=True)),
     "l11_same_partition": (
         same_partition,

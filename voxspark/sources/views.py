@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxspark.functions.draws import uniform, uniform_sql
+from voxspark.operators.curation import pyramid as coarsen
 from voxspark.operators.sampling import number_rows
 
 SIDE = 8
@@ -41,6 +42,12 @@ def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("pred", F.when(flip, (F.col("label") + 1) % 3).otherwise(F.col("label")))
 
 
+def pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cubes at three levels of 8, 4 and 2 voxels an axis; ``id`` is unique over all of them."""
+    rows = coarsen(vox(spark, sf_dir), 3, ["img"], ["lab_noise", "label"])
+    return rows.withColumn("id", (((F.col("vol") * 8 + F.col("x")) * 8 + F.col("y")) * 8 + F.col("z")) * 4 + F.col("level") + 1)
+
+
 def scores(voxels: DataFrame, classes: int = 4) -> DataFrame:
     """Long class scores of every voxel."""
     cls = F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("cls")
@@ -99,6 +106,9 @@ SQL = {
   FROM (SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT unnest(range((SELECT count(*) FROM orders), (SELECT (count(*) + 511) // 512 * 512 FROM orders))), NULL)
 ), vox1 AS (SELECT * EXCLUDE (void), CASE WHEN void OR id % 37 = 0 THEN -1 ELSE (x // 3 + y // 3 + z // 3 + vol) % 3 END AS label FROM vox0
 ), vox AS (SELECT *, CASE WHEN label >= 0 AND {uniform_sql(7, "flip", "id")} < 0.15 THEN (label + 1) % 3 ELSE label END AS pred FROM vox1)""",
+    "pyramid": """pyramid AS (SELECT *, (((vol * 8 + x) * 8 + y) * 8 + z) * 4 + level + 1 AS id FROM (
+  SELECT vol, level, x, y, z, img, lab_noise, label FROM vox UNION ALL
+  SELECT vol, l, x // s, y // s, z // s, avg(img), max(lab_noise) FILTER (x % s = 0 AND y % s = 0 AND z % s = 0), max(label) FILTER (x % s = 0 AND y % s = 0 AND z % s = 0) FROM vox, (VALUES (1, 2), (2, 4)) AS p(l, s) GROUP BY vol, l, x // s, y // s, z // s))""",
     "scores": "scores AS (SELECT vol, level, x, y, z, id, img, label, cls, img * (cls + 1) - (x + cls) % 4 AS score FROM vox, (SELECT unnest(range(0, 4)) AS cls))",
     "tokens": "tokens AS (SELECT vec_id // 50 AS sample, vec_id % 50 AS token, embedding::DOUBLE[] AS vec, label, vec_id FROM embeddings)",
     "trace": """trace AS (SELECT 'X' AS ph, user_id AS pid, event_type AS name,
@@ -111,7 +121,7 @@ SQL = {
 ), ckpt AS (SELECT name, CASE WHEN k % 11 = 0 THEN list_concat([shape[1] + 1], shape[2:]) ELSE shape END AS shape FROM part0 WHERE k % 5 <> 0
 ), model AS (SELECT name, shape FROM part0 WHERE k % 3 <> 0)""",
 }
-NEEDS = {"scores": ["vox"]}
+NEEDS = {"scores": ["vox"], "pyramid": ["vox"]}
 
 
 def sql(views: str, body: str, recursive: bool = False) -> str:
