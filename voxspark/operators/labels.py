@@ -32,34 +32,36 @@ def _neighbour(value: str, axis: str, step: int) -> tuple[Column, Column]:
     return F.lead(value, step).over(line), F.lead(axis, step).over(line)
 
 
-def affinities(voxels: DataFrame, offsets: list[tuple[int, tuple[int, ...]]], label: str = "label") -> DataFrame:
+def affinities(voxels: DataFrame, offsets: list[tuple[int, tuple[int, ...]]], label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
     """Long rows (vol, level, x, y, z, channel, affinity, mask) of every voxel and offset.
 
     An affinity holds where both ends have one positive id; the mask holds where
     both ends are inside and known (not -1).  Offsets along one axis read a
     window over each line of the grid, which must be dense along it; the sort of
     a line serves all offsets of its axis.  Other offsets are an equi-join.
+    Columns of the voxels named in ``keep`` are repeated in each of its rows.
     """
     if any(len(offset) != len(AXES) for _, offset in offsets):
         raise ValueError(f"offsets need the rank of the grid, {len(AXES)}")
     keys = [*GRID, *AXES]
     straight = [o for o in offsets if sum(d != 0 for d in o[1]) == 1]
     slanted = [o for o in offsets if o not in straight]
-    rows = voxels.select(*keys, F.col(label).alias("own"))
+    own = [*keys, *keep, "own"]
+    rows = voxels.select(*keys, *keep, F.col(label).alias("own"))
     for channel, offset in straight:
         axis = next(a for a, d in zip(AXES, offset, strict=True) if d)
         step = next(d for d in offset if d)
         other, at = _neighbour("own", axis, step)
         near = at == F.col(axis) + step
         rows = rows.withColumn(f"__o{channel}", F.when(near, other))
-    found = rows.select(*keys, "own", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"__o{c}").alias("other")) for c, _ in straight])).alias("e")).select(*keys, "own", "e.*") if straight else None
+    found = rows.select(*own, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"__o{c}").alias("other")) for c, _ in straight])).alias("e")).select(*own, "e.*") if straight else None
     for channel, offset in slanted:
         moved = voxels.select(*GRID, *[(F.col(a) - d).alias(a) for a, d in zip(AXES, offset, strict=True)], F.col(label).alias("other"))
-        part = voxels.select(*keys, F.col(label).alias("own")).join(moved, keys, "left").select(*keys, "own", F.lit(channel).alias("channel"), "other")
+        part = voxels.select(*keys, *keep, F.col(label).alias("own")).join(moved, keys, "left").select(*own, F.lit(channel).alias("channel"), "other")
         found = part if found is None else found.unionByName(part)
     known = F.col("other").isNotNull() & (F.col("own") >= 0) & (F.col("other") >= 0)
     same = F.coalesce((F.col("own") == F.col("other")) & (F.col("own") > 0), F.lit(False))
-    return found.select(*keys, "channel", same.alias("affinity"), F.coalesce(known, F.lit(False)).alias("mask"))
+    return found.select(*keys, *keep, "channel", same.alias("affinity"), F.coalesce(known, F.lit(False)).alias("mask"))
 
 
 def adjacency(voxels: DataFrame, label: str = "label", rank: int = 3) -> DataFrame:
