@@ -22,17 +22,37 @@ def test_border_mask_counts(spark):
     assert {r.channel: r.n for r in found} == {c: (6 - max(o)) * 36 for c, o in offsets}
 
 
-def test_pairs_by_brute_force(spark):
-    """Offsets along every axis, one of them longer than the grid, on drawn labels."""
+@pytest.mark.parametrize("side", [2, 3, 64])
+def test_pairs_by_brute_force(spark, side):
+    """Straight, slanted, negative and overlong offsets on a grid with gaps, in blocks of several sizes."""
     array = np.random.default_rng(12).integers(-1, 3, (4, 5, 7))
-    offsets = [(0, (0, 0, 1)), (1, (0, 2, 0)), (2, (3, 0, 0)), (3, (0, 7, 0))]
-    found = labels.affinities(cube(spark, array), offsets).collect()
-    assert len(found) == len(offsets) * array.size
+    offsets = [(0, (0, 0, 1)), (1, (0, 2, 0)), (2, (3, 0, 0)), (3, (0, 7, 0)), (4, (1, -2, 3)), (5, (-1, 0, 0))]
+    rows = cube(spark, array).where("id % 5 <> 3").withColumn("note", F.concat(F.lit("voxel "), F.col("id")))
+    there = {(r.x, r.y, r.z): r.note for r in rows.collect()}
+    found = labels.affinities(rows, offsets, keep=("note",), side=side).collect()
+    assert len(found) == len(offsets) * len(there) == len({(r.x, r.y, r.z, r.channel) for r in found})
     for r in found:
         at, end = (r.x, r.y, r.z), tuple(a + b for a, b in zip((r.x, r.y, r.z), dict(offsets)[r.channel], strict=True))
-        inside = all(a < n for a, n in zip(end, array.shape, strict=True))
-        known = bool(inside and array[at] >= 0 and array[end] >= 0)
-        assert r.mask == known and r.affinity == bool(known and array[at] == array[end] > 0)
+        known = bool(end in there and array[at] >= 0 and array[end] >= 0)
+        assert r.mask == known and r.affinity == bool(known and array[at] == array[end] > 0) and r.note == there[at]
+
+
+def test_one_shuffle_finds_all_neighbours(spark):
+    plan = labels.affinities(cube(spark, np.ones((2, 2, 2), dtype=int)), labels.offset_rows())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_sinkhorn_as_stated(spark, rounds):
+    """Columns, then rows, of each group's matrix are divided by their sums."""
+    logits = np.random.default_rng(2).normal(size=(2, 9, 5))
+    rows = spark.createDataFrame([(g, i, logits[g, i].tolist()) for g in range(2) for i in range(9)], "g int, i int, logits array<double>")
+    q = np.exp(logits / 0.5)
+    for _ in range(rounds):
+        q /= q.sum(axis=1, keepdims=True)
+        q /= q.sum(axis=2, keepdims=True)
+    for r in representation.sinkhorn(rows, ["g"], "i", "logits", 5, 0.5, rounds).collect():
+        assert r.q == pytest.approx(q[r.g, r.i].tolist(), rel=1e-9)
 
 
 def test_offsets_of_another_rank_are_refused(spark):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxspark.functions.storage import stored
 from voxspark.functions.workers import ship
@@ -26,54 +28,83 @@ def offset_table(spark: SparkSession, rank: int = 3, short: int = 1, far: int =
     return spark.createDataFrame(rows, "channel int, " + ", ".join(f"d{a} int" for a in AXES[:rank]))
 
 
-def _neighbour(value: str, axis: str, step: int) -> tuple[Column, Column]:
-    """(value, coordinate) of the voxel ``step`` along an axis of a dense grid."""
-    line = Window.partitionBy(*GRID, *[a for a in AXES if a != axis]).orderBy(axis)
-    return F.lead(value, step).over(line), F.lead(axis, step).over(line)
+def neighbours(voxels: DataFrame, offsets: list[tuple[int, ...]], values: tuple[str, ...], keep: tuple[str, ...] = (), side: int = 64) -> DataFrame:
+    """Add ``near_<value>`` for each of ``values``: an array of that column at every offset, null where no voxel is.
 
-
-def affinities(voxels: DataFrame, offsets: list[tuple[int, tuple[int, ...]]], label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
+    One shuffle whatever the offsets: a voxel goes to its own block of ``side``
+    voxels an axis and, without the columns named in ``keep``, to those other
+    blocks from which an offset reaches it.  Grids may have gaps; of voxels
+    repeated at one place any one is the neighbour.  Coordinates are not null.
+    """
+    if any(len(offset) != len(AXES) for offset in offsets):
+        raise ValueError(f"offsets need the rank of the grid, {len(AXES)}")
+    ship(voxels.sparkSession)
+    keys, steps = [*GRID, *AXES], [np.array(offset, dtype=np.int64) for offset in offsets]
+    fields = [voxels.schema[c] for c in [*keys, *keep, *values]]
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(f"near_{v}", T.ArrayType(voxels.schema[v].dataType)) for v in values])
+
+    def block(offset: tuple[int, ...]) -> Column:
+        return F.struct(*[F.floor((F.col(a) - d) / side).alias(a) for a, d in zip(AXES, offset, strict=True)])
+
+    own = block((0,) * len(AXES))
+    homes = voxels.select(*keys, *keep, *values, F.explode(F.array_distinct(F.array(own, *[block(o) for o in offsets]))).alias("__home")).withColumn("__own", F.col("__home") == own)
+    homes = homes.withColumns({c: F.when(F.col("__own"), F.col(c)) for c in keep})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        place = np.stack([table[a].to_numpy() for a in AXES], axis=1).astype(np.int64)
+        low, high = place.min(axis=0), place.max(axis=0)
+        shape = high - low + 1
+
+        def flat(at: np.ndarray) -> np.ndarray:
+            return ((at[:, 0] - low[0]) * shape[1] + at[:, 1] - low[1]) * shape[2] + at[:, 2] - low[2]
+
+        code = flat(place)
+        order = np.argsort(code)
+        code, mine = code[order], table["__own"].to_numpy()
+        ends = np.empty((int(mine.sum()), len(steps)), dtype=np.int64)
+        for k, step in enumerate(steps):
+            end = place[mine] + step
+            wanted = flat(end)
+            found = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+            hit = ((end >= low) & (end <= high)).all(axis=1) & (code[found] == wanted)
+            ends[:, k] = np.where(hit, order[found], -1)
+        picks = pa.array(ends.ravel(), mask=ends.ravel() < 0)
+        bounds = pa.array(np.arange(len(ends) + 1, dtype=np.int32) * len(steps))
+        columns = table.select([f.name for f in fields]).filter(table["__own"])
+        for v in values:
+            near = table[v].take(picks).combine_chunks()
+            columns = columns.append_column(f"near_{v}", pa.ListArray.from_arrays(bounds, near))
+        return columns
+
+    return homes.groupBy(*GRID, "__home").applyInArrow(run, out)
+
+
+def affinities(voxels: DataFrame, offsets: list[tuple[int, tuple[int, ...]]], label: str = "label", keep: tuple[str, ...] = (), side: int = 64) -> DataFrame:
     """Long rows (vol, level, x, y, z, channel, affinity, mask) of every voxel and offset.
 
     An affinity holds where both ends have one positive id; the mask holds where
-    both ends are inside and known (not -1).  Offsets along one axis read a
-    window over each line of the grid, which must be dense along it; the sort of
-    a line serves all offsets of its axis.  Other offsets are an equi-join.
-    Columns of the voxels named in ``keep`` are repeated in each of its rows.
+    both ends are inside and known (not -1).  Columns of the voxels named in
+    ``keep`` are repeated in each of its rows.  ``side``: see :func:`neighbours`.
     """
-    if any(len(offset) != len(AXES) for _, offset in offsets):
-        raise ValueError(f"offsets need the rank of the grid, {len(AXES)}")
     keys = [*GRID, *AXES]
-    straight = [o for o in offsets if sum(d != 0 for d in o[1]) == 1]
-    slanted = [o for o in offsets if o not in straight]
-    own = [*keys, *keep, "own"]
-    rows = voxels.select(*keys, *keep, F.col(label).alias("own"))
-    for channel, offset in straight:
-        axis = next(a for a, d in zip(AXES, offset, strict=True) if d)
-        step = next(d for d in offset if d)
-        other, at = _neighbour("own", axis, step)
-        near = at == F.col(axis) + step
-        rows = rows.withColumn(f"__o{channel}", F.when(near, other))
-    found = rows.select(*own, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"__o{c}").alias("other")) for c, _ in straight])).alias("e")).select(*own, "e.*") if straight else None
-    for channel, offset in slanted:
-        moved = voxels.select(*GRID, *[(F.col(a) - d).alias(a) for a, d in zip(AXES, offset, strict=True)], F.col(label).alias("other"))
-        part = voxels.select(*keys, *keep, F.col(label).alias("own")).join(moved, keys, "left").select(*own, F.lit(channel).alias("channel"), "other")
-        found = part if found is None else found.unionByName(part)
+    near = neighbours(voxels.select(*keys, *keep, F.col(label).alias("own")), [o for _, o in offsets], ("own",), keep, side)
+    ends = F.array(*[F.struct(F.lit(channel).alias("channel"), F.col("near_own")[k].alias("other")) for k, (channel, _) in enumerate(offsets)])
+    found = near.select(*keys, *keep, "own", F.explode(ends).alias("e")).select(*keys, *keep, "own", "e.*")
     known = F.col("other").isNotNull() & (F.col("own") >= 0) & (F.col("other") >= 0)
     same = F.coalesce((F.col("own") == F.col("other")) & (F.col("own") > 0), F.lit(False))
     return found.select(*keys, *keep, "channel", same.alias("affinity"), F.coalesce(known, F.lit(False)).alias("mask"))
 
 
-def adjacency(voxels: DataFrame, label: str = "label", rank: int = 3) -> DataFrame:
+def _steps(rank: int) -> list[tuple[int, ...]]:
+    """One step along each of the first ``rank`` axes."""
+    return [tuple(int(a == axis) for a in range(len(AXES))) for axis in range(rank)]
+
+
+def adjacency(voxels: DataFrame, label: str = "label", rank: int = 3, side: int = 64) -> DataFrame:
     """Edges (u, v) between face neighbours with one positive id, by flat index ``id``."""
-    edges = None
-    for axis in AXES[:rank]:
-        other, at = _neighbour("own", axis, 1)
-        line = Window.partitionBy(*GRID, *[a for a in AXES if a != axis]).orderBy(axis)
-        rows = voxels.select(*GRID, *AXES, "id", F.col(label).alias("own")).select("id", "own", F.col(axis).alias("here"), other.alias("other"), at.alias("at"), F.lead("id").over(line).alias("next"))
-        part = rows.where("at = here + 1 and own = other and own > 0").select(F.col("id").alias("u"), F.col("next").alias("v"))
-        edges = part if edges is None else edges.union(part)
-    return edges
+    near = neighbours(voxels.select(*GRID, *AXES, "id", F.col(label).alias("own")), _steps(rank), ("id", "own"), (), side)
+    return near.where("own > 0").select("id", "own", F.explode(F.arrays_zip("near_id", "near_own")).alias("e")).where("e.near_own = own").select(F.col("id").alias("u"), F.col("e.near_id").alias("v"))
 
 
 def split_components(voxels: DataFrame, label: str = "label", rank: int = 3) -> DataFrame:
@@ -150,12 +181,10 @@ def segment(voxels: DataFrame, logits: DataFrame, threshold: float, min_size: in
 
     ``logits``: vol, level, x, y, z, channel (0 to 2: one step along each axis), logit.
     """
-    edges = None
-    for channel, axis in enumerate(AXES):
-        line = Window.partitionBy(*GRID, *[a for a in AXES if a != axis]).orderBy(axis)
-        rows = voxels.select(*GRID, *AXES, "id", F.lead("id").over(line).alias("next"), F.lead(axis).over(line).alias("at")).where(F.col("at") == F.col(axis) + 1)
-        part = rows.join(logits.where((F.col("channel") == channel) & (F.col("logit") > threshold)).select(*GRID, *AXES), [*GRID, *AXES]).select(F.col("id").alias("u"), F.col("next").alias("v"))
-        edges = part if edges is None else edges.union(part)
+    keys = [*GRID, *AXES, "channel"]
+    near = neighbours(voxels.select(*GRID, *AXES, "id"), _steps(len(AXES)), ("id",)).select(*GRID, *AXES, "id", F.posexplode("near_id").alias("channel", "next")).where("next IS NOT NULL")
+    kept = logits.where((F.col("channel") < len(AXES)) & (F.col("logit") > threshold)).select(*keys)
+    edges = near.join(kept, keys).select(F.col("id").alias("u"), F.col("next").alias("v"))
     roots = connected_components(edges)
     out = voxels.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("segment", F.coalesce("root", "id")).drop("root")
     sizes = out.groupBy("segment").agg(F.count("*").alias("size"))
@@ -234,15 +263,12 @@ def overlap(voxels: DataFrame, by: list[str], pred: str = "pred", truth: str = "
 
 
 def boundary(voxels: DataFrame, label: str = "label") -> DataFrame:
-    """Add ``boundary``: whether a face neighbour has another id, both being known.  Lines must be dense."""
-    out, edge = voxels, F.lit(False)
-    for axis in AXES:
-        beside = F.lit(False)
-        for step in (1, -1):
-            other, at = _neighbour(label, axis, step)
-            beside = beside | F.coalesce((at == F.col(axis) + step) & (other >= 0) & (other != F.col(label)), F.lit(False))
-        out, edge = out.withColumn(f"__edge_{axis}", beside), edge | F.col(f"__edge_{axis}")
-    return out.withColumn("boundary", (F.col(label) >= 0) & edge).drop(*[f"__edge_{a}" for a in AXES])
+    """Add ``boundary``: whether a face neighbour has another id, both being known."""
+    sides = [tuple(sign * d for d in step) for step in _steps(len(AXES)) for sign in (1, -1)]
+    keep = tuple(c for c in voxels.columns if c not in (*GRID, *AXES, label))
+    near = neighbours(voxels, sides, (label,), keep).withColumnRenamed(f"near_{label}", "__near")
+    other = F.exists("__near", lambda n: F.coalesce((n >= 0) & (n != F.col(label)), F.lit(False)))
+    return near.select(*voxels.columns, ((F.col(label) >= 0) & other).alias("boundary"))
 
 
 def boundary_enrichment(voxels: DataFrame, by: list[str], pred: str = "pred", truth: str = "label") -> DataFrame:

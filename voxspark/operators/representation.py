@@ -15,22 +15,30 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
-def sinkhorn(rows: DataFrame, by: list[str], key: str, logits: str, prototypes: int, temperature: float, rounds: int = 3, samples: Column | None = None) -> DataFrame:
+def sinkhorn(rows: DataFrame, by: list[str], key: str, logits: str, prototypes: int, temperature: float, rounds: int = 3) -> DataFrame:
     """Balanced assignments: prototypes get equal shares, then every sample sums to one.
 
-    A sample is one array; only the sums of each prototype are shuffled, as one
-    aggregate of ``prototypes`` columns a round.  ``samples`` overrides the
-    number of samples (masked patches).  Extreme logits overflow, as documented
-    for the plain method: there is no clamp.
+    A sample is one array.  An assignment is a fixed kernel times a scale of its
+    prototype and one of its sample, so a round is one pass over the rows that
+    shuffles the sums of each prototype only; the scales of the samples follow
+    from those of the prototypes.  The number of samples (all, or masked
+    patches) scales every assignment alike and cancels out.  ``rounds`` is one
+    at least.  Extreme logits overflow, as documented for the plain method:
+    there is no clamp.
     """
-    q = rows.select(*by, key, F.transform(logits, lambda v: F.exp(v / temperature)).alias("q"))
-    size = q.groupBy(*by).agg(F.sum(total(F.col("q"))).alias("__all"), (samples if samples is not None else F.count("*")).cast("double").alias("__b"))
-    q = q.join(size, by).withColumn("q", F.transform("q", lambda v: v / F.col("__all"))).drop("__all")
-    for _ in range(rounds):
-        sums = q.groupBy(*by).agg(F.array(*[F.sum(F.col("q")[k]) for k in range(prototypes)]).alias("__s"))
-        q = q.join(sums, by).withColumn("q", F.zip_with("q", "__s", lambda v, s: v / s / prototypes)).drop("__s")
-        q = q.withColumn("__r", total(F.col("q"))).withColumn("q", F.transform("q", lambda v: v / F.col("__r") / F.col("__b"))).drop("__r")
-    return q.select(*by, key, F.transform("q", lambda v: v * F.col("__b")).alias("q"))
+    kernel = rows.select(*by, key, F.transform(logits, lambda v: F.exp(v / temperature)).alias("k"))
+
+    def prototype_scales(placed: DataFrame) -> DataFrame:
+        sums = placed.groupBy(*by).agg(F.array(*[F.sum(F.col("k")[j] / F.col("all")) for j in range(prototypes)]).alias("s"))
+        return sums.select(*by, F.transform("s", lambda s: 1 / s).alias("u"))
+
+    def place(scales: DataFrame) -> DataFrame:
+        return kernel.join(scales, by).withColumn("q", F.zip_with("k", "u", lambda k, u: k * u)).withColumn("all", total(F.col("q")))
+
+    scales = prototype_scales(kernel.withColumn("all", F.lit(1.0)))
+    for _ in range(rounds - 1):
+        scales = prototype_scales(place(scales))
+    return place(scales).select(*by, key, F.transform("q", lambda v: v / F.col("all")).alias("q"))
 
 
 def log_softmax(values: Column, temperature: float) -> Column:

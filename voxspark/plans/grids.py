@@ -39,8 +39,8 @@ def affinity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def affinity_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-02 with slanted and negative offsets, as an equi-join."""
-    out = labels.affinities(views.vox(spark, sf_dir), [(0, (1, 1, 0)), (1, (-1, 0, 2)), (2, (-1, 0, 0))])
+    """L-02 with slanted and negative offsets, in blocks smaller than a volume."""
+    out = labels.affinities(views.vox(spark, sf_dir), [(0, (1, 1, 0)), (1, (-1, 0, 2)), (2, (-1, 0, 0))], side=5)
     return out.groupBy("vol", "channel").agg(F.count(F.when(F.col("affinity"), 1)).alias("n_same"), F.count(F.when(F.col("mask"), 1)).alias("n_known"))
 
 
