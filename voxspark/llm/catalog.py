@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.llm import op02_html, op04_join, op06_decontaminate, op08_warc, op10_chat
+from voxspark.llm import op02_html, op04_join, op06_decontaminate, op08_warc, op10_chat, op13_quality
 from voxspark.llm.op01_pii import op1_pii
 from voxspark.llm.op02_html import op2_html
 from voxspark.llm.op03_sharding import op3_sharding
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_language": op9_language,
         "op10_chat": op10_chat.op10_chat,
+        "op13_quality": op13_quality.op13_quality,
     }
 
 
@@ -40,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": op06_decontaminate.ORACLE_SQL,
         "op8_warc": op08_warc.ORACLE_SQL,
         "op10_chat": op10_chat.ORACLE_SQL,
+        "op13_quality": op13_quality.ORACLE_SQL,
     }
