@@ -14,6 +14,7 @@ from voxspark.llm.op05_bpe import op5_bpe
 from voxspark.llm.op07_audio import op7_audio
 from voxspark.llm.op08_warc import op8_warc
 from voxspark.llm.op09_language import op9_language
+from voxspark.llm.op11_manifest import op11_manifest
 from voxspark.llm.op12_alignment import op12_alignment
 
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_language": op9_language,
         "op10_chat": op10_chat.op10_chat,
+        "op11_manifest": op11_manifest,
         "op12_alignment": op12_alignment,
         "op13_quality": op13_quality.op13_quality,
     }
