@@ -8,29 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxspark.functions.draws import uniform
-from voxspark.functions.storage import stored
+from voxspark.operators.scans import Fold, running
 
 AXES = ("x", "y", "z")
 
 
 def running_sum(df: DataFrame, order: list[str], value: Column, name: str, by: list[str] | None = None) -> DataFrame:
-    """Add the sum of ``value`` over the rows up to each in an order (of each group), without one task for all of them.
-
-    Rows are dealt out by range and kept; each part is summed by itself and
-    shifted by the sums of the parts before it.
-    """
-    by = by or []
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    dealt = stored(df.withColumn("__value", value).repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()), "dealt")
-    sizes = dealt.groupBy(*by, "__part").agg(F.sum("__value").alias("n"))
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    starts = sizes.select(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col("__part").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    same = F.col("__part") == F.col("__at")
-    for i, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"__by{i}"))
-    within = F.sum("__value").over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = dealt.withColumn("__within", within).join(starts, same).withColumn(name, F.col("__start") + F.col("__within"))
-    return out.drop("__value", "__part", "__at", "__start", "__within", *[f"__by{i}" for i in range(len(by))])
+    """Add the sum of ``value`` over the rows up to each in an order (of each group), without one task for all of them."""
+    return running(df, by or [], order, {name: Fold("sum", value)})
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row", by: list[str] | None = None) -> DataFrame:

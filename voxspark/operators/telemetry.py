@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxspark.operators.scans import Fold, running
+
 
 def reduce_ranks(log: DataFrame, by: list[str], worst: list[str]) -> DataFrame:
     """Mean over ranks of each metric; the maximum for those where the worst rank counts."""
@@ -17,8 +19,8 @@ def throughput(points: DataFrame, samples: float, tflop: float, peak: Column) ->
     ``points``: run, step, t (seconds).  The first point opens no window; the
     model FLOP utilisation is null where the peak is not known.
     """
-    w = Window.partitionBy("run").orderBy("step")
-    rows = points.withColumn("steps", F.col("step") - F.lag("step").over(w)).withColumn("seconds", F.col("t") - F.lag("t").over(w)).where("steps is not null and seconds > 0")
+    rows = running(points, ["run"], ["step"], {"__last": Fold("last", F.struct("step", "t"), before=True)})
+    rows = rows.withColumn("steps", F.col("step") - F.col("__last.step")).withColumn("seconds", F.col("t") - F.col("__last.t")).where("steps is not null and seconds > 0")
     rate = F.col("steps") / F.col("seconds")
     return rows.select("run", "step", (rate * samples).alias("samples_per_s"), (rate * tflop).alias("tflops"), (rate * tflop / peak).alias("mfu"))
 
@@ -31,9 +33,7 @@ def input_wait(log: DataFrame, mark: str, wait: str, rebase: str | None) -> Data
     metric, value (seconds), t (seconds).
     """
     cuts = F.col("metric").isin([m for m in (mark, rebase) if m])
-    order = Window.partitionBy("run").orderBy("step")
-    rows = log.withColumn("window", F.coalesce(F.sum(cuts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("opened", F.last(F.when(cuts, F.col("t")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = running(log, ["run"], ["step"], {"window": Fold("sum", cuts.cast("int"), before=True), "opened": Fold("last", F.when(cuts, F.col("t")), before=True)})
     ends = rows.groupBy("run", "window").agg(F.sum(F.when(F.col("metric") == wait, F.col("value")).otherwise(0.0)).alias("waited"), F.max(F.when(F.col("metric") == mark, F.col("t"))).alias("closed"), F.min("opened").alias("opened"))
     return ends.where("closed is not null and opened is not null").select("run", "window", "waited", (F.col("closed") - F.col("opened")).alias("wall"), (F.col("waited") / F.greatest(F.col("closed") - F.col("opened"), F.lit(1e-9))).alias("fraction"))
 
@@ -44,12 +44,13 @@ def spans(events: DataFrame) -> DataFrame:
 
 
 def busy_time(events: DataFrame, by: list[str]) -> DataFrame:
-    """Union length of intervals and idle time inside their window (gaps and islands)."""
-    order = Window.partitionBy(*by).orderBy("ts", "end")
-    rows = events.withColumn("end", F.col("ts") + F.col("dur")).withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("ts") > F.col("reach")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy(*by, "island").agg(F.min("ts").alias("a"), F.max("end").alias("b"))
-    out = islands.groupBy(*by).agg(F.sum(F.col("b") - F.col("a")).alias("busy"), (F.max("b") - F.min("a")).alias("window"))
+    """Union length of intervals and idle time inside their window.
+
+    An interval adds what it has beyond the furthest end of those before it.
+    """
+    rows = running(events.withColumn("__end", F.col("ts") + F.col("dur")), by, ["ts", "__end", *by], {"__reach": Fold("max", F.col("__end"), before=True)})
+    own = F.greatest(F.col("__end") - F.greatest("ts", "__reach"), F.lit(0))
+    out = rows.groupBy(*by).agg(F.sum(own).alias("busy"), (F.max("__end") - F.min("ts")).alias("window"))
     return out.withColumn("idle", F.col("window") - F.col("busy"))
 
 
@@ -142,8 +143,8 @@ def in_force(steps: DataFrame, changes: DataFrame, by: str, at: str, value: str)
     """As-of join: for every step row the latest change at or before it."""
     rows = steps.select(by, at, F.lit(1).alias("__kind"), F.lit(None).cast(changes.schema[value].dataType).alias("__new"), F.struct(*[c for c in steps.columns if c not in (by, at)]).alias("__row"))
     marks = changes.select(by, at, F.lit(0).alias("__kind"), F.col(value).alias("__new"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy(by).orderBy(at, "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.unionByName(marks).withColumn(value, F.last("__new", ignorenulls=True).over(w)).where("__kind = 1").select(by, at, "__row.*", value)
+    both = running(rows.unionByName(marks), [by], [at, "__kind"], {value: Fold("last", F.col("__new"))})
+    return both.where("__kind = 1").select(by, at, "__row.*", value)
 
 
 def name_clashes(files: DataFrame, run: str, path: str) -> DataFrame:
