@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxspark.functions.workers import ship
 from voxspark.operators.scans import Fold, running
 
 
@@ -89,29 +94,61 @@ def category_rollup(events: DataFrame) -> DataFrame:
     return events.rollup("cat", "name").agg(F.sum("dur").alias("total"), F.count("*").alias("calls"), F.grouping_id().alias("depth"))
 
 
-def flatten(documents: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, path, value) of the leaves of nested JSON objects; objects are opened level by level."""
-    rows = documents.select(key, F.lit("").alias("path"), F.col(column).alias("value"))
-    leaves = None
-    for _ in range(8):
-        opened = rows.select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("name", "value"))
-        opened = opened.select(key, F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name")).alias("path"), "value")
-        nested = F.coalesce(F.col("value").rlike(r"^\s*\{"), F.lit(False))
-        part = opened.where(~nested)
-        leaves = part if leaves is None else leaves.unionByName(part)
-        rows = opened.where(nested)
-        if rows.isEmpty():
-            return leaves
-    raise ValueError("objects are nested too deep")
+def _leaves(text: str, empty: bool) -> list[tuple[str, str | None, str]]:
+    """(path, value, kind) of the leaves of one JSON text, without recursion."""
+    try:
+        top = json.loads(text)
+    except ValueError:
+        return [("", text, "invalid")]
+    out, todo = [], [("", top)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict) and (value or path == ""):
+            todo += [(f"{path}.{name}" if path else name, inner) for name, inner in reversed(value.items())]
+        elif not isinstance(value, dict):
+            kind = KINDS[type(value)]
+            out.append((path, value if kind == "string" else None if kind == "null" else json.dumps(value, separators=(",", ":"), ensure_ascii=False), kind))
+        elif empty:
+            out.append((path, "{}", "object"))
+    return list({leaf[0]: leaf for leaf in out}.values())  # a path that comes twice has its last value
+
+
+KINDS = {dict: "object", list: "array", str: "string", int: "number", float: "number", bool: "boolean", type(None): "null"}
+
+
+def flatten(documents: DataFrame, column: str, key: str, empty: bool = True) -> DataFrame:
+    """(key, path, value, kind) of the leaves of nested JSON objects of any depth, in one pass.
+
+    Values are told apart by their kind: ``string`` (whatever it looks like),
+    ``number``, ``boolean``, ``null``, ``array`` (as JSON) or, with ``empty``, an
+    ``object`` without members (``{}``).  A text that is no JSON is one leaf of the
+    kind ``invalid``, one that is no object one leaf, both with an empty path; a null
+    text has no leaves.
+    """
+    ship(documents.sparkSession)
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                found = [(i, *leaf) for i, text in enumerate(part.column("text").to_pylist()) if text is not None for leaf in _leaves(text, empty)]
+                rows, *columns = zip(*found, strict=True) if found else [()] * 4
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows, pa.int64())), *[pa.array(c, pa.string()) for c in columns]], names=[key, "path", "value", "kind"])
+
+    return documents.select(F.col(key).alias("key"), F.col(column).alias("text")).mapInArrow(run, f"`{key}` {kind}, path string, value string, kind string")
 
 
 def config_diff(old: DataFrame, new: DataFrame, key: str, frozen: tuple[str, ...] = ("model.", "algorithm.name", "lora.")) -> DataFrame:
-    """Paths whose values differ between two flattened configurations; absent equals null."""
-    both = old.select(key, "path", F.col("value").alias("old")).join(new.select(key, "path", F.col("value").alias("new")), [key, "path"], "full")
+    """Paths whose values differ between two flattened configurations; absent equals null, 1 equals 1.0 and no string."""
+    both = old.select(key, "path", F.col("value").alias("old"), F.col("kind").alias("__a")).join(new.select(key, "path", F.col("value").alias("new"), F.col("kind").alias("__b")), [key, "path"], "full")
+    number = (F.col("__a") == "number") & (F.col("__b") == "number")
+    absent = F.coalesce("__a", F.lit("null")) == F.coalesce("__b", F.lit("null"))
+    same = F.when(number, F.col("old").cast("double") == F.col("new").cast("double")).otherwise(absent & F.col("old").eqNullSafe(F.col("new")))
     clash = F.lit(False)
     for prefix in frozen:
         clash = clash | F.col("path").startswith(prefix)
-    return both.where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("incompatible", clash)
+    return both.where(~same).drop("__a", "__b").withColumn("incompatible", clash)
 
 
 def layered(defaults: DataFrame, *layers: DataFrame, key: str) -> DataFrame:

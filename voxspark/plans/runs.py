@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxspark.operators import artifacts, telemetry
 from voxspark.sources import views
 
+DEPTH = 12  # of the deepest objects in the configurations
 DEVICE = ["kernel", "gpu_memcpy"]
 
 
@@ -71,7 +72,12 @@ def categories(spark, sf_dir):
 
 def _configs(spark, sf_dir):
     c = views.table(spark, sf_dir, "customer")
-    text = F.format_string('{"model":{"depth":"%d","heads":"%d"},"lora":{"rank":"%d"},"train":{"opt":{"lr":"%d"}}%s}', F.col("c_nationkey") % 4, F.col("c_nationkey") % 3, F.col("c_custkey") % 2, F.col("c_custkey") % 5, F.when(F.col("c_custkey") % 3 == 0, ',"note":"x"').otherwise(""))
+    deep = '{"a":' * DEPTH + '{"end":%d}' + "}" * DEPTH
+    text = F.format_string(
+        '{"model":{"depth":%d,"heads":"%d"},"lora":{"rank":%d.0,"targets":[1,{"x":%d}]},"train":{"opt":{"lr":%d,"warm":true},"init":{},"mask":"{not json %d","like":"{\\"a\\":1}","seed":null},"deep":' + deep + "%s}",
+        *[F.col(c) % n for c, n in (("c_nationkey", 4), ("c_nationkey", 3), ("c_custkey", 2), ("c_custkey", 6), ("c_custkey", 5), ("c_custkey", 7), ("c_custkey", 9))],
+        F.when(F.col("c_custkey") % 3 == 0, ',"note":"x"').otherwise(""),
+    )
     return c.select("c_custkey", text.alias("config"))
 
 
@@ -82,7 +88,7 @@ def flattened(spark, sf_dir):
 
 def diffs(spark, sf_dir):
     """T-08: each configuration against the one before."""
-    rows = telemetry.flatten(_configs(spark, sf_dir), "config", "c_custkey")
+    rows = telemetry.flatten(_configs(spark, sf_dir), "config", "c_custkey", empty=False)
     return telemetry.config_diff(rows, rows.withColumn("c_custkey", F.col("c_custkey") + 1), "c_custkey")
 
 
@@ -188,8 +194,10 @@ def schedules(spark, sf_dir):
 
 
 STEP_SQL = "st AS (SELECT pid, greatest(count(*) FILTER (name LIKE 'purchase%' AND cat = 'user_annotation'), 1) AS steps, coalesce(avg(dur) FILTER (name LIKE 'purchase%' AND cat = 'user_annotation'), max(ts + dur) FILTER (cat IN ('kernel', 'gpu_memcpy')) - min(ts) FILTER (cat IN ('kernel', 'gpu_memcpy'))) AS step_us FROM trace GROUP BY pid)"
-LEAVES = """leaves AS (SELECT c_custkey, 'model.depth' AS path, (c_nationkey % 4)::VARCHAR AS value FROM customer UNION ALL SELECT c_custkey, 'model.heads', (c_nationkey % 3)::VARCHAR FROM customer UNION ALL SELECT c_custkey, 'lora.rank', (c_custkey % 2)::VARCHAR FROM customer
- UNION ALL SELECT c_custkey, 'train.opt.lr', (c_custkey % 5)::VARCHAR FROM customer UNION ALL SELECT c_custkey, 'note', 'x' FROM customer WHERE c_custkey % 3 = 0)"""
+LEAVES = f"""leaves AS (SELECT c_custkey, unnest(paths) AS path, unnest(vals) AS value, unnest(kinds) AS kind FROM (SELECT c_custkey,
+ ['model.depth', 'model.heads', 'lora.rank', 'lora.targets', 'train.opt.lr', 'train.opt.warm', 'train.mask', 'train.like', 'train.seed', 'deep.{"a." * DEPTH}end', 'train.init'] AS paths,
+ [(c_nationkey % 4)::VARCHAR, (c_nationkey % 3)::VARCHAR, (c_custkey % 2) || '.0', '[1,{{"x":' || (c_custkey % 6) || '}}]', (c_custkey % 5)::VARCHAR, 'true', '{{not json ' || (c_custkey % 7), '{{"a":1}}', NULL, (c_custkey % 9)::VARCHAR, '{{}}'] AS vals,
+ ['number', 'string', 'number', 'array', 'number', 'boolean', 'string', 'string', 'null', 'number', 'object'] AS kinds FROM customer) UNION ALL SELECT c_custkey, 'note', 'x', 'string' FROM customer WHERE c_custkey % 3 = 0)"""
 RUNS = "runs AS (SELECT o_orderkey, 'exp' || CASE WHEN o_custkey % 3 = 0 THEN '_other' ELSE '' END || '_' || (o_custkey % 11) AS exp, strftime(o_orderdate, '%Y%m%d') || '_' || lpad((o_orderkey % 240000)::VARCHAR, 6, '0') AS stamp FROM orders)"
 
 QUERIES = {
@@ -231,10 +239,10 @@ SELECT run, win::BIGINT AS "window", round(waited, 6) AS waited, round(closed -
         views.sql("trace", f"WITH {STEP_SQL}, s AS (SELECT pid, coalesce(sum(dur) FILTER (cat = 'cuda_runtime' AND contains(name, 'err')), 0) AS stall, count(*) FILTER (cat = 'cuda_runtime' AND contains(name, 'err')) AS calls FROM trace GROUP BY pid) SELECT pid, round(stall / steps, 3) AS stall_per_step, round(calls / steps, 6) AS calls_per_step FROM s JOIN st USING (pid)"),
     ),
     "t07_category_rollup": (categories, views.sql("trace", "SELECT cat, name, sum(dur)::BIGINT AS total, count(*) AS calls, grouping(cat, name) AS depth FROM trace GROUP BY ROLLUP (cat, name)")),
-    "t08_flatten": (flattened, f"WITH {LEAVES} SELECT c_custkey, path, value FROM leaves"),
+    "t08_flatten": (flattened, f"WITH {LEAVES} SELECT c_custkey, path, value, kind FROM leaves"),
     "t08_config_diff": (
         diffs,
-        f"WITH {LEAVES} SELECT coalesce(a.c_custkey, b.c_custkey + 1) AS c_custkey, coalesce(a.path, b.path) AS path, a.value AS old, b.value AS new, coalesce(a.path, b.path) LIKE 'model.%' OR coalesce(a.path, b.path) LIKE 'lora.%' OR coalesce(a.path, b.path) LIKE 'algorithm.name%' AS incompatible FROM leaves a FULL JOIN leaves b ON a.c_custkey = b.c_custkey + 1 AND a.path = b.path WHERE a.value IS DISTINCT FROM b.value",
+        f"WITH {LEAVES}, filled AS (SELECT * FROM leaves WHERE kind <> 'object') SELECT coalesce(a.c_custkey, b.c_custkey + 1) AS c_custkey, coalesce(a.path, b.path) AS path, a.value AS old, b.value AS new, coalesce(a.path, b.path) LIKE 'model.%' OR coalesce(a.path, b.path) LIKE 'lora.%' OR coalesce(a.path, b.path) LIKE 'algorithm.name%' AS incompatible FROM filled a FULL JOIN filled b ON a.c_custkey = b.c_custkey + 1 AND a.path = b.path WHERE a.value IS DISTINCT FROM b.value",
     ),
     "i11_layers": (
         layers,
