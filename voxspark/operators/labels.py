@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from voxspark.functions.storage import stored
 from voxspark.functions.workers import ship
+from voxspark.operators import merge_trees
 from voxspark.operators.graph import connected_components
 
 AXES = ("x", "y", "z")
@@ -107,16 +108,15 @@ def adjacency(voxels: DataFrame, label: str = "label", rank: int = 3, side: int
     return near.where("own > 0").select("id", "own", F.explode(F.arrays_zip("near_id", "near_own")).alias("e")).where("e.near_own = own").select(F.col("id").alias("u"), F.col("e.near_id").alias("v"))
 
 
-def split_components(voxels: DataFrame, label: str = "label", rank: int = 3) -> DataFrame:
+def split_components(voxels: DataFrame, label: str = "label", rank: int = 3, side: int = 64) -> DataFrame:
     """Add ``piece``: the smallest flat index of the voxel's connected piece of one id.
 
     Background and unknown voxels keep their own label as the piece (0 and -1
     cannot clash with a piece: those of a grid start at id 1 or hold ``base``).
     Levels and volumes never touch, as ``id`` is unique over all of them.
     """
-    roots = connected_components(adjacency(voxels, label, rank))
-    out = voxels.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    return out.withColumn("piece", F.when(F.col(label) > 0, F.coalesce("root", "id")).otherwise(F.col(label))).drop("root")
+    pieces = split_components_by_block(voxels.select(*GRID, *AXES, "id", label), side, label, rank)
+    return pieces if set(voxels.columns) == set(pieces.columns) - {"piece"} else voxels.join(pieces.select("id", "piece"), "id")
 
 
 def _local_roots(ids: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def split_components_by_block(voxels: DataFrame, side: int, label: str = "label"
     ship(voxels.sparkSession)
     axes = AXES[:rank]
     kept = ["vol", "level", *AXES, "id", label]
-    blocks = [F.expr(f"{a} div {side}").alias(f"b{a}") for a in axes]
+    blocks = [F.floor(F.col(a) / side).alias(f"b{a}") for a in axes]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         place = frame[list(axes)].to_numpy(dtype=np.int64)
@@ -167,28 +167,38 @@ def split_components_by_block(voxels: DataFrame, side: int, label: str = "label"
     edges = None
     for a in axes:
         others = [*GRID, *[o for o in AXES if o != a]]
-        left = local.where((F.col(a) % side == side - 1) & (F.col(label) > 0)).select(*others, (F.col(a) + 1).alias(a), F.col(label).alias("own"), F.col("root").alias("u"))
-        right = local.where((F.col(a) % side == 0) & (F.col(label) > 0)).select(*others, a, F.col(label).alias("own"), F.col("root").alias("v"))
+        left = local.where((F.pmod(a, F.lit(side)) == side - 1) & (F.col(label) > 0)).select(*others, (F.col(a) + 1).alias(a), F.col(label).alias("own"), F.col("root").alias("u"))
+        right = local.where((F.pmod(a, F.lit(side)) == 0) & (F.col(label) > 0)).select(*others, a, F.col(label).alias("own"), F.col("root").alias("v"))
         part = left.join(right, [*others, a, "own"]).select("u", "v").distinct()
         edges = part if edges is None else edges.union(part)
-    roots = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    out = local.join(roots, "root", "left").withColumn("piece", F.when(F.col(label) > 0, F.coalesce("top", "root")).otherwise(F.col(label)))
+    if edges.isEmpty():  # every volume is one block
+        out = local.withColumn("top", F.col("root"))
+    else:
+        out = local.join(connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    out = out.withColumn("piece", F.when(F.col(label) > 0, F.coalesce("top", "root")).otherwise(F.col(label)))
     return out.select(*kept, "piece")
 
 
-def segment(voxels: DataFrame, logits: DataFrame, threshold: float, min_size: int) -> DataFrame:
-    """Pieces of the graph of short edges whose logit is above the threshold; small pieces become 0.
+def segment(voxels: DataFrame, threshold: float, min_size: int, logits: str = "logits", side: int = 64) -> DataFrame:
+    """(id, segment): pieces of the graph of short edges whose logit is above the threshold; small pieces are 0.
 
-    ``logits``: vol, level, x, y, z, channel (0 to 2: one step along each axis), logit.
+    ``logits``: an array with the logit of the step along each axis first.
     """
-    keys = [*GRID, *AXES, "channel"]
-    near = neighbours(voxels.select(*GRID, *AXES, "id"), _steps(len(AXES)), ("id",)).select(*GRID, *AXES, "id", F.posexplode("near_id").alias("channel", "next")).where("next IS NOT NULL")
-    kept = logits.where((F.col("channel") < len(AXES)) & (F.col("logit") > threshold)).select(*keys)
-    edges = near.join(kept, keys).select(F.col("id").alias("u"), F.col("next").alias("v"))
-    roots = connected_components(edges)
-    out = voxels.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("segment", F.coalesce("root", "id")).drop("root")
-    sizes = out.groupBy("segment").agg(F.count("*").alias("size"))
-    return out.join(sizes, "segment").withColumn("segment", F.when(F.col("size") >= min_size, F.col("segment") + 1).otherwise(0)).drop("size")
+    pieces = merge_trees.cut(merge_trees.build(voxels, logits, side), [threshold])
+    sizes = pieces.groupBy("name").agg(F.count("*").alias("size"))
+    return pieces.join(sizes, "name").select("id", F.when(F.col("size") >= min_size, F.col("name") + 1).otherwise(0).alias("segment"))
+
+
+def threshold_sweep(trees: merge_trees.MergeTrees, thresholds: list[float], min_size: int, truth: str) -> DataFrame:
+    """Coverage, merges, splits and score of pairs (F1) at every threshold, from one build of the merge trees."""
+    table = merge_trees.contingency(trees, thresholds, truth)
+    sizes = table.groupBy("k", "name").agg(F.sum("n").alias("size"))
+    cut = table.join(sizes, ["k", "name"]).select("k", F.when(F.col("size") >= min_size, F.col("name") + 1).otherwise(0).alias("p"), F.col("truth").alias("t"), "n")
+    found = overlap_of_counts(cut.groupBy("k", "p", "t").agg(F.sum("n").alias("n")), ["k"])
+    both = F.col("pair_precision") + F.col("pair_recall")
+    score = F.round(F.when(both > 0, 2 * F.col("pair_precision") * F.col("pair_recall") / both).otherwise(0.0), 6)
+    value = F.get(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("k").cast("int"))
+    return found.select(value.alias("threshold"), F.col("frac_instance").alias("coverage"), "merges", "splits", score.alias("score"))
 
 
 def binary_cross_entropy(logit: Column, target: Column) -> Column:
@@ -239,7 +249,11 @@ def overlap(voxels: DataFrame, by: list[str], pred: str = "pred", truth: str = "
     predicted ids a split.
     """
     both = F.col(pred).isNotNull() & F.col(truth).isNotNull()
-    table = voxels.where(both).groupBy(*by, F.col(pred).alias("p"), F.col(truth).alias("t")).agg(F.count("*").alias("n"))
+    return overlap_of_counts(voxels.where(both).groupBy(*by, F.col(pred).alias("p"), F.col(truth).alias("t")).agg(F.count("*").alias("n")), by)
+
+
+def overlap_of_counts(table: DataFrame, by: list[str]) -> DataFrame:
+    """:func:`overlap` of a contingency table (by, p, t, n)."""
     known = table.where("p > 0 and t > 0")
 
     def pairs(c: Column) -> Column:

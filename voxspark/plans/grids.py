@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxspark.functions.draws import uniform, uniform_sql
-from voxspark.operators import labels, metrics, tiles
+from voxspark.operators import labels, merge_trees, metrics, tiles
 from voxspark.sources import views
 
 OFFSETS = labels.offset_rows(3, 1, 3)
+THRESHOLDS = [2 + k / 16 for k in range(50)]  # of the sweep
 DRAW = uniform_sql(11, "logit", "id", "channel")
 NEAR = """offsets AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1), (3, 3, 0, 0), (4, 0, 3, 0), (5, 0, 0, 3)) AS o(channel, dx, dy, dz)
 ), aff AS (
@@ -18,8 +19,9 @@ NEAR = """offsets AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0
 )"""
 
 
-def _logits(voxels: DataFrame) -> DataFrame:
-    return voxels.select("vol", "level", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("channel"), "id").withColumn("logit", 10 * uniform(11, "logit", "id", "channel") - 5)
+def _with_logits(voxels: DataFrame) -> DataFrame:
+    """The logits of the three short steps as an array."""
+    return voxels.withColumn("logits", F.array(*[10 * uniform(11, "logit", F.col("id"), F.lit(k)) - 5 for k in range(3)]))
 
 
 def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-04, L-05: every id split into its connected pieces."""
-    return labels.split_components(views.vox(spark, sf_dir), "lab_noise").select("id", "vol", F.col("piece").cast("long").alias("piece"))
+    return labels.split_components(views.vox(spark, sf_dir).select("vol", "level", "x", "y", "z", "id", "lab_noise"), "lab_noise").select("id", "vol", F.col("piece").cast("long").alias("piece"))
 
 
 def components_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +71,12 @@ def components_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-05: the ids of a pyramid split into pieces at each level by itself."""
-    return labels.split_components_by_block(views.pyramid(spark, sf_dir), 3, "lab_noise").select("id", "vol", "level", F.col("piece").cast("long").alias("piece"))
+    return labels.split_components(views.pyramid(spark, sf_dir).select("vol", "level", "x", "y", "z", "id", "lab_noise"), "lab_noise").select("id", "vol", "level", F.col("piece").cast("long").alias("piece"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-07: pieces of the kept short edges; fewer than four voxels are dropped."""
-    voxels = views.vox(spark, sf_dir)
-    return labels.segment(voxels, _logits(voxels), 2.0, 4).select("id", F.col("segment").cast("long").alias("segment"))
+    return labels.segment(_with_logits(views.vox(spark, sf_dir)), 2.0, 4).select("id", F.col("segment").cast("long").alias("segment"))
 
 
 def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,19 +99,10 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-10: coverage, merges, splits and score of pairs (F1) at several logits, the first without a merge and the best."""
-    voxels = views.vox(spark, sf_dir)
-    logits = _logits(voxels)
-    rows = None
-    for threshold in (2.0, 3.0, 4.0):
-        cut = labels.segment(voxels, logits, threshold, 2).withColumn("all", F.lit(1))
-        # truth is the object of one volume: ids of different volumes are different objects
-        cut = cut.withColumn("truth", F.when(F.col("label") > 0, F.col("vol") * 10 + F.col("label")).otherwise(F.col("label")))
-        both = F.col("pair_precision") + F.col("pair_recall")
-        score = F.round(F.when(both > 0, 2 * F.col("pair_precision") * F.col("pair_recall") / both).otherwise(0.0), 6).alias("score")
-        one = labels.overlap(cut, ["all"], "segment", "truth").select(F.lit(threshold).alias("threshold"), F.col("frac_instance").alias("coverage"), "merges", "splits", score)
-        rows = one if rows is None else rows.union(one)
-    return labels.choose_threshold(rows)
+    """L-10: coverage, merges, splits and score of pairs (F1) at fifty logits from one build, the first without a merge and the best."""
+    # truth is the object of one volume: ids of different volumes are different objects
+    voxels = _with_logits(views.vox(spark, sf_dir)).withColumn("truth", F.when(F.col("label") > 0, F.col("vol") * 10 + F.col("label")).otherwise(F.col("label")))
+    return labels.choose_threshold(labels.threshold_sweep(merge_trees.build(voxels, keep=("truth",)), THRESHOLDS, 2, "truth"))
 
 
 def same_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,11 +211,15 @@ def _segment_sql(threshold: float, least: int, tag: str) -> str:
 
 
 def _sweep_sql() -> str:
-    parts, rows = [], []
-    for k, threshold in enumerate((2.0, 3.0, 4.0)):
-        parts.append(_segment_sql(threshold, 2, str(k)))
-        rows.append(f"SELECT {threshold}::DOUBLE AS threshold, segment, CASE WHEN label > 0 THEN vol * 10 + label ELSE label END AS truth FROM vox JOIN seg{k} USING (id)")
-    return f"""WITH {', '.join(parts)}, cuts AS ({' UNION ALL '.join(rows)}), {BOTH.format(by='threshold', p='segment', t='truth', rows='cuts')}, sweep0 AS (
+    draw = uniform_sql(11, "logit", "a.id", "channel")
+    return f"""WITH th AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold
+), half AS (
+  SELECT a.id AS u, b.id AS v, 10 * {draw} - 5 AS w FROM vox a CROSS JOIN (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)) AS o(channel, dx, dy, dz) JOIN vox b ON b.vol = a.vol AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz
+), e AS (SELECT threshold, u, v FROM half JOIN th ON w > threshold UNION ALL SELECT threshold, v, u FROM half JOIN th ON w > threshold
+), reach AS (SELECT threshold, id AS u, id AS v FROM vox, th UNION SELECT r.threshold, r.u, e.v FROM reach r JOIN e ON r.threshold = e.threshold AND r.v = e.u
+), roots AS (SELECT threshold, u, min(v) AS root FROM reach GROUP BY threshold, u
+), seg AS (SELECT threshold, u AS id, CASE WHEN count(*) OVER (PARTITION BY threshold, root) >= 2 THEN root + 1 ELSE 0 END AS segment FROM roots
+), cuts AS (SELECT threshold, segment, CASE WHEN label > 0 THEN vol * 10 + label ELSE label END AS truth FROM vox JOIN seg USING (id)), {BOTH.format(by='threshold', p='segment', t='truth', rows='cuts')}, sweep0 AS (
 SELECT threshold, round(inst / voxels, 6) AS coverage, coalesce(merges, 0) AS merges, coalesce(splits, 0) AS splits, round(coalesce(c / greatest(pred_pairs, 1), 0), 6) AS p, round(coalesce(c / greatest(true_pairs, 1), 0), 6) AS r
 FROM tot LEFT JOIN byp USING (threshold) LEFT JOIN byt USING (threshold) LEFT JOIN com USING (threshold)
 ), sweep AS (SELECT threshold, coverage, merges, splits, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 6) ELSE 0 END AS score FROM sweep0)
