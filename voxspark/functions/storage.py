@@ -55,6 +55,12 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`new_path` (a no-op if it is gone)."""
     jvm = spark.sparkContext._jvm

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxspark.functions.storage import new_path
+from voxspark.functions.storage import new_path, stored
 from voxspark.functions.workers import ship
 from voxspark.operators import artifacts, representation
 from voxspark.sources import readers, views
@@ -12,6 +12,8 @@ from voxspark.streaming import metrics as streams
 
 TRACE_EVENTS = 50_000  # most events in a trace file
 MANIFEST_KEYS = 20_000  # keys from which a block of manifests, one for each of 20 runs, is made
+BATCHES, LATE = 4, "2 hours"  # of the streams
+COPIES = ((29, 1), (31, 0))  # every so many rows come again, so many batches later
 HALF = "transform(vec, v -> v * 0.5D)"
 
 
@@ -158,11 +160,15 @@ def reports(spark, sf_dir):
 
 
 def scalars(spark, sf_dir):
-    """I-12, I-13, I-14: scalar sink, attempt log and mixture, written and read back."""
+    """I-12, I-13, I-14: scalars streamed to an idempotent sink, attempt log and mixture, written and read back."""
     path = new_path(spark, "scalars")
-    log = views.metric_log(spark, sf_dir).select("run", F.when(F.col("rank") == 0, "val").otherwise("train").alias("phase"), "metric", "step", "value")
-    readers.append_scalars(log.where("step % 2 = 0"), path)
-    readers.append_scalars(log.where("step % 2 = 1"), path)
+    log = views.metric_log(spark, sf_dir).select(F.col("run").cast("string").alias("name"), F.when(F.col("rank") == 0, "val").otherwise("train").alias("phase"), "metric", "step", "value")
+
+    def sink(batch, number):
+        streams.commit_batch(batch, number, path, "attempt0")
+        streams.commit_batch(batch, number, path, "attempt0")  # delivered again
+
+    streams.fed([log.where(f"step % 3 = {k}") for k in range(3)], lambda stream: stream, sink=sink)
     attempts = new_path(spark, "attempts")
     for commit in ("a1", "b2"):
         readers.append_attempt(spark, attempts, "run0", commit)
@@ -171,55 +177,80 @@ def scalars(spark, sf_dir):
     readers.write_mixture(volumes.select("vid", "name", "weight", "origin"), volumes.agg(F.count("*").alias("n")), mixture)
     n_attempts = spark.read.parquet(attempts).agg(F.count("*").alias("attempts"))
     n_volumes = spark.read.json(f"{mixture}/volumes").agg(F.sum("weight").alias("weights"))
-    out = spark.read.parquet(path).groupBy(F.col("run").cast("long").alias("run"), "phase").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    rows = streams.committed(spark, path, log.schema).groupBy(F.col("name").cast("long").alias("run"), "phase")
+    out = rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.join(F.broadcast(n_attempts)).join(F.broadcast(n_volumes))
 
 
-def _stream(spark, sf_dir):
-    """metric_log written once, as a stream of files."""
-    path = new_path(spark, "metrics")
-    log = views.metric_log(spark, sf_dir)
-    log.repartitionByRange(4, "step").write.parquet(path)
-    return streams.read_stream(spark, path, log.schema, 1_000_000)
+def _arrivals(spark, sf_dir):
+    """metric_log with the batch in which each row arrives: by event time, but some rows two batches late.
+
+    The rows of a batch's last tenth are on time, so no late row is near a watermark.
+    """
+    log = stored(views.metric_log(spark, sf_dir).withColumn("us", F.unix_micros("ts")), "metrics")
+    lo, hi = log.agg(F.min("us"), F.max("us")).first()
+    place = (F.col("us") - lo) * BATCHES / (hi - lo + 1)
+    late = (F.col("event_id") % 41 == 0) & (place - F.floor(place) < 0.9)
+    batch = F.least(F.floor(place) + F.when(late, 2).otherwise(0), F.lit(BATCHES - 1))
+    return log.withColumn("arrival", batch.cast("int"))
+
+
+def _batches(rows):
+    return [rows.where(F.col("arrival") == k).drop("arrival", "us") for k in range(BATCHES)]
+
+
+def _closed(rows):
+    """The batches and one row of a run -1 that is late enough to close every window."""
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
+    last = end.where("ts is not null").select(*[F.lit(-1).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in rows.schema.fields])
+    return [*_batches(rows), last.drop("arrival", "us")]
 
 
 def windows(spark, sf_dir):
-    """ST-01: tumbling hours of the metric stream."""
-    out = streams.windowed(_stream(spark, sf_dir), "ts", ["metric"], "1 hour")
-    return streams.drained(out, "complete").select("start", "metric", F.round("mean", 6).alias("mean"), "most", "n")
+    """ST-01: tumbling hours of the metric stream in four batches and four restarts; late rows are dropped."""
+    out = streams.fed(_closed(_arrivals(spark, sf_dir)), lambda s: streams.windowed(s, "ts", ["metric"], "1 hour"))
+    return out.select("start", "metric", F.round("mean", 6).alias("mean"), "most", "n")
 
 
 def sliding(spark, sf_dir):
     """ST-01: hours that slide by a quarter."""
-    out = streams.windowed(_stream(spark, sf_dir), "ts", ["run"], "1 hour", "15 minutes")
-    return streams.drained(out, "complete").select("start", "run", F.round("mean", 6).alias("mean"), "most", "n")
+    out = streams.fed(_closed(_arrivals(spark, sf_dir)), lambda s: streams.windowed(s, "ts", ["run"], "1 hour", "15 minutes"))
+    return out.select("start", "run", F.round("mean", 6).alias("mean"), "most", "n")
+
+
+def dropped(spark, sf_dir):
+    """ST-01: the rows that the watermark drops, kept by a sink of all arrivals."""
+    rows, path = _arrivals(spark, sf_dir), new_path(spark, "late")
+    batches = _batches(rows)
+    streams.fed(batches, lambda s: s, sink=lambda batch, number: streams.commit_batch(batch.withColumnRenamed("run", "of"), number, path, "all", "ts"))
+    out = streams.late_rows(spark, path, batches[0].withColumnRenamed("run", "of").schema, "ts", LATE)
+    return out.select("event_id", F.col("of").alias("run"), "step", F.col("batch").cast("long").alias("batch"))
 
 
 def meter(spark, sf_dir):
-    """ST-02: a stateful throughput meter for each run."""
-    ship(spark)
-    points = _stream(spark, sf_dir).where("step % 10 = 0").select("run", "step", (F.unix_micros("ts") / 1e6).alias("t"))
-    return streams.drained(streams.throughput(points)).select("run", "step", F.round("steps_per_s", 9).alias("steps_per_s"))
+    """ST-02: a stateful throughput meter for each run, over four batches and restarts."""
+    rows = _arrivals(spark, sf_dir).where("step % 10 = 0 and event_id % 41 <> 0").withColumn("t", F.col("us") / 1e6)
+    out = streams.fed(_closed(rows), lambda s: streams.throughput(s.select("run", "step", "t", "ts")))
+    return out.select("run", "step", F.round("steps_per_s", 9).alias("steps_per_s"))
 
 
 def attempts(spark, sf_dir):
-    """ST-03: runs cut into attempts where nothing came for half an hour."""
-    return streams.drained(streams.sessions(_stream(spark, sf_dir), "ts", ["run"], "30 minutes"), "complete")
+    """ST-03: runs cut into attempts where nothing came for half an hour; late rows are dropped."""
+    return streams.fed(_closed(_arrivals(spark, sf_dir)), lambda s: streams.sessions(s, "ts", ["run"], "30 minutes"))
 
 
 def deliveries(spark, sf_dir):
-    """ST-04: repeated deliveries dropped."""
-    stream = _stream(spark, sf_dir)
-    twice = stream.union(stream.where("event_id % 3 = 0"))
-    return streams.drained(streams.once(twice, "ts", ["event_id"], "3650 days").select("event_id", "run", "step"))
+    """ST-04: repeated deliveries dropped, those of a later batch too, and with them what comes after the watermark."""
+    rows = _arrivals(spark, sf_dir)
+    copies = [rows.where(f"event_id % {n} = 0").withColumn("arrival", F.col("arrival") + more) for n, more in COPIES]
+    out = streams.fed(_batches(rows.unionByName(copies[0]).unionByName(copies[1])), lambda s: streams.once(s, "ts", ["event_id"], "10 days"))
+    return out.select("event_id", "run", "step")
 
 
 def arriving(spark, sf_dir):
-    """ST-05: a confusion table that grows with arriving voxels."""
-    path = new_path(spark, "voxels")
-    voxels = views.vox(spark, sf_dir).select("id", "label", "pred")
-    voxels.repartition(4, "id").write.parquet(path)
-    return streams.drained(streams.confusion(streams.read_stream(spark, path, voxels.schema, 1), "label", "pred"), "complete")
+    """ST-05: a confusion table that grows with the volumes that arrive."""
+    voxels = views.vox(spark, sf_dir).select("vol", "id", "label", "pred")
+    return streams.fed([voxels.where(f"vol % {BATCHES} = {k}") for k in range(BATCHES)], lambda s: streams.confusion(s, "label", "pred"), "complete")
 
 
 def _sinkhorn_sql(where: str, by: str, key: str, temperature: float, pick: str) -> str:
@@ -229,6 +260,17 @@ def _sinkhorn_sql(where: str, by: str, key: str, temperature: float, pick: str)
     return f"WITH {', '.join(out)}, z AS (SELECT p.{by}, {key}, k, q * b AS q FROM p3 p JOIN n ON n.{by} = p.{by}) {pick}"
 
 
+def _on_time(late: str, copies: tuple = ()) -> str:
+    """CTE ok: the rows with their batch and the watermark that they meet there."""
+    again = "".join([f" UNION ALL SELECT * REPLACE (arrival + {more} AS arrival) FROM a0 WHERE event_id % {n} = 0 AND arrival + {more} < {BATCHES}" for n, more in copies])
+    return f"""WITH lim AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM metric_log), p0 AS (SELECT *, (epoch_us(ts) - lo) * {BATCHES} / (hi - lo + 1) AS place FROM metric_log, lim
+), a0 AS (SELECT *, least(floor(place)::INT + CASE WHEN event_id % 41 = 0 AND place - floor(place) < 0.9::DOUBLE THEN 2 ELSE 0 END, {BATCHES - 1}) AS arrival FROM p0
+), a1 AS (SELECT * FROM a0{again}
+), top AS (SELECT arrival, max(ts) AS latest FROM a1 GROUP BY arrival
+), marks AS (SELECT b.arrival, coalesce(date_trunc('millisecond', max(t.latest)) - INTERVAL {late}, TIMESTAMP '1970-01-01') AS mark FROM top b LEFT JOIN top t ON t.arrival < b.arrival GROUP BY b.arrival
+), ok AS (SELECT a1.*, mark FROM a1 JOIN marks USING (arrival))"""
+
+
 LSM = "list_transform({v}, lambda q: q / {t}::DOUBLE - ln(list_sum(list_transform({v}, lambda r: exp(r / {t}::DOUBLE)))))"
 SOFT = "list_transform({v}, lambda q: exp(q / 0.5::DOUBLE) / list_sum(list_transform({v}, lambda r: exp(r / 0.5::DOUBLE))))"
 UNIT = "u AS (SELECT vec_id, list_transform(vec, lambda v: v / sqrt(list_dot_product(vec, vec))) AS u FROM tokens), nn AS (SELECT a.vec_id, arg_max(b.vec_id, list_dot_product(a.u, b.u)) AS neighbour, max(list_dot_product(a.u, b.u)) AS dot FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)"
@@ -266,13 +308,14 @@ SELECT round((SELECT sum(ce) FROM c WHERE s <> t) / (b * 8 - b * 2) * 2 / 6 + (S
     "i09_manifests": (manifests, "SELECT 'run' || (p_partkey % 20) AS run, 1000::BIGINT AS step, p_partkey AS x0, p_partkey + 2 + p_size AS z1, round(p_size / 50.0::DOUBLE, 6) AS frac_instance, round(p_size / 100.0::DOUBLE, 6) AS frac_ignore FROM part"),
     "i10_reports": (reports, "SELECT 'round' || (p_partkey % 12) AS label_name, count(*) AS blocks, round(avg(p_size) / 50, 6) AS pair_precision, sum(p_size)::BIGINT AS merged_pseudo FROM part GROUP BY p_partkey % 12"),
     "i12_scalar_sink": (scalars, views.sql("metric_log", "SELECT run, CASE WHEN rank = 0 THEN 'val' ELSE 'train' END AS phase, count(*) AS n, round(sum(value), 4) AS total, 2 AS attempts, (SELECT sum(1 + c_custkey % 5)::DOUBLE FROM customer) AS weights FROM metric_log GROUP BY 1, 2")),
-    "st01_windows": (windows, "SELECT date_trunc('hour', ts) AS start, event_type AS metric, round(avg(value), 6) AS mean, max(value) AS most, count(*) AS n FROM events GROUP BY 1, 2"),
-    "st01_sliding": (sliding, "WITH s AS (SELECT unnest([0, 15, 30, 45]) AS back) SELECT time_bucket(INTERVAL 15 MINUTES, ts) - to_minutes(back) AS start, user_id % 7 AS run, round(avg(value), 6) AS mean, max(value) AS most, count(*) AS n FROM events, s GROUP BY 1, 2"),
-    "st02_throughput_meter": (meter, views.sql("metric_log", "WITH p AS (SELECT run, step, epoch_us(ts) / 1e6 AS t FROM metric_log WHERE step % 10 = 0), w AS (SELECT run, step, (step - lag(step) OVER w) / (t - lag(t) OVER w) AS r, t - lag(t) OVER w AS s FROM p WINDOW w AS (PARTITION BY run ORDER BY step)) SELECT run, step, round(r, 9) AS steps_per_s FROM w WHERE s > 0")),
+    "st01_windows": (windows, views.sql("metric_log", f"{_on_time('2 HOURS')} SELECT date_trunc('hour', ts) AS start, metric, round(avg(value), 6) AS mean, max(value) AS most, count(*) AS n FROM ok WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY 1, 2")),
+    "st01_sliding": (sliding, views.sql("metric_log", f"{_on_time('2 HOURS')}, s AS (SELECT unnest([0, 15, 30, 45]) AS back), w AS (SELECT *, time_bucket(INTERVAL 15 MINUTES, ts) - to_minutes(back) AS start FROM ok, s) SELECT start, run, round(avg(value), 6) AS mean, max(value) AS most, count(*) AS n FROM w WHERE start + INTERVAL 1 HOUR > mark GROUP BY 1, 2")),
+    "st01_dropped": (dropped, views.sql("metric_log", f"{_on_time('2 HOURS')} SELECT event_id, run, step, arrival::BIGINT AS batch FROM ok WHERE ts <= mark")),
+    "st02_throughput_meter": (meter, views.sql("metric_log", "WITH p AS (SELECT run, step, epoch_us(ts) / 1e6 AS t FROM metric_log WHERE step % 10 = 0 AND event_id % 41 <> 0), w AS (SELECT run, step, (step - lag(step) OVER w) / (t - lag(t) OVER w) AS r, t - lag(t) OVER w AS s FROM p WINDOW w AS (PARTITION BY run ORDER BY step)) SELECT run, step, round(r, 9) AS steps_per_s FROM w WHERE s > 0")),
     "st03_attempt_sessions": (
         attempts,
-        'WITH e AS (SELECT user_id % 7 AS run, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 7 ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", run, count(*) AS n FROM s GROUP BY run, k',
+        views.sql("metric_log", f"{_on_time('2 HOURS')}, e AS (SELECT run, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY run ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM ok WHERE ts + INTERVAL 30 MINUTES > mark), s AS (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS \"end\", run, count(*) AS n FROM s GROUP BY run, k"),
     ),
-    "st04_once": (deliveries, views.sql("metric_log", "SELECT event_id, run, step FROM metric_log")),
+    "st04_once": (deliveries, views.sql("metric_log", f"{_on_time('10 DAYS', COPIES)} SELECT DISTINCT event_id, run, step FROM ok WHERE ts > mark")),
     "st05_confusion": (arriving, views.sql("vox", "SELECT label AS target, pred AS predicted, count(*) AS n FROM vox WHERE label >= 0 GROUP BY label, pred")),
 }

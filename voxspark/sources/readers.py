@@ -97,11 +97,6 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT).json(path, multiLine=True)
 
 
-def append_scalars(metrics: DataFrame, path: str) -> None:
-    """Append (run, phase, metric, step, value) to the long scalar table."""
-    metrics.select("run", "phase", "metric", "step", "value").write.mode("append").partitionBy("run").parquet(path)
-
-
 def append_attempt(spark: SparkSession, path: str, run: str, commit: str) -> None:
     """Append one (run, ts, commit) row to the attempt log."""
     spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("ts"), F.lit(commit).alias("commit")).write.mode("append").parquet(path)
