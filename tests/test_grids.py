@@ -109,19 +109,6 @@ def test_block_masks_keep_their_law(spark, grid):
     assert rows == sorted(patches.block_masks(samples.repartition(7), grid, 0.5, 0.1, 0.6, 3).collect(), key=lambda r: r.sample)
 
 
-def test_recall_of_approximate_neighbours(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.expr("transform(embedding, v -> cast(v as double))").alias("vec"))
-    plain = rows.toPandas().sort_values("vec_id")
-    unit = np.stack(plain["vec"].to_numpy())
-    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-    key = plain["vec_id"].to_numpy()
-    apart = np.sqrt(np.maximum(0, 2 - 2 * unit @ unit.T))
-    exact = {(int(key[i]), int(key[j])) for i, j in np.argwhere(np.triu(apart < 1.2 - 1e-9, 1))}
-    found = {(r.key, r.neighbour) for r in representation.approximate_neighbours(rows, "vec_id", "vec").collect()}
-    assert exact and len(found & exact) >= 0.9 * len(exact)
-    assert all(apart[np.searchsorted(key, a), np.searchsorted(key, b)] < 1.2 + 1e-9 for a, b in found)
-
-
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components_match_flood_fill(spark, seed):
     rng = np.random.default_rng(seed)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxspark.operators import pivots
+
 
 def total(values: Column) -> Column:
     """Sum of an array of doubles."""
@@ -80,31 +80,9 @@ def normalised(values: Column) -> Column:
     return F.transform(values, lambda v: v / norm)
 
 
-def nearest_neighbours(rows: DataFrame, key: str, vec: str, block_rows: int = 2048) -> DataFrame:
-    """(key, neighbour, dot) of the nearest other row by dot product of unit vectors, exactly.
-
-    Rows are cut into blocks; a task holds one block beside one other and keeps
-    the best of each row, so no task holds more than two blocks.  The lowest key
-    wins ties.
-    """
-    blocks = max(1, -(-rows.count() // block_rows))
-    own = rows.select(F.col(key).alias("key"), normalised(F.col(vec)).alias("vec")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = own.withColumn("other", other)
-    right = own.withColumn("home", F.col("block")).withColumn("block", other)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "dot": []}).astype({"key": "int64", "neighbour": "int64", "dot": "float64"})
-        right = right.sort_values("key", ignore_index=True)
-        dots = np.stack(left["vec"]) @ np.stack(right["vec"]).T
-        dots[left["key"].to_numpy()[:, None] == right["key"].to_numpy()[None, :]] = -np.inf
-        at = dots.argmax(axis=1)
-        out = pd.DataFrame({"key": left["key"].to_numpy(), "neighbour": right["key"].to_numpy()[at], "dot": dots[np.arange(len(at)), at]})
-        return out[np.isfinite(out["dot"])]
-
-    pairs = left.groupBy("block", "other").cogroup(right.select("block", F.col("home").alias("other"), "key", "vec").groupBy("block", "other")).applyInPandas(best, "key long, neighbour long, dot double")
-    return pairs.groupBy("key").agg(F.max_by("neighbour", F.struct(F.col("dot"), -F.col("neighbour"))).alias("neighbour"), F.max("dot").alias("dot"))
+def nearest_neighbours(rows: DataFrame, key: str, vec: str, block_rows: int = pivots.BLOCK_ROWS) -> DataFrame:
+    """(key, neighbour, dot) of the nearest other row by dot product of unit vectors, exactly; the lowest key wins ties."""
+    return pivots.search(rows.select(F.col(key).alias("key"), normalised(F.col(vec)).alias("vec")), block_rows).found
 
 
 def spread(rows: DataFrame, key: str, vec: str, eps: float = 1e-8) -> DataFrame:
@@ -115,15 +93,13 @@ def spread(rows: DataFrame, key: str, vec: str, eps: float = 1e-8) -> DataFrame:
     return near.agg((-F.avg(F.log(distance + eps))).alias("spread"))
 
 
-def approximate_neighbours(rows: DataFrame, key: str, vec: str, bucket: float = 0.5, tables: int = 4, distance: float = 1.2) -> DataFrame:
-    """Pairs of unit vectors within a distance, by random projections: some pairs may be missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def approximate_neighbours(rows: DataFrame, key: str, vec: str, block_rows: int = 512, probes: int = 4) -> DataFrame:
+    """(key, neighbour, dot) of the nearest other row in the ``probes`` blocks nearest to each; rows may be missed.
 
-    units = rows.select(F.col(key).alias("key"), array_to_vector(normalised(F.col(vec))).alias("vec"))
-    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hash", bucketLength=bucket, numHashTables=tables, seed=1).fit(units)
-    pairs = model.approxSimilarityJoin(units, units, distance, "distance")
-    return pairs.select(F.col("datasetA.key").alias("key"), F.col("datasetB.key").alias("neighbour"), "distance").where("key < neighbour")
+    A block has at most ``block_rows`` rows (more only beyond ``pivots.MOST_BLOCKS``
+    blocks), so a row is compared with ``probes * block_rows`` others at most.
+    """
+    return pivots.search(rows.select(F.col(key).alias("key"), normalised(F.col(vec)).alias("vec")), block_rows, probes).found
 
 
 def mean_vector(rows: DataFrame, by: list[str], vec: str, size: int) -> DataFrame:
