@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -401,3 +402,48 @@ def test_clashing_columns_and_long_texts(spark):
     assert [t.text for t in op10_chat.format_conversations(talks).first().parsed] == [long + " ### ", long]
     tokens = op05_bpe.encode_texts(docs.withColumn("n_tokens", F.lit("x")), op05_bpe.default_path(), ids="digest").collect()
     assert sorted(len(r.digest) for r in tokens)[:2] == [0, 1] and {r.bad_key for r in tokens} == {5, None, 1}
+
+
+def test_long_runs_of_backslashes_take_linear_time(spark):
+    n = 100_000
+    texts = ["\\" * n + "###", "\\" * n, "x" + "\\" * n + "</turn>" + "\\" * n + "#", ("\\" * 50 + "### ") * 2000]
+    rows = spark.createDataFrame([(i, 0, "as\\" + "\\" * n + "cs", text) for i, text in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    out = rows.select("text", op10_chat.unescape(op10_chat.escape(F.col("text"))).alias("back"), "role", op10_chat._role(op10_chat._show(F.col("role"))).alias("again")).collect()
+    assert all(r.text == r.back and r.role == r.again for r in out) and time.time() - began < 20
+
+
+@pytest.mark.parametrize("bound", [op08_warc.BROADCAST_DIGESTS, 0])
+def test_revisits_whatever_their_number(spark, monkeypatch, bound):
+    monkeypatch.setattr(op08_warc, "BROADCAST_DIGESTS", bound)
+    rows = [(9, "u", "a"), (3, "v", "a"), (3, "v", "a"), (5, "w", None), (6, "w", ""), (None, "x", "a"), (7, "y", "b"), (None, "z", "c"), (None, "z", "c")]
+    out = op08_warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    found = sorted((r.page_id or -1, r.html, r.refers_to or -1) for r in out)
+    assert found == sorted([(9, "a", 3), (3, "a", -1), (3, "a", -1), (5, "", -1), (6, "", 5), (-1, "a", 3), (7, "b", -1), (-1, "c", -1), (-1, "c", -1)])
+
+
+def test_a_revisit_of_the_wrong_page_is_an_error(spark):
+    pages = spark.createDataFrame([(k, f"http://x.org/{k}", "same" if k < 3 else f"page {k}") for k in range(6)], "page_id long, url string, html string")
+    good = op08_warc.with_revisits(pages)
+    captures = op08_warc.write_archives(good)
+    assert op08_warc.read_back(captures, op08_warc.build_index(captures)).count() == 6
+    for wrong in (4, 1, 77):  # another payload, a revisit, nothing
+        captures = op08_warc.write_archives(good.withColumn("refers_to", F.when(F.col("page_id") == 2, F.lit(wrong)).otherwise(F.col("refers_to"))))
+        with pytest.raises(ValueError, match=f"refer to page {wrong},"):
+            op08_warc.read_back(captures, op08_warc.build_index(captures))
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use themselves stay as they are, and so do rows with a null key."""
+    import corpus_pipeline
+
+    text = "the cat and the dog of the house with that who was not in there for a long time and then it came back to the river"
+    names = ["__gone", "__again", "key", "component_id", "_", "__kinds", "hit", "lang_pred", "score"]
+    rows = [(k, f"{text} {k}" * (1 + (k or 0) % 3), "en", "s", 9, *[f"{n}{k}" for n in names]) for k in (1, 2, 3, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b", "nothing of this")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} <= {r[5:] for r in rows}, name
+        assert None in {r.doc_id for r in out.collect()}, name

@@ -378,14 +378,15 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     The keys to drop are a stored table, broadcast only while they are few.
     """
     found = stored(similarity_components(docs, key, text).select("key", "component_id"), "components")
-    gone = stored(found.where("key > component_id").select(F.col("key").alias("__gone")).distinct(), "gone")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, docs[key] == F.col("__gone"), "left_anti")
-    again = stored(found.where("key = component_id").groupBy("key").count().where("count > 1").select(F.col("key").alias("__again")), "again")
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
+    gone = stored(found.where("key > component_id").select(F.col("key").alias(free)).distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, docs[key] == F.col(free), "left_anti")
+    again = stored(found.where("key = component_id").groupBy("key").count().where("count > 1").select(F.col("key").alias(free)), "again")
     if again.isEmpty():
         return out
     # rows of one key: only these are shuffled
     small = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
-    return out.join(small, out[key] == F.col("__again"), "left_anti").unionByName(out.join(small, out[key] == F.col("__again"), "left_semi").dropDuplicates([key]))
+    return out.join(small, out[key] == F.col(free), "left_anti").unionByName(out.join(small, out[key] == F.col(free), "left_semi").dropDuplicates([key]))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from voxspark.functions.storage import new_path, stored
 from voxspark.functions.workers import ship
 
+BROADCAST_DIGESTS = 1_000_000  # most repeated payloads whose first page is sent to every task
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 1000
 MOST_SHARDS = 20_000  # of an index: their first keys and file names are sent to every task of a look-up
@@ -92,14 +93,19 @@ def _parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def with_revisits(pages: DataFrame) -> DataFrame:
     """Add ``sha1`` and ``refers_to``: the smallest page_id with the same payload, null for itself.
 
-    Only digests that occur more than once are kept for the join, as a stored
-    table whose size Spark knows when it picks the join.
+    Digests that occur more than once are counted first.  Few are sent to the
+    pages; many meet the page_ids and digests alone, and the pages that repeat
+    another get their answer by page_id, so no payload is shuffled by its digest.
     """
     body = F.coalesce("html", F.lit(""))
     hashed = pages.select("page_id", "url", body.alias("html"), F.sha1(body.cast("binary")).alias("sha1"))
     slim = hashed.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     twice = stored(slim.where("n > 1 and first_id is not null").select("sha1", "first_id"), "twice")
-    return hashed.join(twice, "sha1", "left").withColumn("refers_to", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))).drop("first_id")
+    refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to")
+    if twice.count() <= BROADCAST_DIGESTS:
+        return hashed.join(F.broadcast(twice), "sha1", "left").select("page_id", "url", "html", "sha1", refers)
+    known = hashed.select("page_id", "sha1").join(twice, "sha1").select(F.col("page_id").alias("id"), F.col("sha1").alias("same"), refers).where("refers_to is not null").distinct()
+    return hashed.join(known, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("same")), "left").select("page_id", "url", "html", "sha1", "refers_to")
 
 
 def write_archives(records: DataFrame) -> DataFrame:
@@ -260,10 +266,18 @@ def _summary(member: bytes) -> tuple:
 
 
 def read_back(captures: DataFrame, shards: DataFrame) -> DataFrame:
-    """Every record through the index; an error where there are not as many as captures."""
+    """Every record through the index.
+
+    It is an error if there are not as many as captures, or if a revisit refers to
+    a page that has no response with the digest and size that the revisit tells.
+    """
     found = stored(lookup(captures.select("key"), shards), "records")
     if (n := found.count()) != (wanted := captures.count()):
         raise ValueError(f"{n} records read back of {wanted} captures")
+    told = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("page"), "payload_digest", "payload_bytes").distinct()
+    lost = told.join(found.where("record_type = 'response'").select("page", "payload_digest", "payload_bytes"), ["page", "payload_digest", "payload_bytes"], "left_anti")
+    if not lost.isEmpty():
+        raise ValueError(f"revisits refer to page {lost.first().page}, which has no such response")
     return found
 
 

@@ -28,12 +28,12 @@ SHOWN = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "
 
 def escape(text: Column) -> Column:
     """One more backslash before every control string and the backslashes before it."""
-    return F.regexp_replace(text, rf"(\\*(?:{CONTROL}))", r"\\$1")
+    return F.regexp_replace(text, rf"(?<!\\)(\\*+(?:{CONTROL}))", r"\\$1")
 
 
 def unescape(text: Column) -> Column:
     """Take one backslash from every control string that has any."""
-    return F.regexp_replace(text, rf"\\(\\*(?:{CONTROL}))", "$1")
+    return F.regexp_replace(text, rf"(?<!\\)\\(\\*+(?:{CONTROL}))", "$1")
 
 
 def _show(role: Column) -> Column:
@@ -47,7 +47,7 @@ def _show(role: Column) -> Column:
 def _role(shown: Column) -> Column:
     """The inverse of :func:`_show`."""
     other = F.regexp_extract(shown, r"(?s)^@(.*)@$", 1)
-    other = F.regexp_replace(F.regexp_replace(other, r"(?<!\\)((?:\\\\)*)\\c", "$1:"), r"(?<!\\)((?:\\\\)*)\\h", "$1#")
+    other = F.regexp_replace(F.regexp_replace(other, r"(?<!\\)((?:\\\\)*+)\\c", "$1:"), r"(?<!\\)((?:\\\\)*+)\\h", "$1#")
     role = F.replace(other, F.lit("\\\\"), F.lit("\\"))
     for name, title in SHOWN.items():
         role = F.when(shown == title, name).otherwise(role)
