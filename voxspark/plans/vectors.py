@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxspark.functions.storage import new_path, stored
 from voxspark.functions.workers import ship
 from voxspark.operators import artifacts, representation
+from voxspark.sources import blocks as block_files
 from voxspark.sources import readers, views
 from voxspark.streaming import metrics as streams
 
@@ -90,16 +91,24 @@ def blocks(spark, sf_dir):
     """I-04, I-06, I-07: voxels written as blocks by volume, a box of them scanned back."""
     path = new_path(spark, "blocks")
     voxels = views.vox(spark, sf_dir)
-    readers.write_blocks(readers.voxels_to_blocks(voxels, 4, ["img", "label"]), path)
+    block_files.write_blocks(readers.voxels_to_blocks(voxels, 4, ["img", "label"]), path)
     vols = voxels.select("vol").where("vol % 2 = 1").distinct()
     return readers.scan_box(spark, path, vols, 0, {"x": 1, "y": 0, "z": 2}, {"x": 7, "y": 5, "z": 8}, 4, ["img", "label"]).select(F.col("vol").cast("long").alias("vol"), "x", "y", "z", "img", "label")
 
 
+def block_source(spark, sf_dir):
+    """I-04: the same box through the data source of block files."""
+    path = new_path(spark, "blocks")
+    block_files.write_blocks(readers.voxels_to_blocks(views.vox(spark, sf_dir), 4, ["img", "label"]), path)
+    rows = block_files.read_voxels(spark, path, 4, "img double, label long", level=0, x="1:7", y=":5", z="2:")
+    return rows.where("vol % 2 = 1").drop("level")
+
+
 def pyramid_blocks(spark, sf_dir):
     """I-04: three levels written as blocks, a box of the middle one scanned back."""
     path = new_path(spark, "pyramid")
     voxels = views.pyramid(spark, sf_dir)
-    readers.write_blocks(readers.voxels_to_blocks(voxels, 2, ["img", "label"]), path)
+    block_files.write_blocks(readers.voxels_to_blocks(voxels, 2, ["img", "label"]), path)
     out = readers.scan_box(spark, path, views.vox(spark, sf_dir).select("vol").distinct(), 1, {"x": 0, "y": 1, "z": 1}, {"x": 3, "y": 4, "z": 3}, 2, ["img", "label"])
     return out.select(F.col("vol").cast("long").alias("vol"), "x", "y", "z", F.round("img", 6).alias("img"), "label")
 
@@ -302,6 +311,7 @@ SELECT round((SELECT sum(ce) FROM c WHERE s <> t) / (b * 8 - b * 2) * 2 / 6 + (S
     ),
     "r08_mean_pooling": (pooled, views.sql("tokens", "SELECT sample, round(avg(vec[1]), 6) AS v0, round(avg(vec[64]), 6) AS v63 FROM tokens GROUP BY sample")),
     "i04_block_scan": (blocks, views.sql("vox", "SELECT vol, x::INT AS x, y::INT AS y, z::INT AS z, img, label FROM vox WHERE vol % 2 = 1 AND x BETWEEN 1 AND 6 AND y < 5 AND z >= 2")),
+    "i04_block_source": (block_source, views.sql("vox", "SELECT vol, x::INT AS x, y::INT AS y, z::INT AS z, img, label FROM vox WHERE vol % 2 = 1 AND x BETWEEN 1 AND 6 AND y < 5 AND z >= 2")),
     "i04_pyramid_scan": (pyramid_blocks, views.sql("pyramid", "SELECT vol, x::INT AS x, y::INT AS y, z::INT AS z, round(img, 6) AS img, label FROM pyramid WHERE level = 1 AND x < 3 AND y >= 1 AND z BETWEEN 1 AND 2")),
     "i01_raw_buffers": (buffers, views.sql("vox", "SELECT vol, x::INT AS x, y::INT AS y, z::INT AS z, round(img * 255) / 255.0::DOUBLE AS img, greatest(label, 0) AS label FROM vox")),
     "i02_encoded_planes": (planes, views.sql("vox", "SELECT vol * 8 + z AS plane, x::INT AS x, y::INT AS y, round(img * 255) AS img FROM vox")),

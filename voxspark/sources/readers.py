@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxspark.sources.blocks import in_ranges
+
 TRACE = "traceEvents array<struct<ph:string,cat:string,name:string,ts:double,dur:double,pid:long,tid:long>>"
 MANIFEST = "bounding_boxes array<array<array<long>>>, blocks array<struct<block:string,frac_instance:double,frac_ignore:double>>, label_name string, run string, step long, cc_logit double, tau_bg double, tau_fg double, min_size long"
 REPORT = "label_name string, blocks long, pair_precision double, pair_recall double, frac_instance double, frac_ignore double, merged_pseudo long, split_gt long, boundary_enrichment double, teacher_run string, teacher_step long"
@@ -61,20 +63,13 @@ def blocks_to_voxels(blocks: DataFrame, side: int, values: list[str]) -> DataFra
     return rows.select("vol", "level", *[(F.col(f"b{a}") * side + place[a]).cast("int").alias(a) for a in "xyz"], *[F.col(f"c.{v}").alias(v) for v in values])
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Blocks as Parquet by volume and level, in block order, so boxes prune files and row groups."""
-    blocks.repartition("vol", "level").sortWithinPartitions("vol", "level", "bx", "by", "bz").write.partitionBy("vol", "level").parquet(path)
-
-
 def scan_box(spark: SparkSession, path: str, vols: DataFrame, level: int, lo: dict[str, int], hi: dict[str, int], side: int, values: list[str]) -> DataFrame:
-    """Voxels of a box of some volumes, a table with a row for each ``vol``: partitions, then row groups, then rows are pruned."""
-    blocks = spark.read.parquet(path).where(F.col("level") == level).join(vols.select(F.col("vol").cast("int")), "vol", "left_semi")
-    for a in lo:
-        blocks = blocks.where(F.col(f"b{a}").between(lo[a] // side, (hi[a] - 1) // side))
+    """Voxels of a box of some volumes, a table with a row for each ``vol``: partitions, then row groups by ranges of keys, then rows are pruned."""
+    found = spark.read.parquet(path).where((F.col("level") == level) & in_ranges(lo, hi, side)).join(vols.select(F.col("vol").cast("int")), "vol", "left_semi")
     inside = F.lit(True)
     for a in lo:
         inside = inside & (F.col(a) >= lo[a]) & (F.col(a) < hi[a])
-    return blocks_to_voxels(blocks, side, values).where(inside)
+    return blocks_to_voxels(found, side, values).where(inside)
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
