@@ -97,6 +97,18 @@ def test_running_sums_and_weighted_draws(spark):
         assert abs(r.n / 20_000 - r.weight / 15) < 0.02
 
 
+@pytest.mark.parametrize("alpha", [0.1, 0.5, 1.0, 5.0])
+def test_dirichlet_moments(spark, alpha):
+    """Mean and variance of a part of three, and of the gamma numbers themselves."""
+    from voxspark.functions.draws import gamma
+
+    levels = spark.range(12_000).select(F.floor(F.col("id") / 3).alias("sample"), (F.col("id") % 3).alias("level"))
+    w = patches.dirichlet(levels, "sample", "level", alpha, 5).where("level = 1").agg(F.avg("__w"), F.var_samp("__w")).first()
+    assert w[0] == pytest.approx(1 / 3, abs=0.02) and w[1] == pytest.approx(2 / 9 / (3 * alpha + 1), rel=0.12)
+    g = levels.select(gamma(alpha, 6, "g", "sample", "level").alias("g")).agg(F.avg("g"), F.var_samp("g")).first()
+    assert g[0] == pytest.approx(alpha, rel=0.1) and g[1] == pytest.approx(alpha, rel=0.2)
+
+
 @pytest.mark.parametrize("grid", [[8, 8], [6, 6, 6]])
 def test_block_masks_keep_their_law(spark, grid):
     samples = spark.range(40).select(F.col("id").alias("sample"), F.col("id").alias("pos"), F.lit(40).alias("total"))
@@ -105,7 +117,7 @@ def test_block_masks_keep_their_law(spark, grid):
     for r in rows:
         assert len(r.hidden) == size and r.ratio == (pytest.approx(0.1 + 0.5 * r.sample / 19) if r.sample < 20 else 0.0)
         assert sum(r.hidden) <= int(r.ratio * size) and (sum(r.hidden) > 0) == (r.sample < 20)
-    assert sum(sum(r.hidden) for r in rows) > 0.8 * sum(int(r.ratio * size) for r in rows)
+    assert sum(sum(r.hidden) for r in rows) > 0.7 * sum(int(r.ratio * size) for r in rows)
     assert rows == sorted(patches.block_masks(samples.repartition(7), grid, 0.5, 0.1, 0.6, 3).collect(), key=lambda r: r.sample)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxspark.functions.draws import normal, uniform
+from voxspark.functions.draws import gamma, uniform
 
 AXES = ("x", "y", "z")
 
@@ -90,25 +90,37 @@ def granular_mask(patches: DataFrame, by: list[str], grid: list[int], granularit
     return rows.join(drawn, [*by, "unit"]).drop("unit")
 
 
-def level_weighted_mask(tokens: DataFrame, sample: str, level: str, token: str, visible: int, seed: int) -> DataFrame:
+def dirichlet(levels: DataFrame, sample: str, level: str, alpha: float, seed: int) -> DataFrame:
+    """Add ``__w``: the part of each level of a sample in a symmetric Dirichlet draw, 1e-9 at least."""
+    drawn = levels.withColumn("__g", gamma(alpha, seed, "dir", sample, level))
+    whole = F.greatest(F.sum("__g").over(Window.partitionBy(sample)), F.lit(1e-300))  # a row for each level
+    return drawn.withColumn("__w", F.greatest(F.col("__g") / whole, F.lit(1e-9))).drop("__g")
+
+
+def level_weighted_mask(tokens: DataFrame, sample: str, level: str, token: str, visible: int, seed: int, alpha: float = 0.5) -> DataFrame:
     """Add ``hidden``: ``visible`` tokens of a sample stay, drawn without replacement.
 
-    The weight of a level is its part of a symmetric Dirichlet draw (parameter
-    one half: squared normals, normalised); tokens are ordered by ln(u) / w.
+    The weight of a level is its part of a symmetric Dirichlet draw of concentration
+    ``alpha``: gamma numbers, normalised; tokens are ordered by ln(u) / w.
     """
-    weights = tokens.select(sample, level).distinct().withColumn("__g", F.pow(normal(seed, "dir", sample, level), F.lit(2)) / 2)
-    weights = weights.withColumn("__w", F.greatest(F.col("__g") / F.sum("__g").over(Window.partitionBy(sample)), F.lit(1e-9))).drop("__g")
+    weights = dirichlet(tokens.select(sample, level).distinct(), sample, level, alpha, seed)
     key = F.log(1 - uniform(seed, "gumbel", sample, level, token)) / F.col("__w")
     place = F.row_number().over(Window.partitionBy(sample).orderBy(F.desc(key), level, token))
     return tokens.join(weights, [sample, level]).withColumn("hidden", place > visible).drop("__w")
 
 
+#: fixed values: the law of block masks
+LEAST_PATCHES, MOST_ASPECT = 4, 1 / 0.3
+
+
 def block_masks(samples: DataFrame, grid: list[int], share: float, lo: float, hi: float, seed: int) -> DataFrame:
     """(sample, ratio, hidden array) for samples numbered 0 .. B - 1 in ``pos`` of ``total``.
 
     The first int(B * share) samples are masked, at ratios spaced from ``lo`` to
-    ``hi``; blocks of equal sides are proposed (at most 64) and taken while they
-    add patches and do not exceed what is left.
+    ``hi``.  At most 64 blocks of equal sides are proposed: an even area from
+    ``LEAST_PATCHES`` to what is left, an aspect whose logarithm is even within
+    1 / ``MOST_ASPECT`` to ``MOST_ASPECT``; one is taken if it adds patches and does not
+    exceed what is left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +136,7 @@ def block_masks(samples: DataFrame, grid: list[int], share: float, lo: float, hi
                     left = goal - int(mask.sum())
                     if left <= 0:
                         break
-                    area, aspect = rng.uniform(0.2, 1.0) * left, np.exp(rng.uniform(-0.3, 0.3))
+                    area, aspect = rng.uniform(LEAST_PATCHES, max(LEAST_PATCHES + 1, left)), np.exp(rng.uniform(-1, 1) * np.log(MOST_ASPECT))
                     side = max(1, round((area * aspect) ** (1 / len(grid))))
                     sides = [min(side, g) for g in grid]
                     box = tuple(slice(a, a + s) for a, s in ((int(rng.integers(0, g - s + 1)), s) for g, s in zip(grid, sides, strict=True)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxspark.functions.draws import normal_sql, uniform, uniform_sql
+from voxspark.functions.draws import gamma_sql, normal_sql, uniform, uniform_sql
 from voxspark.operators import augment, patches
 from voxspark.sources import views
 
@@ -47,7 +47,7 @@ def granular_masks(spark, sf_dir):
 def weighted_masks(spark, sf_dir):
     """M-07: visible tokens drawn by Dirichlet level weights."""
     rows = views.tokens(spark, sf_dir).select("sample", F.expr("cast(token div 20 as int)").alias("level"), "token")
-    return patches.level_weighted_mask(rows, "sample", "level", "token", 15, 23)
+    return patches.level_weighted_mask(rows, "sample", "level", "token", 15, 23, ALPHA)
 
 
 def block_masks(spark, sf_dir):
@@ -216,7 +216,8 @@ def _resize_sql() -> str:
 
 
 MASK = f"mk AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY {uniform_sql(21, 'mask', 'sample', 'token')}, token) > greatest(1, round_even(count(*) OVER (PARTITION BY sample) * (1 - 0.63::DOUBLE), 0)) AS hidden FROM tokens)"
-DIR = f"lv AS (SELECT sample, (token // 20)::INT AS level, token FROM tokens), g AS (SELECT sample, level, pow({normal_sql(23, 'dir', 'sample', 'level')}, 2) / 2 AS g FROM (SELECT DISTINCT sample, level FROM lv)), w AS (SELECT sample, level, greatest(g / sum(g) OVER (PARTITION BY sample), 1e-9) AS w FROM g)"
+ALPHA = 0.5  # concentration of the level weights
+DIR = f"lv AS (SELECT sample, (token // 20)::INT AS level, token FROM tokens), g AS (SELECT sample, level, {gamma_sql(ALPHA, 23, 'dir', 'sample', 'level')} AS g FROM (SELECT DISTINCT sample, level FROM lv)), w AS (SELECT sample, level, greatest(g / sum(g) OVER (PARTITION BY sample), 1e-9) AS w FROM g)"
 UNIT = "((patch // 16) // 3) * 4 + (((patch // 4) % 4) // 3) * 2 + (patch % 4) // 3"
 
 QUERIES = {
