@@ -93,7 +93,8 @@ def test_feistel_is_a_permutation(spark):
     rows = spark.range(12 * 35).select((F.col("id") % 12).alias("a"), F.floor(F.col("id") / 12).alias("b"))
     out = rows.select(op01_pii.feistel(F.col("a"), F.col("b"), F.lit(12), F.lit(35), "k", F.lit("t")).alias("s")).select("s.a", "s.b").distinct().collect()
     assert {(r.a, r.b) for r in out} == set(itertools.product(range(12), range(35)))
-    digits = spark.range(1000).select(op01_pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("d")).distinct()
+    halves = spark.range(1000).select(op01_pii.digit_halves(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("t")).alias("h"))
+    digits = halves.select(op01_pii.join_digits(op01_pii.permuted(F.col("h"), "k"), F.lit(3)).alias("d")).distinct()
     assert digits.count() == 1000
 
 
