@@ -57,9 +57,12 @@ PATTERNS = {
     "phone": rf"(?<![\w+(])(?:{PHONE}|\d{{10}}(?<={CALLED}\d{{10}}))(?![\w-]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-])",
 }
-ANY = "|".join(PATTERNS.values())
+NUMBERS = ("ip", "ipv6", "ssn", "date", "phone", "card")  # the last ones; they begin with a digit, f, + or (
+# no candidate but a private key begins inside a word: said once, before any of them is tried
+ANY = rf"(?:(?<![A-Za-z0-9])(?=[\p{{L}}\p{{N}}_%+(-])|(?=-----BEGIN ))(?:{'|'.join(v for k, v in PATTERNS.items() if k not in NUMBERS)}|(?=[\dfF+(])(?:{'|'.join(PATTERNS[k] for k in NUMBERS)}))"
 WHOLE = PATTERNS | {"phone": rf"{PHONE}|\d{{10}}"}  # of a candidate, without what stood before it
 DIGITS = ("card", "iban", "phone")
+SOME = rf"[0-9@]|(?<![A-Za-z0-9])(?=[AaePpSsTt])(?:A[KS]IA|eyJ|{NAMED}\s{{0,3}}[=:])|-----BEGIN "  # in every text with a candidate
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -310,7 +313,7 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, into: str = "pii_kinds") -> DataFrame:
     """Replace ``text`` and add (or replace) ``into``, the kinds found in order."""
     body = F.col(text)
-    found = F.when(body.rlike(rf"[0-9@]|A[KS]IA|-----BEGIN |{NAMED}\s{{0,3}}[=:]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    found = F.when(body.rlike(SOME), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
     marked = docs.withColumn(free + "found", F.coalesce(found, F.array().cast("array<string>")))
     marked = marked.withColumn(free + "new", F.transform(free + "found", lambda m: pseudonym(m, key)))
