@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from voxspark.operators import augment, curation, labels, metrics, patches, representation, sampling, telemetry, tiles
@@ -159,6 +160,28 @@ def test_tiles_cover_everything(spark, extent, tile, overlap):
     assert {c for s in starts for c in range(s, min(s + tile, extent))} == set(range(extent))
 
 
+def test_tile_starts_as_a_table_function(spark):
+    rows = spark.createDataFrame([(1, 100, 32, 8), (2, 64, 64, 0), (3, 10, 32, 4), (4, 97, 16, 15), (5, 20, 4, 9), (6, None, 4, 1), (7, 0, 3, 1)], "k long, extent long, tile long, overlap long")
+    name = tiles.register_tile_starts(spark)
+    got = spark.sql(f"SELECT k, start FROM {{rows}}, LATERAL {name}(extent, tile, overlap)", rows=rows)
+    built_in = rows.where("extent IS NOT NULL").select("k", F.explode(tiles.tile_starts(F.col("extent"), F.col("tile"), F.col("overlap"))).alias("start"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, built_in.collect()))
+
+
+def test_rows_are_counted_by_the_job_that_reads_them(spark):
+    rows = spark.range(100).select("id", F.concat(F.lit("g"), F.col("id") % 4, F.lit("/"), "id").alias("name"))
+    seen = Observation()
+    assert curation.allow(rows, {"id": [1, 2, 300]}, seen).count() == curation.require_rows(seen, 2, 2) == 2
+    none = Observation()
+    assert curation.allow(rows, {"id": [300]}, none).collect() == []
+    with pytest.raises(ValueError, match="0 rows"):
+        curation.require_rows(none)
+    train = Observation()
+    assert len(curation.hold_out(rows, "name", 1, ["g1"], "train", train).collect()) == curation.require_rows(train) == 75
+    with pytest.raises(ValueError, match="75 rows, expected 76"):
+        curation.require_rows(train, 76, 76)
+
+
 def test_confusion_cases(spark):
     rows = spark.createDataFrame([(0, 0)] * 90 + [(1, 0)] * 10, "label long, pred long")
     got = metrics.segmentation_metrics(metrics.confusion(rows, 2)).first()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -25,12 +25,31 @@ def guarded(df: DataFrame, check: DataFrame) -> DataFrame:
     return df.join(F.broadcast(mark)).where(F.length("__ok") >= 0).drop("__ok")
 
 
-def allow(df: DataFrame, allowed: dict[str, list]) -> DataFrame:
-    """Rows whose columns all hold an allowed value; an unknown column or no row left is an error."""
+def counted(df: DataFrame, seen: Observation) -> DataFrame:
+    """``df``, whose rows are counted in ``seen`` by the job that reads them."""
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+
+def require_rows(seen: Observation, least: int = 1, most: int | None = None) -> int:
+    """The rows that ``counted`` saw, once their job has run; too few or too many are an error."""
+    rows = seen.get["rows"]
+    if rows < least or (most is not None and rows > most):
+        raise ValueError(f"{rows} rows, expected {least if most == least else f'{least} to {most}' if most is not None else f'{least} or more'}")
+    return rows
+
+
+def allow(df: DataFrame, allowed: dict[str, list], seen: Observation | None = None) -> DataFrame:
+    """Rows whose columns all hold an allowed value; an unknown column or no row left is an error.
+
+    With ``seen`` no job runs here: the rows are counted by the job that uses
+    them, and ``require_rows(seen)`` is the check afterwards.
+    """
     _need(df, *allowed)
     out = df
     for name, values in allowed.items():
         out = out.where(F.col(name).isin(values))
+    if seen is not None:
+        return counted(out, seen)
     if out.isEmpty():
         raise ValueError(f"no row has {allowed}")
     return out
@@ -41,8 +60,11 @@ def group_key(name: Column, levels: int) -> Column:
     return F.substring_index(name, "/", levels)
 
 
-def hold_out(df: DataFrame, name: str, levels: int, held: Iterable[str] | None, split: str) -> DataFrame:
-    """The ``val`` rows (groups that are held out) or the ``train`` rows (all others)."""
+def hold_out(df: DataFrame, name: str, levels: int, held: Iterable[str] | None, split: str, seen: Observation | None = None) -> DataFrame:
+    """The ``val`` rows (groups that are held out) or the ``train`` rows (all others).
+
+    ``seen`` as in ``allow``.
+    """
     held = list(held or [])
     if split not in ("train", "val"):
         raise ValueError(f"a split is train or val, not {split}")
@@ -50,6 +72,8 @@ def hold_out(df: DataFrame, name: str, levels: int, held: Iterable[str] | None,
         raise ValueError("a val split needs held-out groups")
     inside = group_key(F.col(name), levels).isin(held)
     out = df.where(inside if split == "val" else ~inside)
+    if seen is not None:
+        return counted(out, seen)
     if out.isEmpty():
         some = [r[0] for r in df.select(group_key(F.col(name), levels)).distinct().limit(20).collect()]
         raise ValueError(f"the {split} split is empty; groups are {some}")

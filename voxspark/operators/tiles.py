@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -19,6 +19,26 @@ def tile_starts(extent: Column, tile: Column, overlap: Column) -> Column:
     return F.when(last <= 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array_append(F.sequence(F.lit(0).cast("long"), last.cast("long"), stride.cast("long")), last.cast("long"))))
 
 
+def register_tile_starts(spark: SparkSession, name: str = "tile_starts") -> str:
+    """``tile_starts(extent, tile, overlap)`` as a table function for SQL, joined laterally.
+
+    The same starts as the expression above, one row each; rows go to Python in
+    Arrow batches.  A null argument has no tile.
+    """
+
+    class TileStarts:
+        def eval(self, extent: int | None, tile: int | None, overlap: int | None) -> Iterator[tuple[int]]:
+            if extent is None or tile is None or overlap is None:
+                return
+            last = max(extent - tile, 0)
+            for start in range(0, last, max(tile - overlap, 1)):
+                yield (start,)
+            yield (last,)
+
+    spark.udtf.register(name, F.udtf(TileStarts, returnType="start: bigint", useArrow=True))
+    return name
+
+
 def blend_weight(tile: int, *coordinates: Column) -> Column:
     """Product over the axes of the distance to the nearer tile face, plus one."""
     weight = F.lit(1)

@@ -12,6 +12,8 @@ from voxspark.sources import views
 OFFSETS = labels.offset_rows(3, 1, 3)
 THRESHOLDS = [2 + k / 16 for k in range(50)]  # of the sweep
 DRAW = uniform_sql(11, "logit", "id", "channel")
+TILE_STARTS = """WITH p AS (SELECT p_partkey, p_size::BIGINT AS extent, 1 + p_partkey % 16 AS tile, p_partkey % 5 AS overlap FROM part)
+SELECT DISTINCT p_partkey, unnest(CASE WHEN tile >= extent THEN [0::BIGINT] ELSE list_append(range(0, extent - tile + 1, greatest(tile - overlap, 1)), extent - tile) END) AS start FROM p"""
 NEAR = """offsets AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1), (3, 3, 0, 0), (4, 0, 3, 0), (5, 0, 0, 3)) AS o(channel, dx, dy, dz)
 ), aff AS (
   SELECT a.vol, a.level, a.x, a.y, a.z, a.id, channel, coalesce(a.label = b.label AND a.label > 0, false) AS affinity, coalesce(a.label >= 0 AND b.label >= 0, false) AS mask
@@ -112,12 +114,22 @@ def same_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(labels.same_partition(voxels, ["vol"], "lab_noise", "pred").select("vol", F.col("same").alias("same_pred")), "vol")
 
 
+def _tilings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("extent"), (1 + F.col("p_partkey") % 16).alias("tile"), (F.col("p_partkey") % 5).alias("overlap"))
+
+
 def tile_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-01: tile starts over the extents, tiles and overlaps of a table."""
-    part = views.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("extent"), (1 + F.col("p_partkey") % 16).alias("tile"), (F.col("p_partkey") % 5).alias("overlap"))
+    part = _tilings(spark, sf_dir)
     return part.select("p_partkey", F.explode(tiles.tile_starts(F.col("extent"), F.col("tile"), F.col("overlap"))).alias("start"))
 
 
+def tile_start_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-01 as a table function in SQL, joined laterally."""
+    name = tiles.register_tile_starts(spark)
+    return spark.sql(f"SELECT p_partkey, start FROM {{part}}, LATERAL {name}(extent, tile, overlap)", part=_tilings(spark, sf_dir))
+
+
 def blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-02: the blend weight of every voxel of a tile as large as its volume."""
     return views.vox(spark, sf_dir).select("id", tiles.blend_weight(8, F.col("x"), F.col("y"), F.col("z")).cast("long").alias("weight"))
@@ -303,11 +315,8 @@ SELECT vol, (SELECT max(n) FROM (SELECT count(DISTINCT b) AS n FROM f g WHERE g.
 SELECT vol, true AS same_renamed, same_pred FROM m""",
         ),
     ),
-    "e01_tile_starts": (
-        tile_starts,
-        """WITH p AS (SELECT p_partkey, p_size::BIGINT AS extent, 1 + p_partkey % 16 AS tile, p_partkey % 5 AS overlap FROM part)
-SELECT DISTINCT p_partkey, unnest(CASE WHEN tile >= extent THEN [0::BIGINT] ELSE list_append(range(0, extent - tile + 1, greatest(tile - overlap, 1)), extent - tile) END) AS start FROM p""",
-    ),
+    "e01_tile_starts": (tile_starts, TILE_STARTS),
+    "e01_tile_table": (tile_start_table, TILE_STARTS),
     "e02_blend_weights": (blend_weights, views.sql("vox", "SELECT id, (least(x, 7 - x) + 1) * (least(y, 7 - y) + 1) * (least(z, 7 - z) + 1) AS weight FROM vox")),
     "e03_tiled_blend": (
         tiled_blend,
