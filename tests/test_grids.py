@@ -303,3 +303,13 @@ def test_strict_reconciliation(spark):
         artifacts.strict(artifacts.reconcile(ckpt, model.where("name = 'a'"), "m.")).collect()
     with pytest.raises(Exception, match="shapes differ"):
         artifacts.strict(artifacts.reconcile(ckpt.withColumn("shape", F.array(F.lit(9))), model, "m.")).collect()
+
+
+def test_crop_corners_are_never_broadcast(spark):
+    """The corners of all views go through the shuffle, however small their table looks."""
+    voxels = spark.createDataFrame([(v, x, y, z, float(x)) for v in range(2) for x, y, z in np.ndindex(4, 4, 4)], "vol long, x int, y int, z int, img double")
+    out = augment.resized_crop(voxels, augment.multi_crop(voxels.select("vol").distinct(), 2, 4, 3), 4, 37)
+    assert out.count() == 2 * (2 * 64 + 2 * 27)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

@@ -161,7 +161,9 @@ def resized_crop(voxels: DataFrame, specs: DataFrame, side: int, seed: int, valu
     Side lengths are f ** (1/3) * exp((u - 0.5) * 0.4), within [0.05, 1]; the
     centre is drawn so that the crop fits; axes are flipped by coins, the first
     two exchanged by another; values are multilinear with half-pixel centres and
-    reflection.  The eight corner rows of an output voxel are one equi-join.
+    reflection.  The eight corner rows of an output voxel are one equi-join, always
+    a shuffled one: the corners come from a few view rows, so Spark takes their
+    table for a small one that it could broadcast.
     """
     keys = (by, "view")
     f = F.col("lo") + uniform(seed, "crop.f", *keys) * (F.col("hi") - F.col("lo"))
@@ -183,7 +185,7 @@ def resized_crop(voxels: DataFrame, specs: DataFrame, side: int, seed: int, valu
         low = F.floor(f"p{a}")
         corners = corners.withColumn(f"k{a}", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(f"w{a}", F.when(F.col(f"k{a}") == 0, 1 - (F.col(f"p{a}") - low)).otherwise(F.col(f"p{a}") - low)).withColumn(f"q{a}", _edge(low + F.col(f"k{a}"), side))
     source = voxels.select(by, *[F.col(a).alias(f"q{a}") for a in AXES], F.col(value).alias("v"))
-    return corners.join(source, [by, *[f"q{a}" for a in AXES]]).groupBy(by, "view", *AXES).agg(F.sum(F.col("v") * F.col("wx") * F.col("wy") * F.col("wz")).alias(value))
+    return corners.hint("merge").join(source, [by, *[f"q{a}" for a in AXES]]).groupBy(by, "view", *AXES).agg(F.sum(F.col("v") * F.col("wx") * F.col("wy") * F.col("wz")).alias(value))
 
 
 def _edge(c: Column, size: int) -> Column:
