@@ -28,8 +28,8 @@ def patch_ids(voxels: DataFrame, extent: dict[str, int], patch: int) -> DataFram
 def patchify(voxels: DataFrame, extent: dict[str, int], patch: int, by: list[str], value: str = "img") -> DataFrame:
     """One row for each patch: its values in row-major order."""
     cells = patch_ids(voxels, extent, patch)
-    ordered = F.array_sort(F.collect_list(F.struct("offset", F.col(value).alias("v"))))
-    return cells.groupBy(*by, "patch").agg(F.transform(ordered, lambda s: s["v"]).alias("values"))
+    ordered = F.sort_array(F.collect_list(F.struct("offset", F.col(value).alias("v"))))
+    return cells.groupBy(*by, "patch").agg(ordered["v"].alias("values"))
 
 
 def unpatchify(patches: DataFrame, extent: dict[str, int], patch: int, by: list[str]) -> DataFrame:
@@ -113,6 +113,73 @@ def level_weighted_mask(tokens: DataFrame, sample: str, level: str, token: str,
 LEAST_PATCHES, MOST_ASPECT = 4, 1 / 0.3
 
 
+class _Draws:
+    """Numbers that ``np.random.default_rng([seed, sample])`` draws, for many samples side by side."""
+
+    def __init__(self, seed: int, samples: np.ndarray, size: int) -> None:
+        self.words = np.stack([np.random.PCG64([seed, s]).random_raw(size) for s in samples.tolist()])
+        self.at, self.half, self.kept = (np.zeros(len(samples), dtype=t) for t in (np.int64, bool, np.uint64))
+
+    def _word(self, rows: np.ndarray) -> np.ndarray:
+        out = self.words[rows, self.at[rows]]
+        self.at[rows] += 1
+        return out
+
+    def uniform(self, rows: np.ndarray) -> np.ndarray:
+        return (self._word(rows) >> np.uint64(11)) * (1.0 / (1 << 53))
+
+    def _short(self, rows: np.ndarray) -> np.ndarray:
+        """32 bits: the low half of a word, then its high half."""
+        out, fresh = self.kept[rows], rows[~self.half[rows]]
+        word = self._word(fresh)
+        out[~self.half[rows]] = word & np.uint64(0xFFFFFFFF)
+        self.kept[fresh] = word >> np.uint64(32)
+        self.half[rows] = ~self.half[rows]
+        return out
+
+    def below(self, rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whole numbers from 0 to before ``ends``, by multiplication; an end of 1 draws nothing."""
+        out = np.zeros(len(rows), dtype=np.int64)
+        todo = np.flatnonzero(ends > 1)
+        while len(todo):
+            n = ends[todo].astype(np.uint64)
+            wide = self._short(rows[todo]) * n
+            low, least = wide & np.uint64(0xFFFFFFFF), (np.uint64(1 << 32) - n) % n
+            out[todo] = wide >> np.uint64(32)
+            todo = todo[low < least]
+        return out
+
+
+def _drawn_masks(samples: np.ndarray, ratio: np.ndarray, grid: list[int], seed: int) -> np.ndarray:
+    """Flat masks of samples, step by step for all of them at once."""
+    size, rank = int(np.prod(grid)), len(grid)
+    masks, goal = np.zeros((len(samples), size), dtype=bool), (ratio * size).astype(np.int64)
+    rows = np.flatnonzero(goal > 0)
+    if not len(rows):
+        return masks
+    draws = _Draws(seed, samples[rows], 64 * (2 + rank) + 64)
+    place = np.indices(grid).reshape(rank, size)
+    left, cells, alive = goal[rows], masks[rows], np.arange(len(rows))
+    for _ in range(64):
+        alive = alive[left[alive] > 0]
+        if not len(alive):
+            break
+        area = LEAST_PATCHES + (np.maximum(LEAST_PATCHES + 1, left[alive]) - LEAST_PATCHES) * draws.uniform(alive)
+        aspect = np.exp((-1 + 2 * draws.uniform(alive)) * np.log(MOST_ASPECT))
+        side = np.maximum(1, np.rint((area * aspect) ** (1 / rank)).astype(np.int64))
+        box = np.ones((len(alive), size), dtype=bool)
+        for axis, g in zip(place, grid, strict=True):
+            sides = np.minimum(side, g)
+            start = draws.below(alive, g - sides + 1)
+            box &= (axis >= start[:, None]) & (axis < (start + sides)[:, None])
+        fresh = (box & ~cells[alive]).sum(axis=1)
+        taken = (fresh > 0) & (fresh <= left[alive])
+        cells[alive[taken]] |= box[taken]
+        left[alive[taken]] -= fresh[taken]
+    masks[rows] = cells
+    return masks
+
+
 def block_masks(samples: DataFrame, grid: list[int], share: float, lo: float, hi: float, seed: int) -> DataFrame:
     """(sample, ratio, hidden array) for samples numbered 0 .. B - 1 in ``pos`` of ``total``.
 
@@ -125,27 +192,12 @@ def block_masks(samples: DataFrame, grid: list[int], share: float, lo: float, hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ratios, masks = [], []
-            for sample, pos, total in zip(*(batch.column(c).to_pylist() for c in ("sample", "pos", "total")), strict=True):
-                masked = int(total * share)
-                ratio = lo + (hi - lo) * pos / max(masked - 1, 1) if pos < masked else 0.0
-                mask = np.zeros(grid, dtype=bool)
-                rng = np.random.default_rng([seed, int(sample)])
-                goal = int(ratio * mask.size)
-                for _ in range(64):
-                    left = goal - int(mask.sum())
-                    if left <= 0:
-                        break
-                    area, aspect = rng.uniform(LEAST_PATCHES, max(LEAST_PATCHES + 1, left)), np.exp(rng.uniform(-1, 1) * np.log(MOST_ASPECT))
-                    side = max(1, round((area * aspect) ** (1 / len(grid))))
-                    sides = [min(side, g) for g in grid]
-                    box = tuple(slice(a, a + s) for a, s in ((int(rng.integers(0, g - s + 1)), s) for g, s in zip(grid, sides, strict=True)))
-                    fresh = int((~mask[box]).sum())
-                    if 0 < fresh <= left:
-                        mask[box] = True
-                ratios.append(ratio)
-                masks.append(mask.reshape(-1).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array(ratios, pa.float64()), pa.array(masks, pa.list_(pa.bool_()))], names=["sample", "ratio", "hidden"])
+            sample, pos, total = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sample", "pos", "total"))
+            masked = (total * share).astype(np.int64)
+            ratio = np.where(pos < masked, lo + (hi - lo) * pos / np.maximum(masked - 1, 1), 0.0)
+            masks = np.concatenate([_drawn_masks(sample[k : k + 2048], ratio[k : k + 2048], grid, seed) for k in range(0, len(sample), 2048)] or [np.zeros((0, int(np.prod(grid))), dtype=bool)])
+            bounds = pa.array(np.arange(len(masks) + 1, dtype=np.int32) * masks.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array(ratio, pa.float64()), pa.ListArray.from_arrays(bounds, pa.array(masks.reshape(-1)))], names=["sample", "ratio", "hidden"])
 
     return samples.select("sample", "pos", "total").mapInArrow(run, "sample long, ratio double, hidden array<boolean>")
 
@@ -163,8 +215,14 @@ def standardise(values: Column) -> Column:
     """(v - mean) / sqrt(sample variance + 1e-6) of an array; null for a single value."""
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    spread = F.when(n > 1, F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.greatest(n - 1, F.lit(1)))
-    return F.transform(values, lambda v: (v - mean) / F.sqrt(spread + 1e-6))
+
+    def root(mean: Column) -> Column:
+        spread = F.when(n > 1, F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.greatest(n - 1, F.lit(1)))
+        return F.sqrt(spread + 1e-6)
+
+    # what stands inside a lambda is computed for each element, so mean and root are arguments
+    scaled = F.transform(F.array(mean), lambda m: F.transform(F.array(root(m)), lambda r: F.transform(values, lambda v: (v - m) / r))[0])
+    return scaled[0]
 
 
 def patch_error(pred: Column, target: Column, power: int) -> Column:
