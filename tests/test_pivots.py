@@ -67,3 +67,14 @@ def test_recall_of_probes(spark):
         best = best_dots(vectors).argmax(axis=1)
         near = {r.key: r.neighbour for r in representation.approximate_neighbours(table(spark, vectors), "key", "vec", 128, probes).collect()}
         assert np.mean([near[k] == best[k] for k in range(len(vectors))]) >= 0.9
+
+
+def test_rows_are_sent_once_a_tile_and_askers_are_dealt(spark, monkeypatch):
+    """Few tiles of many blocks, and blocks that more rows ask than one task answers, give the same."""
+    monkeypatch.setattr(pivots, "TILES", 3)
+    monkeypatch.setattr(pivots, "ASKERS", 40)
+    vectors = np.random.default_rng(8).normal(size=(240, 6))
+    best = best_dots(vectors).argmax(axis=1)
+    assert {r.key: r.neighbour for r in found(spark, vectors, block_rows=20)} == dict(enumerate(best))
+    asked = pivots.search(table(spark, vectors).withColumn("vec", representation.normalised(F.col("vec"))), 20, 1000)
+    assert {r.key: r.neighbour for r in asked.found.collect()} == dict(enumerate(best))

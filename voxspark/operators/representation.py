@@ -77,7 +77,7 @@ def masked_patch_cross_entropy(rows: DataFrame, view: str, temperature: float) -
 def normalised(values: Column) -> Column:
     """A vector of length one (zero vectors stay zero)."""
     norm = F.greatest(F.sqrt(total(F.transform(values, lambda v: v * v))), F.lit(1e-12))
-    return F.transform(values, lambda v: v / norm)
+    return F.transform(F.array(norm), lambda n: F.transform(values, lambda v: v / n))[0]  # the norm is taken once
 
 
 def nearest_neighbours(rows: DataFrame, key: str, vec: str, block_rows: int = pivots.BLOCK_ROWS) -> DataFrame:
@@ -88,7 +88,8 @@ def nearest_neighbours(rows: DataFrame, key: str, vec: str, block_rows: int = pi
 def spread(rows: DataFrame, key: str, vec: str, eps: float = 1e-8) -> DataFrame:
     """Minus the mean logarithm of the distance to the nearest other row (the eps is added to each difference too)."""
     units = rows.select(F.col(key).alias("key"), normalised(F.col(vec)).alias("vec"))
-    near = nearest_neighbours(rows, key, vec).join(units, "key").join(units.select(F.col("key").alias("neighbour"), F.col("vec").alias("other")), "neighbour")
+    units = units.hint("merge")  # Spark counts an array as one number, so vectors look small enough to broadcast
+    near = nearest_neighbours(rows, key, vec).join(units, "key").join(units.select(F.col("key").alias("neighbour"), F.col("vec").alias("other")).hint("merge"), "neighbour")
     distance = F.sqrt(total(F.zip_with("vec", "other", lambda a, b: (a - b + eps) * (a - b + eps))))
     return near.agg((-F.avg(F.log(distance + eps))).alias("spread"))
 
