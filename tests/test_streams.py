@@ -62,3 +62,16 @@ def test_counts_grow_over_restarts(spark):
     rows = spark.range(30).select(F.col("id"), (F.col("id") % 3 - 1).alias("label"), (F.col("id") % 2).alias("pred"))
     out = metrics.fed([rows.where(f"id % 5 = {k}") for k in range(5)], lambda s: metrics.confusion(s, "label", "pred"), "complete")
     assert {(r.target, r.predicted): r.n for r in out.collect()} == {(0, 0): 5, (0, 1): 5, (1, 0): 5, (1, 1): 5}
+
+
+def test_the_meter_query_takes_all_points(spark):
+    """Late points are waited for: every tenth step of a run but its first has a rate."""
+    from voxspark.plans import vectors
+    from voxspark.sources import views
+
+    folder = "/root/testdata/sf0.001"
+    rows = views.metric_log(spark, folder).where("step % 10 = 0")
+    late = {(r.run, r.step) for r in rows.where("event_id % 41 = 0 and step > 10").collect()}
+    found = {(r.run, r.step) for r in vectors.meter(spark, folder).collect()}
+    assert late and late <= found and len(found) == rows.count() - rows.select("run").distinct().count()
+    assert "% 41" not in vectors.QUERIES["st02_throughput_meter"][1]
