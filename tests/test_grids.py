@@ -346,3 +346,18 @@ def test_masks_drawn_together_are_those_drawn_alone(grid):
     together = patches._drawn_masks(samples, ratio, grid, 24)
     assert all((together[k] == plain_mask(k, ratio[k], grid, 24)).all() for k in range(400))
     assert patches._drawn_masks(samples[:0], ratio[:0], grid, 24).shape == (0, int(np.prod(grid)))
+
+
+def test_blocks_share_a_call_and_stay_apart():
+    draw = np.random.default_rng(3)
+    number = np.repeat(np.arange(5), 27)[(there := draw.random(135) < 0.8)]
+    place = np.tile(np.stack(np.unravel_index(np.arange(27), (3, 3, 3)), axis=1), (5, 1))[there]
+    ids, own = draw.permutation(len(number)) * 3, draw.integers(-1, 3, len(number))
+    root, changed = ids.copy(), True
+    while changed:
+        changed = False
+        for a in range(len(ids)):
+            for b in range(len(ids)):
+                if number[a] == number[b] and own[a] == own[b] > 0 and np.abs(place[a] - place[b]).sum() == 1 and root[a] > root[b]:
+                    root[a], changed = root[b], True
+    assert labels._local_roots(ids, own, number, place).tolist() == root.tolist()

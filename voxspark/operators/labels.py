@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxspark.functions.storage import stored
-from voxspark.functions.workers import ship
+from voxspark.functions.workers import map_groups, ship
 from voxspark.operators import merge_trees
 from voxspark.operators.graph import connected_components
 
@@ -119,17 +120,12 @@ def split_components(voxels: DataFrame, label: str = "label", rank: int = 3, sid
     return pieces if set(voxels.columns) == set(pieces.columns) - {"piece"} else voxels.join(pieces.select("id", "piece"), "id")
 
 
-def _local_roots(ids: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Smallest id of the piece of each voxel of a block; ``place`` has a coordinate column per axis."""
-    low = place.min(axis=0)
-    grid = np.full(place.max(axis=0) - low + 1, -1, dtype=np.int64)
-    order = np.argsort(ids)
-    ids, own, place = ids[order], own[order], place[order]
-    grid[tuple((place - low).T)] = np.arange(len(ids))
+def _local_roots(ids: np.ndarray, own: np.ndarray, number: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Smallest id of the piece of each voxel inside its block; see :func:`merge_trees.next_pairs`."""
+    order = np.argsort(ids, kind="stable")
+    ids, own = ids[order], own[order]
     ends = []
-    for axis in range(place.shape[1]):
-        a, b = np.moveaxis(grid, axis, 0)[:-1].ravel(), np.moveaxis(grid, axis, 0)[1:].ravel()
-        a, b = a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]
+    for a, b in merge_trees.next_pairs(number[order], place[order]):
         same = (own[a] == own[b]) & (own[a] > 0)
         ends.append((a[same], b[same]))
     u, v = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
@@ -149,21 +145,21 @@ def _local_roots(ids: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndar
 def split_components_by_block(voxels: DataFrame, side: int, label: str = "label", rank: int = 3) -> DataFrame:
     """The same as :func:`split_components`, in two levels.
 
-    A task labels one block of ``side`` voxels an axis by itself; only pairs of
+    A task labels blocks of ``side`` voxels an axis each by itself; only pairs of
     local pieces that touch across block faces become edges, so the loop over
     the graph grows with the faces of blocks and not with their voxels.
     """
-    ship(voxels.sparkSession)
     axes = AXES[:rank]
     kept = ["vol", "level", *AXES, "id", label]
     blocks = [F.floor(F.col(a) / side).alias(f"b{a}") for a in axes]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        place = frame[list(axes)].to_numpy(dtype=np.int64)
-        return frame[kept].assign(root=_local_roots(frame["id"].to_numpy(), frame[label].to_numpy(), place))
+    def run(table: pa.Table, number: np.ndarray) -> Iterator[pa.Table]:
+        place = np.stack([table[a].to_numpy() for a in axes], axis=1).astype(np.int64) % side
+        roots = _local_roots(table["id"].to_numpy(), table[label].to_numpy(), number, place)
+        yield table.select(kept).append_column("root", pa.array(roots))
 
     schema = ", ".join(f"`{c}` {voxels.schema[c].dataType.simpleString()}" for c in kept) + ", root long"
-    local = stored(voxels.select(*kept, *blocks).groupBy(*GRID, *[f"b{a}" for a in axes]).applyInPandas(run, schema), "local")
+    local = stored(map_groups(voxels.select(*kept, *blocks), [*GRID, *[f"b{a}" for a in axes]], run, schema), "local")
     edges = None
     for a in axes:
         others = [*GRID, *[o for o in AXES if o != a]]
@@ -171,6 +167,7 @@ def split_components_by_block(voxels: DataFrame, side: int, label: str = "label"
         right = local.where((F.pmod(a, F.lit(side)) == 0) & (F.col(label) > 0)).select(*others, a, F.col(label).alias("own"), F.col("root").alias("v"))
         part = left.join(right, [*others, a, "own"]).select("u", "v").distinct()
         edges = part if edges is None else edges.union(part)
+    edges = stored(edges, "face-edges")
     if edges.isEmpty():  # every volume is one block
         out = local.withColumn("top", F.col("root"))
     else:
