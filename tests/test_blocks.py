@@ -1,6 +1,7 @@
 """Block files: keys, files of one volume, and what a box opens."""
 
 import glob
+import math
 import os
 import random
 
@@ -74,3 +75,28 @@ def test_the_source_opens_no_other_file(spark, tmp_path):
     assert blocks.read_voxels(spark, path, 2, "label long", vol=7).count() == 0
     with pytest.raises(Exception, match="[Nn]o such file|not exist|NotFound"):
         rows.count()
+
+
+def test_small_volumes_share_files_and_large_ones_do_not(spark, tmp_path):
+    path = str(tmp_path / "blocks")
+    small = grid(spark, 2, vols=300).unionByName(grid(spark, 2, vols=300).withColumn("level", F.lit(1)))
+    blocks.write_blocks(small.unionByName(grid(spark, 8).withColumn("vol", F.lit(1000))), path, file_blocks=256)
+    directory = spark.read.parquet(f"{path}/_directory").collect()
+    assert len(directory) <= 2 * math.ceil((2 * 300 * 8 + 512) / 256)
+    assert {(r.low_vol, r.high_vol) for r in directory if r.vol is not None} == {(1000, 1000)} and sum(r.blocks for r in directory if r.vol is None) == 2 * 300 * 8
+    assert sorted(os.listdir(path)) == sorted({"_SUCCESS", "._SUCCESS.crc", "_directory", "vol=1000", "vol=__HIVE_DEFAULT_PARTITION__"})
+    wanted = {(v, x, y, z) for v in (7, 299, 1000) for x in range(3) for y in range(1, 4) for z in range(4)}
+    ids = spark.createDataFrame([(7,), (299,), (1000,), (4444,)], "vol long")
+    found = readers.scan_box(spark, path, ids, 0, {"x": 0, "y": 1, "z": 0}, {"x": 3, "y": 4, "z": 4}, 2, ["label"]).collect()
+    assert {(r.vol, r.x, r.y, r.z) for r in found} == wanted and len(found) == len(wanted)
+    one = blocks.read_voxels(spark, path, 2, "label long", vol=7, level=1)
+    assert one.count() == 64 and one.where("vol <> 7 or level <> 1 or label div 64 <> 7").count() == 0
+    assert blocks.read_voxels(spark, path, 2, "label long", vol="299:").where("level = 0").count() == 64 + 16**3
+
+
+def test_a_box_of_volumes_that_all_share_files(spark, tmp_path):
+    path = str(tmp_path / "blocks")
+    blocks.write_blocks(grid(spark, 2, vols=40), path)
+    found = readers.scan_box(spark, path, spark.range(38, 44).withColumnRenamed("id", "vol"), 0, {a: 1 for a in "xyz"}, {a: 3 for a in "xyz"}, 2, ["label"])
+    assert sorted((r.vol, r.x, r.y, r.z) for r in found.collect()) == [(v, x, y, z) for v in (38, 39) for x in (1, 2) for y in (1, 2) for z in (1, 2)]
+    assert spark.read.parquet(f"{path}/_directory").count() == 1

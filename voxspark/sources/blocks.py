@@ -2,8 +2,11 @@
 
 A block's key interleaves the bits of its coordinates, so blocks that are near in
 space are near in the order of keys and a box is a few ranges of it.  A volume is
-cut into files by range of keys, however large it is; a table beside them, the
-directory, has a row for each file with the keys and coordinates that it holds.
+cut into files by range of keys, however large it is; volumes smaller than a file
+share files, by level, in the order of volumes and keys, so that files grow in
+number with the voxels and not with the volumes.  A table beside them, the
+directory, has a row for each file with the volumes, keys and coordinates that it
+holds.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from voxspark.functions.storage import drop, stored
 from voxspark.functions.workers import ship
 
 AXES = ("x", "y", "z")
-FILE_BLOCKS = 1024  # blocks of a file
+FILE_VOXELS = 1 << 19  # of a file; one block may be larger
+BATCH_VOXELS = 1 << 18  # of a batch that is read; one block may be larger
 MOST_RANGES = 64  # of keys that a box is cut into; more would only be finer
 BITS = 20  # of a block coordinate
 #: fixed values: shifts and masks that spread the bits of a number three places apart
@@ -79,16 +83,25 @@ def _key(at: tuple[int, ...]) -> int:
     return sum((c >> bit & 1) << (bit * len(at) + len(at) - 1 - k) for k, c in enumerate(at) for bit in range(BITS))
 
 
-def write_blocks(blocks: DataFrame, path: str, file_blocks: int = FILE_BLOCKS) -> None:
-    """Blocks as Parquet by volume and level, files cut by range of keys, with their directory."""
-    keyed = stored(blocks.withColumn("key", morton(*[F.col(f"b{a}") for a in AXES])), "keyed-blocks")
-    parts = max(1, math.ceil(keyed.count() / file_blocks))
-    order = ["vol", "level", "key"]
-    rows = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+def write_blocks(blocks: DataFrame, path: str, file_blocks: int | None = None) -> None:
+    """Blocks as Parquet, files cut by range of volumes and keys, with their directory.
+
+    ``block_vol`` is a block's volume.  A volume with ``file_blocks`` blocks of a
+    level or more has folders ``vol=`` and ``level=`` of its own, of which there are
+    no more than files; in the folder name of shared files the volume is null.
+    """
+    keyed = stored(blocks.withColumn("key", morton(*[F.col(f"b{a}") for a in AXES])).withColumn("block_vol", F.col("vol").cast("long")).drop("vol"), "keyed-blocks")
+    values = [f.name for f in blocks.schema.fields if isinstance(f.dataType, ArrayType)]
+    n, voxels = keyed.agg(F.count("*"), F.max(F.size(values[0])) if values else F.lit(1)).first()
+    file_blocks = file_blocks or max(1, FILE_VOXELS // max(1, voxels or 1))
+    parts = max(1, math.ceil(n / file_blocks))
+    large = keyed.groupBy("block_vol", "level").agg(F.count("*").alias("n")).where(F.col("n") >= file_blocks).select("block_vol", "level", F.col("block_vol").alias("vol"))
+    order = ["vol", "level", "block_vol", "key"]
+    rows = keyed.join(F.broadcast(large), ["block_vol", "level"], "left").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows.write.option("maxRecordsPerFile", file_blocks).option("parquet.block.row.count.limit", max(1, file_blocks // 8)).partitionBy("vol", "level").parquet(path)
     drop(keyed)
     files = blocks.sparkSession.read.parquet(path).withColumn("file", F.input_file_name()).groupBy("file", F.col("vol").cast("long").alias("vol"), F.col("level").cast("int").alias("level"))
-    edges = [f(c).alias(f"{name}_{c}") for c in ("key", "bx", "by", "bz") for name, f in (("low", F.min), ("high", F.max))]
+    edges = [f(c).alias(f"{name}_{c.removeprefix('block_')}") for c in ("block_vol", "key", "bx", "by", "bz") for name, f in (("low", F.min), ("high", F.max))]
     files.agg(F.count("*").alias("blocks"), *edges).write.parquet(f"{path}/_directory")
 
 
@@ -108,7 +121,6 @@ class BlockFile(InputPartition):
     """A file to be read."""
 
     file: str
-    vol: int
     level: int
 
 
@@ -153,12 +165,12 @@ class BlockReader(DataSourceReader):
         files = [name for name in (i.path for i in store.get_file_info(pafs.FileSelector(root))) if name.endswith(".parquet")]
         keep = pads.scalar(True)
         for column, low, high in (*[(c, *self.bounds[c]) for c in ("vol", "level")], *self._block_bounds()):
-            first, last = (f"low_{column}", f"high_{column}") if column.startswith("b") else (column, column)
+            first, last = (column, column) if column == "level" else (f"low_{column}", f"high_{column}")
             if low > -math.inf:
                 keep = keep & (pads.field(last) >= int(low))
             if high < math.inf:
                 keep = keep & (pads.field(first) <= int(high))
-        rows = pads.dataset(files, filesystem=store, format="parquet").to_table(["file", "vol", "level"], filter=keep) if files else pa.table({"file": [], "vol": [], "level": []})
+        rows = pads.dataset(files, filesystem=store, format="parquet").to_table(["file", "level"], filter=keep) if files else pa.table({"file": [], "level": []})
         return [BlockFile(**row) for row in rows.to_pylist()]
 
     def read(self, partition: BlockFile | None) -> Iterator[pa.RecordBatch]:
@@ -166,18 +178,18 @@ class BlockReader(DataSourceReader):
             return
         store, root = _store(partition.file)
         keep = pads.scalar(True)
-        for column, low, high in self._block_bounds():
+        for column, low, high in (("block_vol", *self.bounds["vol"]), *self._block_bounds()):
             if low > -math.inf:
                 keep = keep & (pads.field(column) >= int(low))
             if high < math.inf:
                 keep = keep & (pads.field(column) <= int(high))
         cube = np.indices((self.side,) * 3, dtype=np.int32).reshape(3, -1)
         rows = pads.dataset(root, filesystem=store, format="parquet", partitioning=None)
-        for batch in rows.to_batches(columns=["bx", "by", "bz", *self.values], filter=keep, batch_size=64):
+        for batch in rows.to_batches(columns=["block_vol", "bx", "by", "bz", *self.values], filter=keep, batch_size=max(1, BATCH_VOXELS // cube.shape[1])):
             if n := batch.num_rows:
                 at = [(np.repeat(batch.column(f"b{a}").to_numpy() * self.side, cube.shape[1]) + np.tile(cube[k], n)).astype(np.int32) for k, a in enumerate(AXES)]
                 size = n * cube.shape[1]
-                names = {"vol": pa.array(np.full(size, partition.vol), pa.int64()), "level": pa.array(np.full(size, partition.level), pa.int32())}
+                names = {"vol": pa.array(np.repeat(batch.column("block_vol").to_numpy(), cube.shape[1])), "level": pa.array(np.full(size, partition.level), pa.int32())}
                 names |= {a: pa.array(c) for a, c in zip(AXES, at, strict=True)} | {v: batch.column(v).flatten() for v in self.values}
                 inside = np.logical_and.reduce([(c >= self.bounds[a][0]) & (c <= self.bounds[a][1]) for a, c in zip(AXES, at, strict=True)])
                 yield pa.RecordBatch.from_pydict(names).filter(pa.array(inside))

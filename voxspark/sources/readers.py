@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxspark.sources.blocks import in_ranges
 
@@ -64,8 +65,13 @@ def blocks_to_voxels(blocks: DataFrame, side: int, values: list[str]) -> DataFra
 
 
 def scan_box(spark: SparkSession, path: str, vols: DataFrame, level: int, lo: dict[str, int], hi: dict[str, int], side: int, values: list[str]) -> DataFrame:
-    """Voxels of a box of some volumes, a table with a row for each ``vol``: partitions, then row groups by ranges of keys, then rows are pruned."""
-    found = spark.read.parquet(path).where((F.col("level") == level) & in_ranges(lo, hi, side)).join(vols.select(F.col("vol").cast("int")), "vol", "left_semi")
+    """Voxels of a box of some volumes, a table with a row for each ``vol``: folders, then row groups by ranges of keys, then rows are pruned."""
+    near = spark.read.parquet(path).where((F.col("level") == level) & in_ranges(lo, hi, side))
+    found = near.where("vol is null").drop("vol").withColumnRenamed("block_vol", "vol").join(vols.select(F.col("vol").cast("long")), "vol", "left_semi")
+    folder = near.schema["vol"].dataType
+    if not isinstance(folder, T.NullType):  # some volumes have folders of their own
+        own = near.where("vol is not null").drop("block_vol").join(vols.select(F.col("vol").try_cast(folder).alias("vol")), "vol", "left_semi")
+        found = found.unionByName(own.withColumn("vol", F.col("vol").cast("long")))
     inside = F.lit(True)
     for a in lo:
         inside = inside & (F.col(a) >= lo[a]) & (F.col(a) < hi[a])
